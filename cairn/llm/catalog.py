@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from cairn.llm.decontaminate import op1_benchmark_decontamination
 
+from cairn.llm.simhash import op4_simhash_near_dedup
+
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
+    "op4_simhash_near_dedup": op4_simhash_near_dedup,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
