@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from cairn.llm.decontaminate import op1_benchmark_decontamination
-
+from cairn.llm.mixing import op9_source_mixing
 from cairn.llm.simhash import op4_simhash_near_dedup
 
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op9_source_mixing": op9_source_mixing,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -39,6 +40,46 @@ SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_it
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+_OP9 = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    md5('0:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS turn
+  FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
+), w AS (
+  SELECT *, CAST([5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3) + 1] AS DOUBLE) AS weight FROM s
+), f AS (
+  SELECT source, source_size, weight,
+    CAST(3 * sum(source_size) OVER () - 4 * coalesce(sum(source_size) OVER (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS rem,
+    sum(weight) OVER (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest
+  FROM w
+), b AS (
+  SELECT *, rem * weight >= CAST(4 * source_size AS DOUBLE) * rest AS bound FROM f
+), t AS (
+  SELECT source, source_size,
+    CASE WHEN bound THEN CAST(2 * source_size AS DOUBLE) ELSE weight * (SELECT rem FROM b WHERE NOT bound ORDER BY rest DESC LIMIT 1) / ((SELECT max(rest) FROM b WHERE NOT bound) * 2) END AS target
+  FROM b
+), q AS (
+  SELECT d.doc_id, d.size, d.turn, t.source_size, t.target,
+    sum(d.size) OVER (PARTITION BY d.source ORDER BY d.turn, d.doc_id NULLS LAST, d.size ROWS UNBOUNDED PRECEDING) AS words
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), e AS (
+  SELECT *, words / target AS finish FROM q
+), a AS (
+  SELECT doc_id, size, turn, finish AS finishes_at FROM e
+  UNION ALL
+  SELECT doc_id, size, turn, (words + source_size) / target FROM e
+), c AS (
+  SELECT *, sum(size) OVER (ORDER BY finishes_at, turn, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM a
+), k AS (
+  SELECT doc_id, sum(size) AS taken FROM c WHERE upto <= (SELECT 3 * sum(size) // 2 FROM d) GROUP BY doc_id
+)
+SELECT e.doc_id, e.size, e.source_size, e.target, CAST(coalesce(k.taken, 0) AS BIGINT) AS taken, e.finish
+FROM e LEFT JOIN k ON e.doc_id = k.doc_id
+"""
+
 ORACLE = {
     "op1_benchmark_decontamination": _OP1,
+    "op9_source_mixing": _OP9,
 }
