@@ -5,10 +5,12 @@ from __future__ import annotations
 from cairn.llm.decontaminate import op1_benchmark_decontamination
 from cairn.llm.mixing import op9_source_mixing
 from cairn.llm.simhash import op4_simhash_near_dedup
+from cairn.llm.tokens import op7_wavelet_token_shards
 
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op7_wavelet_token_shards": op7_wavelet_token_shards,
     "op9_source_mixing": op9_source_mixing,
 }
 
