@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from cairn.llm.decontaminate import op1_benchmark_decontamination
 from cairn.llm.mixing import op9_source_mixing
+from cairn.llm.quality import op5_quality_classifier
 from cairn.llm.simhash import op4_simhash_near_dedup
 from cairn.llm.tokens import op7_wavelet_token_shards
+from cairn.llm.toxicity import op3_toxicity
 
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
+    "op3_toxicity": op3_toxicity,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_quality_classifier": op5_quality_classifier,
     "op7_wavelet_token_shards": op7_wavelet_token_shards,
     "op9_source_mixing": op9_source_mixing,
 }
