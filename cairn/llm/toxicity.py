@@ -1,6 +1,7 @@
 """Toxicity: a factorization machine over hashed terms.
 
-A text is the set of its words, hashed into ``BUCKETS``.  The score is the
+A text is the set of its words and of their first ``PREFIX`` bytes, which
+stand for a word's inflected forms, hashed into ``BUCKETS``.  The score is the
 logistic function of a bias, a weight for each term and, for each pair of
 terms, the product of their factor vectors, so terms that are harmless alone
 can count together.  It is trained by AdaGrad on a bounded sample of labelled
@@ -25,6 +26,7 @@ from pyspark.sql import types as T
 from cairn.llm.common import ALNUM, annotate, bucket_of, table
 
 BUCKETS = 1 << 20
+PREFIX = 5
 #: Labelled rows that the model is fitted on, about; more are sampled by a hash of doc_id.
 SAMPLE = 16_000
 #: Terms that the model knows: those that tell the labels apart best in the sample.
@@ -43,13 +45,13 @@ class Terms:
         known, words = self.known, set(text.translate(ALNUM).split())
         if len(known) > self.limit:
             known.clear()
-        out = [known.get(w, -1) for w in words]
-        if -1 in out:
-            for w in words:
-                if w not in known:
-                    known[w] = zlib.crc32(w) % BUCKETS
-            out = [known[w] for w in words]
-        return np.unique(np.array(out, dtype=np.int32))
+        out = []
+        for w in words:
+            if (both := known.get(w)) is None:
+                both = known[w] = zlib.crc32(w) % BUCKETS << 32 | zlib.crc32(b"^" + w[:PREFIX]) % BUCKETS
+            out.append(both)
+        found = np.array(out, dtype=np.int64)
+        return np.unique(np.concatenate((found >> 32, found & 0xFFFFFFFF)).astype(np.int32))
 
 
 class Machine:
@@ -85,8 +87,8 @@ def _informative(rows: list[np.ndarray], labels: np.ndarray, most: int) -> np.nd
     return np.sort(best[chi[best] > 0])
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, *, terms: int = TERMS, factors: int = FACTORS, rounds: int = 8, rate: float = 0.1, decay: float = 1e-4, seed: int = 0) -> Machine:
-    """A machine for rows of hashed terms and their labels 0 and 1."""
+def fit(rows: list[np.ndarray], labels: np.ndarray, *, terms: int = TERMS, factors: int = FACTORS, rounds: int = 20, rate: float = 0.2, decay: float = 1e-5, toxic_weight: float = 3.0, seed: int = 0) -> Machine:
+    """A machine for rows of hashed terms and their labels 0 and 1; a toxic row counts ``toxic_weight`` times."""
     n, toxic = len(labels), int(labels.sum())
     share = min(max(toxic / n if n else 0.0, 1e-6), 1 - 1e-6)
     bias = float(np.log(share / (1 - share)))
@@ -111,6 +113,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, *, terms: int = TERMS, facto
             squares = np.bincount(row, weights=(vf**2).sum(axis=1), minlength=len(part))
             raw = model.bias + np.bincount(row, weights=w[flat], minlength=len(part)) + 0.5 * ((sums**2).sum(axis=1) - squares)
             error = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - labels[picked]) / len(part)
+            error *= np.where(labels[picked] > 0, toxic_weight, 1.0)
             gw = np.bincount(flat, weights=error[row], minlength=len(w)) + decay * w
             gv = np.zeros_like(v)
             np.add.at(gv, flat, error[row, None] * (sums[row] - vf))
