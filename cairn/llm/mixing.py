@@ -26,7 +26,7 @@ from cairn.llm.common import WORD, table, written
 WEIGHTS = (5, 2, 1)
 BUDGET = (3, 2)  # the share of all words that is mixed, as a fraction
 REPEATS = 2
-SLICE_ROWS = 1000
+SLICE_ROWS = 400
 
 
 def _targets(sources: DataFrame, weights: tuple[int, ...], budget: tuple[int, int]) -> DataFrame:
