@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from cairn.llm.decontaminate import op1_benchmark_decontamination
 from cairn.llm.digest import op6_quartile_digest
+from cairn.llm.language import op10_language_id
 from cairn.llm.mixing import op9_source_mixing
 from cairn.llm.quality import op5_quality_classifier
 from cairn.llm.simhash import op4_simhash_near_dedup
@@ -18,6 +19,7 @@ QUERIES = {
     "op6_quartile_digest": op6_quartile_digest,
     "op7_wavelet_token_shards": op7_wavelet_token_shards,
     "op9_source_mixing": op9_source_mixing,
+    "op10_language_id": op10_language_id,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -1,3 +1,63 @@
-STAGES = []
+"""A corpus from raw documents to token files, stage by stage.
+
+Each stage gets what the stage before kept.  Toxic documents go, one document
+of each class of near-copies stays, contaminated documents go, the sources are
+mixed to their target weights, and the mix is written as token ids.  The
+result has one row for each document of the mix, read back from the files; a
+document that the mix has twice has two rows.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from cairn.llm import decontaminate, mixing, simhash, tokens, toxicity
+from cairn.llm.common import table, written
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is below the operator's threshold."""
+    model = toxicity.trained_on(spark, docs, table(spark, sf_dir, "labels"))
+    kept = toxicity.scored(docs.withColumnRenamed("score", "__score") if "score" in docs.columns else docs, model)
+    kept = kept.where(kept["score"] < toxicity.THRESHOLD).drop("score")
+    return (kept.withColumnRenamed("__score", "score") if "score" in docs.columns else kept).select(*docs.columns)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest doc_id of each class of linked SimHash fingerprints."""
+    return simhash.deduplicate(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of whose words fewer than one in twenty lies in a benchmark window."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixed_by_source(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as weighted fair queueing takes them."""
+    return mixing.mixed(docs)
+
+
+def as_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the token files say of each document."""
+    return tokens.read_shards(tokens.write_shards(docs, tokens.vocabulary()))
+
+
+STAGES = [
+    ("toxicity", without_toxic),
+    ("near_duplicates", without_near_copies),
+    ("decontamination", without_benchmark),
+    ("mixing", mixed_by_source),
+    ("tokens", as_tokens),
+]
+
+#: Learned scores, hashes and merges have no SQL form; the stages are tested against brute-force versions.
 ORACLE_SQL = None
-def run(spark, sf_dir): ...
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written and read again before the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
