@@ -20,6 +20,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from struct import pack as _pack
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,9 @@ SHARD_IDS = 1 << 21
 #: Bytes of text in a range, about.
 RANGE_BYTES = 128 << 20
 #: Distinct pieces whose ids are kept.
-PIECES = 300_000
+PIECES = 500_000
+#: ASCII marks that split off a word's end, without the apostrophe and the brackets of special tokens.
+MARKS = b".,;:!?%$#&*|()\"-"
 
 
 def vocabulary() -> str:
@@ -46,7 +49,11 @@ def vocabulary() -> str:
 
 
 class Encoder:
-    """Texts to ids; ``path`` names a tokenizer that drops white space between its pieces."""
+    """Texts to ids; ``path`` names a tokenizer that lower-cases and drops white space between its pieces.
+
+    The ids of pieces are kept in two tables: when the younger is full it
+    becomes the older, so frequent pieces stay and memory is bounded.
+    """
 
     def __init__(self, path: str, pieces: int = PIECES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
@@ -54,16 +61,54 @@ class Encoder:
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), pieces
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def _plain(self, pieces: list[bytes]) -> None:
+        """The ids of pieces that are not known, from the tokenizer."""
+        found = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in pieces], add_special_tokens=False)
+        for p, e in zip(pieces, found, strict=True):
+            self.known[p] = _pack(f"<{len(e.ids)}I", *e.ids)
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        known, older = self.known, self.older
+        new, joined = set(), []
+        for p in pieces:
+            if p in known:
+                continue
+            if (ids := older.get(p)) is not None:
+                known[p] = ids
+            elif (word := p.rstrip(MARKS)) != p and word[-1:].isalnum():
+                # Marks after a letter or digit are a piece of their own for the tokenizer.
+                joined.append((p, word))
+                new |= {word, p[len(word) :]}
+            else:
+                new.add(p)
+        self._plain([p for p in new if p not in known])
+        for p, word in joined:
+            known[p] = known[word] + known[p[len(word) :]]
 
     def encode(self, text: bytes) -> np.ndarray:
         """The ids of UTF-8 bytes as unsigned 32-bit numbers."""
+        if b"\xcc" not in text and b"<" not in text:
+            text = text.lower()  # ASCII letters only; no combining mark, no special token can tell the cases apart
+        if len(self.known) > self.limit:
+            self.known, self.older = {}, self.known
         known, pieces = self.known, text.split()
-        if len(known) > self.limit:
-            known.clear()
-        if new := [p for p in set(pieces) if p not in known]:
-            found = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in new], add_special_tokens=False)
-            known.update((p, np.array(e.ids, dtype="<u4").tobytes()) for p, e in zip(new, found, strict=True))
-        return np.frombuffer(b"".join([known[p] for p in pieces]), dtype="<u4")
+        try:
+            return np.frombuffer(b"".join([known[p] for p in pieces]), dtype="<u4")
+        except KeyError:
+            self._learn(pieces)
+            return np.frombuffer(b"".join([known[p] for p in pieces]), dtype="<u4")
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The worker's encoder, with the pieces that its earlier tasks have met."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 _FIELDS = [
@@ -83,7 +128,7 @@ def _shards(path: str, end: int, shard_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, last = Encoder(path), np.array([end], dtype="<u4")
+        encode, last = encoder(path).encode, np.array([end], dtype="<u4")
         number, before = TaskContext.get().partitionId() * _RANGE, 0
         keys, lengths, parts, held = [], [], [], 0
 
@@ -93,7 +138,7 @@ def _shards(path: str, end: int, shard_ids: int):
 
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encoder.encode(text or b"")
+                ids = encode(text or b"")
                 if parts and held + len(ids) + 1 > shard_ids:
                     yield out()
                     number, before = number + 1, before + held

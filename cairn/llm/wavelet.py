@@ -4,15 +4,15 @@ The numbers are stored as bit planes, the highest bit first.  Each plane
 orders the numbers by the bits of the planes before it, zeros first, so that
 bit, rank and select on the planes answer queries about the numbers.  A file
 is a header, the count of zeros of each plane, and the packed planes, each
-deflated on its own.  Rank directories are made again when a file is opened.
+compressed on its own.  Rank directories are made again when a file is opened.
 """
 
 from __future__ import annotations
 
 import struct
-import zlib
 
 import numpy as np
+import zstandard
 
 MAGIC = b"CWM1"
 _HEAD = struct.Struct("<4sQB")
@@ -27,10 +27,10 @@ def build(numbers: np.ndarray, level: int = 1) -> bytes:
     width = int(now.max()).bit_length() if len(now) else 0
     if width <= 16:
         now = now.astype(np.uint16)
-    parts = [_HEAD.pack(MAGIC, len(now), width)]
+    parts, pack = [_HEAD.pack(MAGIC, len(now), width)], zstandard.ZstdCompressor(level).compress
     for shift in range(width - 1, -1, -1):
-        ones = (now >> shift) & 1 != 0
-        packed = zlib.compress(np.packbits(ones).tobytes(), level)
+        ones = now & now.dtype.type(1 << shift) != 0
+        packed = pack(np.packbits(ones).tobytes())
         now = np.concatenate((now[~ones], now[ones]))
         parts += [_PLANE.pack(len(ones) - int(np.count_nonzero(ones)), len(packed)), packed]
     return b"".join(parts)
@@ -43,12 +43,12 @@ class WaveletMatrix:
         magic, self.size, self.width = _HEAD.unpack_from(data)
         if magic != MAGIC:
             raise ValueError("not a wavelet matrix file")
-        at, self.zeros, self.planes = _HEAD.size, [], []
+        at, self.zeros, self.planes, unpack = _HEAD.size, [], [], zstandard.ZstdDecompressor().decompress
         for _ in range(self.width):
             zeros, length = _PLANE.unpack_from(data, at)
             at += _PLANE.size
             self.zeros.append(zeros)
-            self.planes.append(np.frombuffer(zlib.decompress(data[at : at + length]), dtype=np.uint8))
+            self.planes.append(np.frombuffer(unpack(data[at : at + length]), dtype=np.uint8))
             at += length
         self._ranks: list[np.ndarray | None] = [None] * self.width
 
