@@ -7,6 +7,7 @@ from cairn.llm.digest import op6_quartile_digest
 from cairn.llm.language import op10_language_id
 from cairn.llm.mixing import op9_source_mixing
 from cairn.llm.quality import op5_quality_classifier
+from cairn.llm.scoring import op8_lattice_scoring
 from cairn.llm.simhash import op4_simhash_near_dedup
 from cairn.llm.tokens import op7_wavelet_token_shards
 from cairn.llm.toxicity import op3_toxicity
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_quality_classifier": op5_quality_classifier,
     "op6_quartile_digest": op6_quartile_digest,
     "op7_wavelet_token_shards": op7_wavelet_token_shards,
+    "op8_lattice_scoring": op8_lattice_scoring,
     "op9_source_mixing": op9_source_mixing,
     "op10_language_id": op10_language_id,
 }
