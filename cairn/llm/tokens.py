@@ -36,7 +36,7 @@ SHARD_IDS = 1 << 21
 #: Bytes of text in a range, about.
 RANGE_BYTES = 128 << 20
 #: Distinct pieces whose ids are kept.
-PIECES = 500_000
+PIECES = 1_000_000
 #: ASCII marks that split off a word's end, without the apostrophe and the brackets of special tokens.
 MARKS = b".,;:!?%$#&*|()\"-"
 
@@ -60,21 +60,33 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), pieces
+        special = sorted((n, t.content) for n, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and "<" in t.content and " " not in t.content)
+        self.mark = (special[0][1], special[0][0]) if special else None
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
     def _plain(self, pieces: list[bytes]) -> None:
-        """The ids of pieces that are not known, from the tokenizer."""
-        found = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in pieces], add_special_tokens=False)
-        for p, e in zip(pieces, found, strict=True):
-            self.known[p] = _pack(f"<{len(e.ids)}I", *e.ids)
+        """The ids of pieces that are not known, from the tokenizer: all in one text, a special token between them."""
+        if self.mark is None or len(pieces) < 4:
+            found = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in pieces], add_special_tokens=False)
+            for p, e in zip(pieces, found, strict=True):
+                self.known[p] = _pack(f"<{len(e.ids)}I", *e.ids)
+            return
+        (mark, number), alone = self.mark, [p for p in pieces if b"<" in p]
+        if alone:  # they could hold the mark
+            pieces = [p for p in pieces if b"<" not in p]
+        joined = b" ".join(pieces).decode("utf-8", "replace").replace(" ", f" {mark} ")
+        ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = 4 * np.flatnonzero(ids == number)
+        raw = ids.tobytes()
+        self.known.update(zip(pieces, [raw[a:b] for a, b in zip([0, *(ends + 4).tolist()], [*ends.tolist(), len(raw)], strict=True)], strict=True))
+        for p in alone:
+            self.known[p] = np.array(self.tokenizer.encode(p.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _learn(self, pieces: list[bytes]) -> None:
         known, older = self.known, self.older
         new, joined = set(), []
-        for p in pieces:
-            if p in known:
-                continue
+        for p in set(pieces).difference(known):
             if (ids := older.get(p)) is not None:
                 known[p] = ids
             elif (word := p.rstrip(MARKS)) != p and word[-1:].isalnum():

@@ -31,8 +31,9 @@ def build(numbers: np.ndarray, level: int = 1) -> bytes:
     for shift in range(width - 1, -1, -1):
         ones = now & now.dtype.type(1 << shift) != 0
         packed = pack(np.packbits(ones).tobytes())
-        now = np.concatenate((now[~ones], now[ones]))
-        parts += [_PLANE.pack(len(ones) - int(np.count_nonzero(ones)), len(packed)), packed]
+        zeros = np.flatnonzero(~ones)
+        now = now.take(np.concatenate((zeros, np.flatnonzero(ones))))
+        parts += [_PLANE.pack(len(zeros), len(packed)), packed]
     return b"".join(parts)
 
 
@@ -124,8 +125,8 @@ class WaveletMatrix:
         now = np.zeros(self.size, dtype=np.uint16 if self.width <= 16 else np.uint32)
         for p in range(self.width - 1, -1, -1):
             ones = np.unpackbits(self.planes[p], count=self.size).view(bool)
+            now[self.zeros[p] :] |= now.dtype.type(1 << (self.width - 1 - p))
             before = np.empty_like(now)
-            before[~ones] = now[: self.zeros[p]]
-            before[ones] = now[self.zeros[p] :] | before.dtype.type(1 << (self.width - 1 - p))
+            before[np.concatenate((np.flatnonzero(~ones), np.flatnonzero(ones)))] = now
             now = before
         return now
