@@ -9,11 +9,13 @@ from cairn.llm.mixing import op9_source_mixing
 from cairn.llm.quality import op5_quality_classifier
 from cairn.llm.scoring import op8_lattice_scoring
 from cairn.llm.simhash import op4_simhash_near_dedup
+from cairn.llm.substrings import op2_suffix_dedup
 from cairn.llm.tokens import op7_wavelet_token_shards
 from cairn.llm.toxicity import op3_toxicity
 
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_quality_classifier": op5_quality_classifier,
@@ -52,6 +54,33 @@ SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_it
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+_OP2 = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), strings AS (
+  SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS i FROM d WHERE len(h) >= 100)
+), firsts AS (
+  SELECT s, min(doc_id) AS least FROM strings GROUP BY s HAVING min(doc_id) < max(doc_id)
+), gone AS (
+  SELECT doc_id, i FROM strings JOIN firsts USING (s) WHERE doc_id > least
+), marked AS (
+  SELECT doc_id, i, coalesce(lag(i) OVER w + 50 < i, TRUE) AS opens FROM gone WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), spans AS (
+  SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM (
+    SELECT doc_id, i, sum(CAST(opens AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM marked
+  ) GROUP BY doc_id, n
+), edges AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS from_b, lead(a) OVER (PARTITION BY doc_id ORDER BY a) IS NULL AS last FROM spans
+), pieces AS (
+  SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans,
+    string_agg(substr(h, 2 * from_b + 1, 2 * (a - from_b)) || CASE WHEN last THEN substr(h, 2 * b + 1) ELSE '' END, '' ORDER BY a) AS kept
+  FROM edges JOIN d USING (doc_id) GROUP BY doc_id
+)
+SELECT d.doc_id, len(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN pieces USING (doc_id)
+"""
+
 _OP9 = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
@@ -93,5 +122,6 @@ FROM e LEFT JOIN k ON e.doc_id = k.doc_id
 
 ORACLE = {
     "op1_benchmark_decontamination": _OP1,
+    "op2_suffix_dedup": _OP2,
     "op9_source_mixing": _OP9,
 }
