@@ -17,7 +17,9 @@ table has no shard.
 
 from __future__ import annotations
 
+import json
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from struct import pack as _pack
@@ -36,9 +38,11 @@ SHARD_IDS = 1 << 21
 #: Bytes of text in a range, about.
 RANGE_BYTES = 128 << 20
 #: Distinct pieces whose ids are kept.
-PIECES = 1_000_000
+PIECES = 600_000
 #: ASCII marks that split off a word's end, without the apostrophe and the brackets of special tokens.
 MARKS = b".,;:!?%$#&*|()\"-"
+#: A character that is not printable, so in no piece that is encoded beside others.
+MARK = "\x01"
 
 
 def vocabulary() -> str:
@@ -48,6 +52,19 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _normal(piece: bytes) -> bool:
+    """Whether a piece is the same after composing, lower-casing and joining white space, and no special token is in it."""
+    if b"<" in piece:
+        return False
+    if piece.isascii():
+        return piece == piece.lower() and piece.decode().isprintable()
+    try:
+        text = piece.decode()
+    except UnicodeDecodeError:
+        return False
+    return text == text.lower() and text.isprintable() and unicodedata.is_normalized("NFC", text)
+
+
 class Encoder:
     """Texts to ids; ``path`` names a tokenizer that lower-cases and drops white space between its pieces.
 
@@ -60,28 +77,36 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), pieces
-        special = sorted((n, t.content) for n, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and "<" in t.content and " " not in t.content)
-        self.mark = (special[0][1], special[0][0]) if special else None
+        steps = json.loads(self.tokenizer.to_str())
+        kinds = [x["type"] for x in (steps["normalizer"] or {}).get("normalizers", [])]
+        self.bare = None  # for pieces that the normaliser would leave as they are
+        if kinds == ["NFC", "Replace", "Lowercase"]:
+            steps["normalizer"] = None
+            bare = Tokenizer.from_str(json.dumps(steps))
+            mark = bare.encode(MARK, add_special_tokens=False).ids
+            if len(mark) == 1:
+                self.bare, self.mark = bare, mark[0]
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
     def _plain(self, pieces: list[bytes]) -> None:
-        """The ids of pieces that are not known, from the tokenizer: all in one text, a special token between them."""
-        if self.mark is None or len(pieces) < 4:
-            found = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in pieces], add_special_tokens=False)
-            for p, e in zip(pieces, found, strict=True):
-                self.known[p] = _pack(f"<{len(e.ids)}I", *e.ids)
-            return
-        (mark, number), alone = self.mark, [p for p in pieces if b"<" in p]
-        if alone:  # they could hold the mark
-            pieces = [p for p in pieces if b"<" not in p]
-        joined = b" ".join(pieces).decode("utf-8", "replace").replace(" ", f" {mark} ")
-        ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
-        ends = 4 * np.flatnonzero(ids == number)
-        raw = ids.tobytes()
-        self.known.update(zip(pieces, [raw[a:b] for a, b in zip([0, *(ends + 4).tolist()], [*ends.tolist(), len(raw)], strict=True)], strict=True))
-        for p in alone:
-            self.known[p] = np.array(self.tokenizer.encode(p.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype="<u4").tobytes()
+        """The ids of pieces that are not known, from the tokenizer.
+
+        Normal pieces go in one text, with a character between them that none of them has.
+        """
+        normal = [p for p in pieces if self.bare is not None and _normal(p)]
+        if normal:
+            joined = b" ".join(normal).decode().replace(" ", f" {MARK} ")
+            ids = np.array(self.bare.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = 4 * np.flatnonzero(ids == self.mark)
+            raw, cuts = ids.tobytes(), zip([0, *(ends + 4).tolist()], [*ends.tolist(), 4 * len(ids)], strict=True)
+            self.known.update(zip(normal, [raw[a:b] for a, b in cuts], strict=True))
+            if len(normal) == len(pieces):
+                return
+            pieces = [p for p in pieces if p not in self.known]
+        found = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in pieces], add_special_tokens=False)
+        for p, e in zip(pieces, found, strict=True):
+            self.known[p] = _pack(f"<{len(e.ids)}I", *e.ids)
 
     def _learn(self, pieces: list[bytes]) -> None:
         known, older = self.known, self.older
