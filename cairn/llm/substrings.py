@@ -47,7 +47,7 @@ SEED = 20
 REACH = LENGTH - SEED  # places of a string's anchor after the first
 SIDE = REACH // 2  # bytes beside the seed that strings of one half have in common
 #: Bytes that are hashed at once, of texts in a chunk, and for each bucket or shard.
-SEGMENT = 4 << 20
+SEGMENT = 1 << 20
 CHUNK_BYTES = 8 << 20
 SHARE_BYTES = 16 << 20
 
@@ -260,6 +260,31 @@ def _joined(parts: list[bytes], dtypes: tuple[str, ...]) -> list[np.ndarray]:
     return [np.concatenate(c) for c in zip(*(_unpacked(p, *dtypes)[0] for p in parts), strict=True)]
 
 
+class _Gathered:
+    """A task's rows for each share and kind, put together so that there are few of them."""
+
+    def __init__(self, most: int = 16 << 20):
+        self.rows: dict[tuple[int, int], list[bytes]] = {}
+        self.size, self.most = 0, most
+
+    def add(self, rows: list[tuple[int, int, bytes]]) -> None:
+        for share, kind, data in rows:
+            self.rows.setdefault((share, kind), []).append(data)
+            self.size += len(data)
+
+    def full(self) -> Iterator[pa.RecordBatch]:
+        if self.size >= self.most:
+            yield from self.all()
+
+    def all(self) -> Iterator[pa.RecordBatch]:
+        rows, self.rows, self.size = self.rows, {}, 0
+        for (share, kind), parts in rows.items():
+            if len(parts) > 1:
+                dtypes = _GONE_AS if kind == _GONE else _ASKED_AS
+                parts = [_packed(*_joined(parts, dtypes))]
+            yield _batch([(share, kind, parts[0])])
+
+
 def _meet(shares: int):
     """Step 2: what goes as a whole, and which runs have to be asked for."""
 
@@ -282,18 +307,20 @@ def _meet(shares: int):
         return rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, parts = None, []
+        now, parts, held = None, [], _Gathered()
         for share, kind, data in _by_share(batches):
             if kind == _GONE:
-                yield _batch([(share, kind, data)])
-                continue
-            if share != now and parts:
-                yield _batch(settle(parts))
-                parts = []
-            now = share
-            parts.append(data)
+                held.add([(share, kind, data)])
+            else:
+                if share != now and parts:
+                    held.add(settle(parts))
+                    parts = []
+                now = share
+                parts.append(data)
+            yield from held.full()
         if parts:
-            yield _batch(settle(parts))
+            held.add(settle(parts))
+        yield from held.all()
 
     return run
 
@@ -427,15 +454,17 @@ def _sort(shares: int):
         return [(share, _GONE, _packed(*(a.astype(k) for a, k in zip((*part, np.ones(len(part[0]))), _GONE_AS, strict=True)))) for share, part in _dealt(_shard(docs, shares), docs, crcs, first)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, parts = None, []
+        now, parts, held = None, [], _Gathered()
         for share, _, data in _by_share(batches):
             if share != now and parts:
-                yield _batch(rows(parts))
+                held.add(rows(parts))
                 parts = []
+                yield from held.full()
             now = share
             parts.append(data)
         if parts:
-            yield _batch(rows(parts))
+            held.add(rows(parts))
+        yield from held.all()
 
     return run
 
@@ -482,7 +511,7 @@ def remove_repeats(docs: DataFrame, *, with_text: bool = False, chunk_bytes: int
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document, and the bytes ``kept`` if asked for."""
     spark = docs.sparkSession
     small_batches(spark, 200)
-    shares = 2 * spread(spark, text_bytes(docs), share_bytes)
+    shares = spread(spark, text_bytes(docs), share_bytes)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
 
     def at_shares(df: DataFrame) -> DataFrame:
