@@ -52,17 +52,9 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _normal(piece: bytes) -> bool:
-    """Whether a piece is the same after composing, lower-casing and joining white space, and no special token is in it."""
-    if b"<" in piece:
-        return False
-    if piece.isascii():
-        return piece == piece.lower() and piece.decode().isprintable()
-    try:
-        text = piece.decode()
-    except UnicodeDecodeError:
-        return False
-    return text == text.lower() and text.isprintable() and unicodedata.is_normalized("NFC", text)
+def _normal(text: str) -> bool:
+    """Whether text is the same after composing, lower-casing and joining white space, and no special token is in it."""
+    return "<" not in text and text.isprintable() and text == text.lower() and (text.isascii() or unicodedata.is_normalized("NFC", text))
 
 
 class Encoder:
@@ -94,9 +86,12 @@ class Encoder:
 
         Normal pieces go in one text, with a character between them that none of them has.
         """
-        normal = [p for p in pieces if self.bare is not None and _normal(p)]
+        normal, joined = pieces if self.bare is not None and pieces else [], b" ".join(pieces).decode("utf-8", "replace")
+        if normal and not _normal(joined):
+            normal = [p for p in pieces if _normal(p.decode("utf-8", "replace")) and b"\xef\xbf\xbd" not in p]
+            joined = b" ".join(normal).decode("utf-8", "replace")
         if normal:
-            joined = b" ".join(normal).decode().replace(" ", f" {MARK} ")
+            joined = joined.replace(" ", f" {MARK} ")
             ids = np.array(self.bare.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = 4 * np.flatnonzero(ids == self.mark)
             raw, cuts = ids.tobytes(), zip([0, *(ends + 4).tolist()], [*ends.tolist(), 4 * len(ids)], strict=True)
