@@ -47,7 +47,20 @@ def spread(spark: SparkSession, total_bytes: int, per_task: int) -> int:
     return max(shuffle_partitions(spark), -(-total_bytes // per_task))
 
 
+#: Plan nodes over which the size of the files says how much there is to read.
+_SCANS = {"LogicalRelation", "Project", "Filter"}
+#: Bytes of text for a byte of a compressed file, about.
+_PACKED = 2
+
+
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
+    """About how many bytes of text there are: from the files' sizes where ``docs`` is a table, by a sum else."""
+    plan = docs._jdf.queryExecution().optimizedPlan()
+    node = plan
+    while node.nodeName() in _SCANS and node.children().size() == 1:
+        node = node.children().apply(0)
+    if node.nodeName().startswith("LogicalRelation") or node.nodeName().startswith("Relation"):
+        return _PACKED * int(str(node.stats().sizeInBytes()))
     return int(docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0)
 
 

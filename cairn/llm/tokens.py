@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -34,7 +35,7 @@ from cairn.llm.wavelet import WaveletMatrix, build
 
 END = 1
 #: Ids in a shard, unless one document has more.
-SHARD_IDS = 1 << 21
+SHARD_IDS = 1 << 19
 #: Bytes of text in a range, about.
 RANGE_BYTES = 128 << 20
 #: Distinct pieces whose ids are kept.
@@ -53,8 +54,13 @@ def vocabulary() -> str:
 
 
 def _normal(text: str) -> bool:
-    """Whether text is the same after composing, lower-casing and joining white space, and no special token is in it."""
-    return "<" not in text and text.isprintable() and text == text.lower() and (text.isascii() or unicodedata.is_normalized("NFC", text))
+    """Whether composing and joining white space leave text as it is, and lower-casing is the same everywhere."""
+    simple = text.isascii() or (unicodedata.is_normalized("NFC", text) and (_FAR.search(text) is None or text == text.lower()))
+    return simple and "<" not in text and text.isprintable()
+
+
+#: Characters behind the Latin blocks; lower-casing those before does not depend on their neighbours.
+_FAR = re.compile("[^\\x00-\u024f]")
 
 
 class Encoder:
@@ -91,7 +97,7 @@ class Encoder:
             normal = [p for p in pieces if _normal(p.decode("utf-8", "replace")) and b"\xef\xbf\xbd" not in p]
             joined = b" ".join(normal).decode("utf-8", "replace")
         if normal:
-            joined = joined.replace(" ", f" {MARK} ")
+            joined = joined.lower().replace(" ", f" {MARK} ")
             ids = np.array(self.bare.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = 4 * np.flatnonzero(ids == self.mark)
             raw, cuts = ids.tobytes(), zip([0, *(ends + 4).tolist()], [*ends.tolist(), 4 * len(ids)], strict=True)
@@ -103,34 +109,43 @@ class Encoder:
         for p, e in zip(pieces, found, strict=True):
             self.known[p] = _pack(f"<{len(e.ids)}I", *e.ids)
 
-    def _learn(self, pieces: list[bytes]) -> None:
+    def _learn(self, pieces: set[bytes]) -> None:
         known, older = self.known, self.older
         new, joined = set(), []
-        for p in set(pieces).difference(known):
+        for p in pieces:
             if (ids := older.get(p)) is not None:
                 known[p] = ids
             elif (word := p.rstrip(MARKS)) != p and word[-1:].isalnum():
                 # Marks after a letter or digit are a piece of their own for the tokenizer.
                 joined.append((p, word))
-                new |= {word, p[len(word) :]}
+                new.add(word)
+                new.add(p[len(word) :])
             else:
                 new.add(p)
-        self._plain([p for p in new if p not in known])
+        self._plain(list(new.difference(known)))
         for p, word in joined:
             known[p] = known[word] + known[p[len(word) :]]
 
-    def encode(self, text: bytes) -> np.ndarray:
-        """The ids of UTF-8 bytes as unsigned 32-bit numbers."""
-        if b"\xcc" not in text and b"<" not in text:
-            text = text.lower()  # ASCII letters only; no combining mark, no special token can tell the cases apart
+    def encode_batch(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of UTF-8 texts, as little-endian unsigned 32-bit numbers."""
         if len(self.known) > self.limit:
             self.known, self.older = {}, self.known
-        known, pieces = self.known, text.split()
-        try:
-            return np.frombuffer(b"".join([known[p] for p in pieces]), dtype="<u4")
-        except KeyError:
-            self._learn(pieces)
-            return np.frombuffer(b"".join([known[p] for p in pieces]), dtype="<u4")
+        # Of texts without combining mark and special token, ASCII letters can be lower before the tokenizer sees them.
+        split = [(t if b"\xcc" in t or b"<" in t else t.lower()).split() for t in texts]
+        found = [list(map(self.known.get, pieces)) for pieces in split]
+        open_places = [[i for i, x in enumerate(ids) if x is None] if None in ids else () for ids in found]
+        new = {pieces[i] for pieces, places in zip(split, open_places, strict=True) for i in places}
+        if new:
+            self._learn(new)
+            known = self.known
+            for pieces, ids, places in zip(split, found, open_places, strict=True):
+                for i in places:
+                    ids[i] = known[pieces[i]]
+        return [b"".join(ids) for ids in found]
+
+    def encode(self, text: bytes) -> np.ndarray:
+        """The ids of one text."""
+        return np.frombuffer(self.encode_batch([text])[0], dtype="<u4")
 
 
 _encoders: dict[str, Encoder] = {}
@@ -160,25 +175,26 @@ def _shards(path: str, end: int, shard_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, last = encoder(path).encode, np.array([end], dtype="<u4")
+        encode, last = encoder(path).encode_batch, np.array([end], dtype="<u4").tobytes()
         number, before = TaskContext.get().partitionId() * _RANGE, 0
         keys, lengths, parts, held = [], [], [], 0
 
         def out() -> pa.RecordBatch:
-            row = (number, before, held, keys, lengths, build(np.concatenate(parts)))
+            row = (number, before, held, keys, lengths, build(np.frombuffer(b"".join(parts), dtype="<u4")))
             return pa.RecordBatch.from_arrays([pa.array([x], kind) for x, (_, kind) in zip(row, _FIELDS, strict=True)], names=[n for n, _ in _FIELDS])
 
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encode(text or b"")
-                if parts and held + len(ids) + 1 > shard_ids:
+            texts = [t or b"" for t in batch.column(1).to_pylist()]
+            for key, ids in zip(batch.column(0).to_pylist(), encode(texts), strict=True):
+                n = len(ids) // 4 + 1
+                if parts and held + n > shard_ids:
                     yield out()
                     number, before = number + 1, before + held
                     keys, lengths, parts, held = [], [], [], 0
                 keys.append(key)
-                lengths.append(len(ids) + 1)
+                lengths.append(n)
                 parts += [ids, last]
-                held += len(ids) + 1
+                held += n
         if parts:
             yield out()
 
