@@ -18,6 +18,7 @@ from cairn.functions import html, pages, queries, text, url, values
 from cairn.operators import acquire, align, evaluate, export, extract, gapfill, jobs, merge, official, plan, rank, requirements, rerank, verify
 from cairn.plans import discovery
 from cairn.sources.tables import LexicalSearch, TablePages
+from cairn.storage import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -345,7 +346,7 @@ def _entities(spark, sf_dir) -> DataFrame:
 
 def _plans(spark) -> DataFrame:
     rows = [(f"q{i}", ("best " if i % 2 else "") + "search engine startups in the US with funding > 4M") for i in range(8)]
-    return plan.plans(spark.createDataFrame(rows, "query_id string, query string"))
+    return written(plan.plans(spark.createDataFrame(rows, "query_id string, query string")), "plans")
 
 
 def _no_requirements(rows: DataFrame) -> DataFrame:
@@ -579,8 +580,8 @@ def directory_candidates_top12(spark, sf_dir):
 def extract_drafts(spark, sf_dir):
     """Drafts that pages' own structure gives, with their homepages as official pages."""
     p = _table(spark, sf_dir, "pages").select(F.lit("q").alias("query_id"), F.col("page_id").alias("page_pos"), url.homepage(F.col("url")).alias("url"), F.lit("").alias("title"), "html")
-    plans = plan.plans(spark.createDataFrame([("q", "startups in Berlin")], "query_id string, query string"))
-    read = acquire.parsed(p, least=0)
+    plans = written(plan.plans(spark.createDataFrame([("q", "startups in Berlin")], "query_id string, query string")), "plans")
+    read = written(acquire.parsed(p, least=0), "pages")
     return extract.deterministic(read, plans).select("query_id", "draft_seq", "entity_name", F.array_join(c.columns(F.col("cells")), "|").alias("columns"))
 
 

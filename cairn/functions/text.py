@@ -40,9 +40,8 @@ def token_estimate(text: Column) -> Column:
 def truncated(text: Column, n: int = 300) -> Column:
     """At most n characters, back to the last space, with an ellipsis."""
     head = F.substring(text, 1, n)
-    at_word = F.when(head.rlike(r"^[^ ]+ "), F.regexp_replace(head, " [^ ]*$", "")).when(
-        F.length(head) - F.length(F.regexp_replace(head, "^ +", "")) > 1, F.regexp_replace(head, " [^ ]*$", "")
-    ).otherwise(head)
+    back = F.position(F.lit(" "), F.reverse(head))  # 0: there is no space
+    at_word = F.when((back > 0) & (back < F.length(head)), F.substring(head, F.lit(1), F.length(head) - back)).otherwise(head)
     return F.when(F.length(text) <= n, text).otherwise(F.concat(at_word, F.lit("…")))
 
 

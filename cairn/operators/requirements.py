@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cairn import fixed
 from cairn.functions import queries as q
 from cairn.functions import text
+from cairn.functions.binding import let
 
 _FACTORS = (("value", 1.0), ("evidence_snippet", 0.9), ("source_title", 0.8))
 
@@ -75,47 +76,62 @@ def _grounds(cell: Column, titles: bool) -> Column:
 
 def evaluated(spec: Column, cells: Column) -> Column:
     """(status, confidence, matched_value, matched_column) of a requirement on an entity's cells."""
-    found = candidates(spec, cells)
-    first = F.get(found, F.lit(0))
-    target = F.coalesce(spec["target_value"], F.lit(""))
 
     def match(status, confidence, value, column) -> Column:
         text_ = lambda x: x.cast("string") if isinstance(x, Column) else F.lit(x).cast("string")
         sure = confidence if isinstance(confidence, Column) else F.lit(confidence)
         return F.struct(text_(status).alias("status"), sure.cast("double").alias("confidence"), text_(value).alias("matched_value"), text_(column).alias("matched_column"))
 
-    grounds = F.flatten(F.transform(found, lambda x: _grounds(x, True)))
-    sure_grounds = F.flatten(F.transform(found, lambda x: _grounds(x, False)))
-    failed = match("not_satisfied", first["confidence"], first["value"], first["col"])
-
-    def first_that(test) -> Column:
-        hit = F.get(F.filter(grounds, test), F.lit(0))
-        return F.when(hit.isNotNull(), match("satisfied", hit["confidence"], hit["text"], hit["col"])).otherwise(failed)
-
-    place = q.location_slug(target, of_cells=True)
-    hint = F.lower(F.concat_ws(" ", spec["id"], spec["label"], spec["source_phrase"], target))
-    is_money = text.any_of(hint, fixed.MONEY_HINTS)
-    # The best of each kind: more confidence, then the first.
-    tested = F.transform(
-        sure_grounds,
-        lambda g, i: F.struct(
-            compared(g["text"], spec["operator"], target, is_money).alias("ok"), (-g["confidence"]).alias("less"), i.alias("pos"), g["text"].alias("text"), g["col"].alias("col")
-        ),
-    )
-    best = lambda ok: F.array_min(F.transform(F.filter(tested, lambda t: t["ok"] if ok else ~t["ok"]), lambda t: F.struct(t["less"], t["pos"], t["text"], t["col"])))
-    good, bad = best(True), best(False)
-    numeric = (
-        F.when(good.isNotNull(), match("satisfied", -good["less"], good["text"], good["col"]))
-        .when(bad.isNotNull(), match("not_satisfied", -bad["less"], bad["text"], bad["col"]))
-        .otherwise(match("unknown", 0.0, first["value"], first["col"]))
-    )
-    return (
-        F.when(F.size(found) == 0, match("unknown", 0.0, None, None))
-        .when(spec["operator"] == "exists", match("satisfied", first["confidence"], first["value"], first["col"]))
-        .when(spec["kind"] == "location", first_that(lambda g: in_place(g["text"], place)))
-        .when(spec["kind"] == "numeric", numeric)
-        .otherwise(first_that(lambda g: plain(g["text"]).contains(plain(target))))
-    )
+    def judged(b: Column) -> Column:
+        found, grounds, target = b["found"], b["grounds"], b["target"]
+        first = F.get(found, F.lit(0))
+
+        def first_that(test) -> Column:
+            hits = F.filter(grounds, test)
+            failed = match("not_satisfied", first["confidence"], first["value"], first["col"])
+            return let({"hit": F.get(hits, F.lit(0))}, lambda h: F.when(h["hit"].isNotNull(), match("satisfied", h["hit"]["confidence"], h["hit"]["text"], h["hit"]["col"])).otherwise(failed))
+
+        tested = F.transform(
+            b["sure_grounds"],
+            lambda g, i: F.struct(
+                compared(g["text"], spec["operator"], target, b["is_money"]).alias("ok"), (-g["confidence"]).alias("less"), i.alias("pos"), g["text"].alias("text"), g["col"].alias("col")
+            ),
+        )
+
+        def numbers(t: Column) -> Column:
+            # The best of each kind: more confidence, then the first.
+            best = lambda ok: F.array_min(F.transform(F.filter(t["tested"], lambda x: x["ok"] if ok else ~x["ok"]), lambda x: F.struct(x["less"], x["pos"], x["text"], x["col"])))
+            return let(
+                {"good": best(True), "bad": best(False)},
+                lambda n: F.when(n["good"].isNotNull(), match("satisfied", -n["good"]["less"], n["good"]["text"], n["good"]["col"]))
+                .when(n["bad"].isNotNull(), match("not_satisfied", -n["bad"]["less"], n["bad"]["text"], n["bad"]["col"]))
+                .otherwise(match("unknown", 0.0, first["value"], first["col"])),
+            )
+
+        return (
+            F.when(F.size(found) == 0, match("unknown", 0.0, None, None))
+            .when(spec["operator"] == "exists", match("satisfied", first["confidence"], first["value"], first["col"]))
+            .when(spec["kind"] == "location", first_that(lambda g: in_place(g["text"], b["place"])))
+            .when(spec["kind"] == "numeric", let({"tested": tested}, numbers))
+            .otherwise(first_that(lambda g: plain(g["text"]).contains(b["plain"])))
+        )
+
+    def grounded(a: Column) -> Column:
+        hint = F.lower(F.concat_ws(" ", spec["id"], spec["label"], spec["source_phrase"], a["target"]))
+        return let(
+            {
+                "found": a["found"],
+                "target": a["target"],
+                "grounds": F.flatten(F.transform(a["found"], lambda x: _grounds(x, True))),
+                "sure_grounds": F.flatten(F.transform(a["found"], lambda x: _grounds(x, False))),
+                "place": q.location_slug(a["target"], of_cells=True),
+                "plain": plain(a["target"]),
+                "is_money": text.any_of(hint, fixed.MONEY_HINTS),
+            },
+            judged,
+        )
+
+    return let({"found": candidates(spec, cells), "target": F.coalesce(spec["target_value"], F.lit(""))}, grounded)
 
 
 def summarized(entities: DataFrame, plans: DataFrame) -> DataFrame:
@@ -124,8 +140,9 @@ def summarized(entities: DataFrame, plans: DataFrame) -> DataFrame:
     joined = entities.join(specs, "query_id", "left")
 
     def one(s: Column) -> Column:
-        m = evaluated(s, F.col("cells"))
-        return F.struct(s["id"].alias("requirement_id"), s["label"].alias("label"), s["is_hard"].alias("is_hard"), *[m[k].alias(k) for k in ("status", "confidence", "matched_value", "matched_column")])
+        names = ("status", "confidence", "matched_value", "matched_column")
+        head = [s["id"].alias("requirement_id"), s["label"].alias("label"), s["is_hard"].alias("is_hard")]
+        return let({"m": evaluated(s, F.col("cells"))}, lambda b: F.struct(*head, *[b["m"][k].alias(k) for k in names]))
 
     n = F.greatest(F.size("__specs"), F.lit(0))
     matched = joined.withColumn("matches", F.coalesce(F.transform("__specs", one), F.expr("filter(array(null), x -> false)").cast(_MATCHES)))
