@@ -76,15 +76,20 @@ class Machine:
 
 
 def _informative(rows: list[np.ndarray], labels: np.ndarray, most: int) -> np.ndarray:
-    """The buckets whose presence tells the labels apart best, by the chi-squared statistic."""
-    n, p = len(rows), labels.sum()
-    all_in, toxic_in = (np.bincount(np.concatenate(part), minlength=BUCKETS).astype(float) if part else np.zeros(BUCKETS) for part in (rows, [r for r, y in zip(rows, labels, strict=True) if y]))
-    expected = all_in * p / n
+    """The buckets whose presence tells the labels apart best, by the likelihood ratio.
+
+    Of those without any relation to the labels a tenth of one is expected to pass.
+    """
+    n, share = len(rows), labels.sum() / len(rows)
+    held, toxic = (np.bincount(np.concatenate(part), minlength=BUCKETS).astype(float) for part in (rows, [r for r, y in zip(rows, labels, strict=True) if y]))
     with np.errstate(divide="ignore", invalid="ignore"):
-        chi = (toxic_in - expected) ** 2 / (expected * (1 - p / n) * np.maximum(1 - all_in / n, 1 / n))
-    chi[(all_in < 3) | ~np.isfinite(chi)] = 0
-    best = np.argsort(-chi, kind="stable")[:most]
-    return np.sort(best[chi[best] > 0])
+        term = lambda seen, expected: np.where(seen > 0, seen * np.log(seen / expected), 0.0)
+        inside = term(toxic, held * share) + term(held - toxic, held * (1 - share))
+        without, rest = n - held, labels.sum() - toxic
+        outside = term(rest, without * share) + term(without - rest, without * (1 - share))
+    ratio = np.nan_to_num(2 * (inside + outside), nan=0.0, posinf=0.0)
+    best = np.argsort(-ratio, kind="stable")[:most]
+    return np.sort(best[ratio[best] > 2 * np.log(10 * max(1, np.count_nonzero(held)))])
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, *, terms: int = TERMS, factors: int = FACTORS, rounds: int = 20, rate: float = 0.2, decay: float = 1e-5, toxic_weight: float = 3.0, seed: int = 0) -> Machine:

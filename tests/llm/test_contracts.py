@@ -1,0 +1,212 @@
+"""The queries of the contracts against brute force, on documents with every awkward case."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+
+from cairn.llm import catalog
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def run(spark, name, sf_dir):
+    return [r.asDict() for r in catalog.QUERIES[name](spark, sf_dir).collect()]
+
+
+def bag(rows, *names):
+    return Counter(tuple(r[n] for n in names) for r in rows)
+
+
+def held_out(key, n, r):
+    return key is not None and zlib.crc32(str(key).encode()) % n == r
+
+
+def benchmark(spark, sf_dir):
+    return [(r[0], r[1]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+
+
+def test_op1_decontamination(spark, sf_dir, plain_rows):
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
+    windows = defaultdict(set)
+    for item, text in benchmark(spark, sf_dir):
+        w = words(text)
+        for i in range(max(1, len(w) - 12) if w else 0):
+            windows[tuple(w[i : i + 13])].add(str(item))
+    expected = Counter()
+    for key, text in plain_rows:
+        w, hit, items = words(text), set(), set()
+        for window, owners in windows.items():
+            for i in range(len(w) - len(window) + 1):
+                if tuple(w[i : i + len(window)]) == window:
+                    hit |= set(range(i, i + len(window)))
+                    items |= owners
+        digest = hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+        expected[key, len(w), len(hit), len(items), digest, bool(hit) and 20 * len(hit) >= len(w)] += 1
+    assert bag(run(spark, "op1_benchmark_decontamination", sf_dir), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == expected
+
+
+def test_op2_repeats(spark, sf_dir, plain_rows):
+    rank = lambda k: -(1 << 63) if k is None else k
+    first = {}
+    texts = [(rank(k), k, (t or "").encode()) for k, t in plain_rows]
+    for r, _, b in texts:
+        for s in range(len(b) - 49):
+            first[b[s : s + 50]] = min(r, first.get(b[s : s + 50], r))
+    expected = Counter()
+    for r, k, b in texts:
+        gone = np.zeros(len(b) + 1, dtype=bool)
+        for s in range(len(b) - 49):
+            if first[b[s : s + 50]] < r:
+                gone[s : s + 50] = True
+        left = bytes(x for x, g in zip(b, gone, strict=False) if not g)
+        runs = sum(gone[i] and not (i and gone[i - 1]) for i in range(len(b)))
+        expected[k, len(b), int(gone.sum()), runs, hashlib.sha256(left).hexdigest()] += 1
+    assert bag(run(spark, "op2_suffix_dedup", sf_dir), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == expected
+
+
+@pytest.mark.parametrize(("name", "threshold"), [("op3_toxicity", 0.3), ("op5_quality_classifier", 0.7)])
+def test_scores(spark, sf_dir, plain_rows, name, threshold):
+    rows = run(spark, name, sf_dir)
+    assert Counter(r["doc_id"] for r in rows) == Counter(k for k, _ in plain_rows)
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= threshold) for r in rows)
+    assert all(bool(r["held_out"]) == held_out(r["doc_id"], 4, 2) for r in rows)
+    by_text = defaultdict(set)
+    for r in rows:
+        if r["doc_id"] is not None:
+            by_text[dict(plain_rows)[r["doc_id"]] if r["doc_id"] != 5 else r["score"]].add(r["score"])
+    assert all(len(s) == 1 for s in by_text.values())  # equal texts score alike
+
+
+def fingerprint(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+    shingles = [" ".join(w[i : i + 4]) for i in range(max(1, len(w) - 3))] if w else []
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_op4_near_duplicates(spark, sf_dir, plain_rows):
+    prints = [(k, fingerprint(t)) for k, t in plain_rows]
+    root = list(range(len(prints)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(prints)):
+        for j in range(i):
+            if (prints[i][1] ^ prints[j][1]).bit_count() <= 4:
+                root[find(i)] = find(j)
+    least = {}
+    for i, (k, _) in enumerate(prints):
+        if k is not None:
+            least[find(i)] = min(k, least.get(find(i), k))
+    expected = Counter((k, f"{f:016x}", least.get(find(i))) for i, (k, f) in enumerate(prints))
+    assert bag(run(spark, "op4_simhash_near_dedup", sf_dir), "doc_id", "fingerprint", "component_id") == expected
+
+
+def test_op6_digests(spark, sf_dir, plain_rows):
+    rows = run(spark, "op6_quartile_digest", sf_dir)
+    order = sorted(((k is not None, k or 0, t or "") for k, t in plain_rows), key=lambda x: (x[0], x[1], x[2].encode()))
+    expected = Counter()
+    for i, (some, k, t) in enumerate(order):
+        half = len(t) // 2
+        edited = t[: len(t) - half] + order[(i + 1) % len(order)][2][:half]
+        expected[k if some else None, len(t), hashlib.sha256(edited.encode()).hexdigest()] += 1
+    assert bag(rows, "doc_id", "n_chars", "edited_sha256") == expected
+    assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in rows)
+    prints = defaultdict(set)
+    for r in rows:
+        if r["doc_id"] not in (None, 5):
+            prints[dict(plain_rows)[r["doc_id"]] or ""].add(r["fingerprint"])
+    assert all(len(p) == 1 for p in prints.values())
+
+
+def test_op7_tokens(spark, sf_dir, plain_rows):
+    from tokenizers import Tokenizer
+
+    from cairn.llm.tokens import vocabulary
+
+    t = Tokenizer.from_file(vocabulary())
+    order = sorted(((k is not None, k or 0, x or "") for k, x in plain_rows), key=lambda x: (x[0], x[1], x[2].encode()))
+    expected, start = Counter(), 0
+    for some, k, x in order:
+        ids = np.array([*t.encode(x, add_special_tokens=False).ids, 1], dtype="<u4")
+        expected[k if some else None, start, len(ids), zlib.crc32(ids.tobytes())] += 1
+        start += len(ids)
+    assert bag(run(spark, "op7_wavelet_token_shards", sf_dir), "doc_id", "start", "n_tokens", "ids_crc32") == expected
+
+
+def test_op8_scores(spark, sf_dir, plain_rows):
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))
+    counts, ends = Counter(), 0
+    for k, t in plain_rows:
+        if not held_out(k, 10, 0):
+            counts.update(words(t))
+            ends += 1
+    n, v = counts.total() + ends, len(counts) + 1
+    whole = math.log10(n + 0.1 * (v + 1))
+    expected = Counter()
+    for k, t in plain_rows:
+        w = words(t)
+        base = sum(math.log10(counts[x] + 0.1) - whole for x in w) + math.log10(ends + 0.1) - whole
+        expected[k, held_out(k, 10, 0), len(w) + 1, sum(x in counts for x in w) + 1, n, round(base, 6)] += 1
+    rows = run(spark, "op8_lattice_scoring", sf_dir)
+    assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in rows) == expected
+    assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in rows)
+
+
+def test_op9_mixing(spark, sf_dir, plain_rows):
+    rows = run(spark, "op9_source_mixing", sf_dir)
+    assert Counter(r["doc_id"] for r in rows) == Counter(k for k, _ in plain_rows)
+    assert bag(rows, "doc_id", "size") == Counter((k, len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))) for k, t in plain_rows)
+    total = sum(r["size"] for r in rows)
+    by_source = defaultdict(list)
+    for r in rows:
+        by_source[r["source_size"], r["target"]].append(r)
+    assert math.isclose(sum(t for _, t in by_source), 1.5 * total, rel_tol=1e-9)
+    longest = max(r["size"] for r in rows)
+    for (size, target), part in by_source.items():
+        assert sum(r["size"] for r in part) == size and target <= 2 * size + 1e-9
+        assert abs(sum(r["taken"] for r in part) - target) <= 2 * longest
+    assert all(r["taken"] in (0, r["size"], 2 * r["size"]) for r in rows)
+    assert sum(r["taken"] for r in rows) <= 1.5 * total
+    assert bag(run(spark, "op9_source_mixing", sf_dir), "doc_id", "taken") == bag(rows, "doc_id", "taken")
+
+
+def test_op10_languages(spark, sf_dir):
+    rows = run(spark, "op10_language_id", sf_dir)
+    assert Counter(r["page_id"] for r in rows) == Counter([1, 2, 3, 4, 4, None])
+    assert all(r["lang"] in ("en", "fr", "de") and 0 < r["confidence"] <= 1 for r in rows)
+    assert next(r for r in rows if r["page_id"] == 1)["declared"] == "fr"
+
+
+@pytest.mark.parametrize("name", list(catalog.QUERIES))
+def test_empty_tables(spark, tmp_path, sf_dir, name):
+    for t in ("documents", "labels", "benchmark", "pages"):
+        spark.read.parquet(f"{sf_dir}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
+    assert run(spark, name, str(tmp_path)) == []
+
+
+@pytest.mark.parametrize("name", list(catalog.ORACLE))
+def test_sql(spark, name):
+    """The SQL of a contract on the smallest of the driver's tables."""
+    import duckdb
+
+    at = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{at}/{t}.parquet'")
+    result = con.execute(catalog.ORACLE[name])
+    names = [c[0] for c in result.description]
+    tidy = lambda v: float(f"{v:.9g}") if isinstance(v, float) else v
+    expected = Counter(tuple(tidy(v) for v in row) for row in result.fetchall())
+    found = catalog.QUERIES[name](spark, at)
+    assert sorted(found.columns) == sorted(names)
+    assert Counter(tuple(tidy(r[n]) for n in names) for r in found.collect()) == expected

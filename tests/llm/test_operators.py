@@ -1,0 +1,225 @@
+"""The operators' own interfaces: whole tables in, whole tables out."""
+
+import math
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from cairn.llm import components, decontaminate, digest, language, lattice, mixing, quality, scoring, simhash, substrings, suffixes, tokens, toxicity, wavelet
+
+
+def test_extra_columns_stay(docs, spark, sf_dir):
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    for out in (decontaminate.decontaminate(docs, bench), simhash.deduplicate(docs), mixing.mixed(docs)):
+        assert out.columns == docs.columns
+        assert {r[0] for r in out.select("words").collect()} <= {"clash"}
+
+
+def test_pipeline_stages(spark, docs, sf_dir):
+    import corpus_pipeline
+
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, table, sf_dir)
+        assert kept.columns == table.columns, name
+        table = spark.createDataFrame(kept.collect(), table.schema)
+    rows = corpus_pipeline.STAGES[-1][1](spark, table, sf_dir).collect()
+    assert Counter(r["doc_id"] for r in rows) == Counter(r[0] for r in table.select("doc_id").collect())
+
+
+def test_pipeline_on_nothing(spark, empty, sf_dir):
+    import corpus_pipeline
+
+    table = empty.select("doc_id", "text", "lang", "source", "n_chars")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, table, sf_dir).count() == 0, name
+
+
+def test_one_document_of_each_class_stays(spark, docs):
+    kept = [r["doc_id"] for r in simhash.deduplicate(docs).collect()]
+    classes = {(r["doc_id"], r["component_id"]) for r in simhash.classes(docs).collect()}
+    assert Counter(k for k in kept if k is not None) == Counter({c for _, c in classes if c is not None})
+
+
+def test_several_automata(spark, docs, sf_dir):
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    rows = lambda block: Counter((r["doc_id"], r["n_hit"], tuple(r["items"])) for r in decontaminate.find(docs, bench, block_words=block, keep=["doc_id"]).collect())
+    assert rows(100_000) == rows(30)
+
+
+def test_spans_are_cut(spark, sf_dir):
+    bench = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(13)))], "item_id long, text string")
+    text = "start " * 300 + "W0, " + " ".join(f"w{i}" for i in range(1, 13)) + " end"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    cut = decontaminate.decontaminate(docs, bench, longest=12).first()["text"]
+    assert cut == "start " * 300 + " end"
+
+
+def test_suffix_automaton_finds_all_windows():
+    rng = random.Random(3)
+    items = [[rng.choice([b"a", b"b", b"c"]) for _ in range(rng.randint(1, 12))] for _ in range(6)]
+    automaton = decontaminate.SuffixAutomaton(items, 5)
+    for _ in range(60):
+        words = [rng.choice([b"a", b"b", b"c", b"d"]) for _ in range(rng.randint(0, 30))]
+        hit, found = np.zeros(len(words), bool), set()
+        for n, item in enumerate(items):
+            size = min(5, len(item))
+            for window in {tuple(item[i : i + size]) for i in range(len(item) - size + 1)}:
+                for i in range(len(words) - size + 1):
+                    if tuple(words[i : i + size]) == window:
+                        hit[i : i + size] = True
+                        found.add(n)
+        own_hit, own_found = automaton.match(words)
+        assert (own_hit == hit).all() and own_found == found
+
+
+def test_suffix_order():
+    rng = random.Random(1)
+    for t in range(80):
+        data = bytes(rng.choice(b"ab" if t % 2 else b"a\x00b") for _ in range(rng.randint(0, 60)))
+        assert suffixes.suffix_array(data, rng.choice([8, 16])).tolist() == sorted(range(len(data)), key=lambda i: data[i:])
+
+
+def test_runs_of_long_texts(spark):
+    """A text of several segments, with a repeat across their border."""
+    rng = random.Random(5)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(substrings.SEGMENT + 4000))
+    again = text[substrings.SEGMENT - 300 : substrings.SEGMENT + 300]
+    docs = spark.createDataFrame([(1, text), (2, "x" + again + "y")], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in substrings.remove_repeats(docs, with_text=True).collect()}
+    assert rows[1]["n_removed"] == 0 and rows[2]["n_removed"] == 600 and bytes(rows[2]["kept"]) == b"xy"
+
+
+def test_grid_finds_every_link():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 63, 150, dtype=np.uint64)
+    near = [b ^ np.uint64(sum(1 << int(i) for i in rng.choice(64, d, replace=False))) for b in base for d in (1, 3, 4, 5)]
+    prints = np.unique(np.concatenate((base, np.array(near, dtype=np.uint64))))
+    cells, who = simhash.cells_of(prints)
+    order = np.argsort(cells, kind="stable")
+    a, b = simhash.links_in(cells[order], who[order])
+    expected = {(int(x), int(y)) for i, x in enumerate(prints) for y in prints[i + 1 :] if (int(x) ^ int(y)).bit_count() <= 4}
+    assert {(int(x), int(y)) for x, y in zip(a, b, strict=True)} <= expected
+    root = {int(p): int(p) for p in prints}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        root[find(x)] = find(y)
+    assert all(find(x) == find(y) for x, y in expected)
+
+
+def test_components(spark):
+    chain = [(i, i + 1) for i in range(60)] + [(100, 200), (200, 300), (100, 300), (7, 7)]
+    found = {r[0]: r[1] for r in components.components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    assert found == {**{i: 0 for i in range(61)}, 100: 100, 200: 100, 300: 100} or found == {**{i: 0 for i in range(1, 61)}, 200: 100, 300: 100}
+
+
+def test_wavelet_matrix():
+    rng = np.random.default_rng(0)
+    for n, top in ((0, 1), (1, 1), (1000, 7), (3000, 50_000), (500, 1)):
+        numbers = rng.integers(0, top, n).astype(np.uint32)
+        m = wavelet.WaveletMatrix(wavelet.build(numbers))
+        assert (m.decode() == numbers).all()
+        for i in range(0, n, 37):
+            value = int(numbers[i])
+            places = np.flatnonzero(numbers == value)
+            assert m.access(i) == value and m.count(value) == len(places) and m.rank(value, i) == int((numbers[:i] == value).sum())
+            assert [m.select(value, k) for k in (0, len(places) - 1, len(places))] == [int(places[0]), int(places[-1]), -1]
+        assert m.count(60_000) == 0
+
+
+def test_shards_are_cut_and_counted(spark, docs):
+    whole = {(r["doc_id"], r["start"], r["ids_crc32"]) for r in tokens.read_shards(tokens.write_shards(docs, tokens.vocabulary())).collect()}
+    shards = tokens.write_shards(docs, tokens.vocabulary(), shard_ids=100)
+    assert shards.count() > 10
+    assert {(r["doc_id"], r["start"], r["ids_crc32"]) for r in tokens.read_shards(shards).collect()} == whole
+
+
+def test_factorization_machine_learns_pairs():
+    rng = np.random.default_rng(1)
+    rows, labels = [], []
+    for _ in range(3000):
+        a, b = rng.random(2) < 0.5
+        terms = np.unique(np.concatenate(([11] if a else [], [22] if b else [], rng.integers(100, 130, 5))).astype(np.int32))
+        rows.append(terms)
+        labels.append(float(a and b))  # neither is toxic alone
+    model = toxicity.fit(rows, np.array(labels), rounds=15)
+    guessed = [model.score(model.features(r)) >= 0.5 for r in rows]
+    assert np.mean(np.array(guessed) == (np.array(labels) > 0)) > 0.97
+
+
+def test_models_without_labels():
+    model = toxicity.fit([], np.zeros(0))
+    assert model.score(model.features(np.array([1, 2], dtype=np.int32))) < 0.01
+    ridge = quality.Ridge(np.zeros(len(quality.STATISTICS)), np.ones(len(quality.STATISTICS)))
+    assert ridge.score(np.array([quality.statistics(b"")])).tolist() == [0.5]
+
+
+@pytest.mark.parametrize(("query", "label", "least"), [("op3_toxicity", "toxic", 0.9), ("op5_quality_classifier", "quality", 0.9)])
+def test_held_out_accuracy(spark, query, label, least):
+    from cairn.llm import catalog
+
+    at = "/root/testdata/sf0.01"
+    rows = catalog.QUERIES[query](spark, at).join(spark.read.parquet(f"{at}/labels.parquet"), "doc_id").where("held_out").collect()
+    assert sum(r["predicted"] == r[label] for r in rows) / len(rows) >= least
+
+
+def test_isotonic():
+    values, weights = np.array([0.2, 0.1, 0.4, 0.3, 0.9]), np.array([1.0, 3.0, 1.0, 1.0, 2.0])
+    out = quality.isotonic(values, weights)
+    assert np.allclose(out, [0.125, 0.125, 0.35, 0.35, 0.9])
+
+
+def test_lattice_sums_all_segmentations():
+    texts, p = ["▁", "a", "b", "ab", "▁a", "ba"], None
+    p = np.concatenate((np.array([0.1, 0.2, 0.1, 0.2, 0.15, 0.05]), np.full(256, 0.1 / 256), [0.1]))
+    grid = lattice.Lattice(texts, p)
+    known = dict(zip(texts, p, strict=False))
+
+    def total(s):
+        return 1.0 if not s else sum(known[s[:n]] * total(s[n:]) for n in range(1, len(s) + 1) if s[:n] in known)
+
+    words = ["a", "ab", "aba", "bab", "bbab"]
+    assert np.allclose(grid.score(words), [math.log(total("▁" + w)) for w in words])
+    counts = grid.expect(words, np.ones(len(words)))
+    spelled = sum(c * len(t) for c, t in zip(counts, texts, strict=False))
+    assert math.isclose(spelled, sum(len(w) + 1 for w in words), rel_tol=1e-9)
+    assert math.isfinite(grid.score(["é" * 300])[0]) and grid.score(["é"])[0] < grid.score(["a"])[0]
+
+
+def test_training_improves_likelihood(spark, docs):
+    held = scoring.held_out()
+    zero, two = (scoring.score(docs, scoring.vocabulary(), held, group=None, rounds=n).agg({"score": "sum"}).first()[0] for n in (0, 2))
+    assert two > zero
+
+
+def test_digests():
+    a = b"The quick brown fox jumps over the lazy dog. " * 20
+    near, far = a.replace(b"lazy", b"idle", 3), bytes(range(256)) * 4
+    same, close, other = (digest.likeness(digest.digest(a), digest.digest(x)) for x in (a, near, far))
+    assert same == 1 and 0.5 < close < 1 and other < close
+    assert digest.difference(digest.digest(a), digest.digest(far)) == digest.difference(digest.digest(far), digest.digest(a))
+    assert digest.edited("aéb".encode(), "ñx".encode()) == "aéñ".encode()
+
+
+def test_mix_levels(spark):
+    rows = [(i, "w " * (10 + i % 3), s) for i, s in enumerate(["a"] * 50 + ["b"] * 30 + ["c"] * 5 + [None] * 15)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), slice_rows=7).collect()
+    targets = {(r["source_size"], r["target"]) for r in out}
+    sizes = sorted(s for s, _ in targets)
+    whole = sum(sizes)
+    assert math.isclose(sum(t for _, t in targets), 1.5 * whole)
+    assert abs(sum(r["taken"] for r in out) - 1.5 * whole) <= 24
+
+
+def test_language_evidence():
+    page = b'<html lang="de"><head><style>x</style></head><body><nav>le la</nav>Wort &amp; Satz<script>if (a<b) {}</script> mehr</body>'
+    assert language.declared(page) == "de" and language.visible(page).split() == [b"Wort", b"Satz", b"mehr"]
+    assert language.visible(b"a <script> never closed") .split() == [b"a"]
+    assert language.host_of("https://www.Example.COM:80/x") == "www.example.com" and language.host_of("http://[") == ""
