@@ -62,7 +62,7 @@ def visible(html: bytes) -> bytes:
         if end < 0:
             at = len(html) if name in (b"script", b"style", b"!--") else m.end()
         else:
-            at = end + len(close)
+            at = html.find(b">", end) + 1 or len(html)
     parts.append(html[at:])
     return _ENTITY.sub(b" ", _TAG.sub(b" ", b" ".join(parts)))
 
