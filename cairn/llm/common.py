@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cairn.storage import written
+
+__all__ = ["ALNUM", "SPACED", "SPACED_CASED", "WORD", "annotate", "bucket_of", "small_batches", "spread", "table", "text_bytes", "written"]
+
 #: ASCII letters become lower case, every byte outside 0-9, a-z and the bytes
 #: of non-ASCII characters becomes a space.
 ALNUM = bytes(
@@ -69,58 +68,6 @@ def bucket_of(key: Column) -> Column:
     return F.crc32(key.cast("string").cast("binary"))
 
 
-# --- tables in the shared folder -------------------------------------------------
-
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    ``spark.checkpoint.dir`` names it.  A local session without that setting
-    gets a temporary folder; a cluster without it is an error, as its
-    executors would not see a folder of the driver.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    global _own
-    if _own is None:
-        _own = tempfile.mkdtemp(prefix="cairn-")
-    return f"file://{_own}"
-
-
-_own: str | None = None
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again.
-
-    This cuts lineage: what is lost with an executor is read, not computed
-    again.  The tables go when the driver ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    if not _written:
-        atexit.register(forget_tables)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def forget_tables() -> None:
-    """Deletes the tables of ``written``; called when the driver ends."""
-    while _written:
-        spark, path = _written.pop()
-        try:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the JVM has gone: nothing is left to ask
-            return
-
-
 # --- one Arrow pass over the rows ------------------------------------------------
 
 #: The texts' bytes while they are on their way to Python.
@@ -157,35 +104,3 @@ def annotate(
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *made], names=[*names, *fields])
 
     return taken.mapInArrow(run, schema)
-
-
-# --- words as numbers ------------------------------------------------------------
-
-
-class Interner:
-    """Words to numbers, for batches: each distinct word costs one dict entry.
-
-    The table starts anew when it holds ``limit`` words, so memory is bounded.
-    """
-
-    def __init__(self, limit: int = 400_000):
-        self.limit, self.index, self.words = limit, {}, []
-
-    def reset_if_full(self) -> bool:
-        if len(self.words) < self.limit:
-            return False
-        self.index, self.words = {}, []
-        return True
-
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        index = self.index
-        out = [index.get(w, -1) for w in words]
-        if -1 in out:
-            for i, x in enumerate(out):
-                if x < 0:
-                    w = words[i]
-                    if (n := index.get(w)) is None:
-                        n = index[w] = len(self.words)
-                        self.words.append(w)
-                    out[i] = n
-        return np.array(out, dtype=np.int64)

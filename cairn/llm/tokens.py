@@ -39,7 +39,7 @@ SHARD_IDS = 1 << 19
 #: Bytes of text in a range, about.
 RANGE_BYTES = 128 << 20
 #: Distinct pieces whose ids are kept.
-PIECES = 900_000
+PIECES = 700_000
 #: ASCII marks that split off a word's end, without the apostrophe and the brackets of special tokens.
 MARKS = b".,;:!?%$#&*|()\"-"
 #: A character that is not printable, so in no piece that is encoded beside others.
@@ -222,7 +222,7 @@ def read_shards(shards: DataFrame) -> DataFrame:
     text, so what is broadcast is a ten-millionth of the input.
     """
     spark = shards.sparkSession
-    small_batches(spark, 2)
+    small_batches(spark, 32)
     range_of = F.floor(F.col("shard") / _RANGE).cast("long")
     starts, before = [], 0
     for number, n in sorted(tuple(r) for r in shards.groupBy(range_of.alias("range")).agg(F.sum("n_ids")).collect()):
