@@ -354,18 +354,38 @@ CTA_TAIL = (
     r"(?:\s+(?:now|free|online|here|today|us|all|more|it|them|your|yours|in|out|up|started|forward|available|a\s+table|"
     r"a\s+demo|a\s+quote|a\s+seat|directions?|menu|details?|the\s+(?:app|menu|pdf|guide)|for\s+free))?"
 )
-CTA_PATTERN = (
-    r"^(?:"
-    + "|".join(x + CTA_TAIL for x in (
-        "order", "buy", "book", r"sign\s+up", r"get\s+started", r"learn\s+more", r"read\s+more", r"call\s+(?:us|now)",
-        "download", "subscribe", "access", "register",
-    ))
-    + r"|view\s+(?:all|more|menu|details?|directions?)|see\s+(?:all|more|menu|details?)|click\s+here|contact\s+us"
-    r"|reserve\s+(?:a\s+)?(?:table|seat|spot|now|online)|explore\s+(?:more|now|all)|watch\s+(?:now|the\s+video)"
-    r"|add\s+to\s+(?:cart|bag|wishlist)|shop\s+(?:now|all)|find\s+(?:out\s+more|us\s+on)|visit\s+us"
-    r"|check\s+(?:out|availability)|browse\s+(?:all|more)|try\s+(?:it\s+)?(?:free|now)"
-    r"|get\s+(?:it|them|access|yours|directions?|the\s+app)|apply\s+(?:now|online)|see\s+directions?)$"
-)
+CTA_PHRASES = (
+    "order" + CTA_TAIL,
+    "buy" + CTA_TAIL,
+    "book" + CTA_TAIL,
+    r"sign\s+up" + CTA_TAIL,
+    r"get\s+started" + CTA_TAIL,
+    r"learn\s+more" + CTA_TAIL,
+    r"read\s+more" + CTA_TAIL,
+    r"view\s+(?:all|more|menu|details?|directions?)",
+    r"see\s+(?:all|more|menu|details?)",
+    r"click\s+here",
+    r"contact\s+us",
+    r"call\s+(?:us|now)" + CTA_TAIL,
+    r"reserve\s+(?:a\s+)?(?:table|seat|spot|now|online)",
+    r"explore\s+(?:more|now|all)",
+    r"watch\s+(?:now|the\s+video)",
+    "download" + CTA_TAIL,
+    "subscribe" + CTA_TAIL,
+    r"add\s+to\s+(?:cart|bag|wishlist)",
+    r"shop\s+(?:now|all)",
+    r"find\s+(?:out\s+more|us\s+on)",
+    "access" + CTA_TAIL,
+    r"visit\s+us",
+    r"check\s+(?:out|availability)",
+    r"browse\s+(?:all|more)",
+    r"try\s+(?:it\s+)?(?:free|now)",
+    r"get\s+(?:it|them|access|yours|directions?|the\s+app)",
+    r"apply\s+(?:now|online)",
+    "register" + CTA_TAIL,
+    r"see\s+directions?",
+)
+CTA_PATTERN = "^(?:" + "|".join(CTA_PHRASES) + ")$"
 ARTICLE_TITLE_PATTERN = (
     r"^(?:the\s+)?(?:\d+\s+)?(?:best|top|worst|greatest|biggest|leading|most\s+\w+|popular|famous|notable|"
     r"must[-\s](?:try|visit|see|have)|highest[-\s]rated|award[-\s]winning)\s+\w"
