@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from cairn import fixed, oracle, schemas
 from cairn.functions import cells as c
 from cairn.functions import html, pages, queries, text, url, values
-from cairn.operators import acquire, align, evaluate, export, extract, gapfill, jobs, merge, official, plan, rank, requirements, rerank, verify
+from cairn.operators import acquire, align, display, evaluate, export, extract, gapfill, jobs, merge, official, plan, rank, requirements, rerank, verify
 from cairn.plans import discovery
 from cairn.sources.tables import LexicalSearch, TablePages
 from cairn.storage import written
@@ -666,6 +666,44 @@ def eval_run_summary(spark, sf_dir):
     return evaluate.run_summary(evaluate.query_metrics(_entities(spark, sf_dir), p), durations)
 
 
+# --- display -----------------------------------------------------------------------
+
+
+@query
+def display_confidence_bands(spark, sf_dir):
+    """Bands of cells' confidences, and the columns' priorities."""
+    x = _entities(spark, sf_dir).select("query_id", "row_pos", F.inline("cells"))
+    return x.select("query_id", "row_pos", "col", display.confidence_band(F.col("confidence")).alias("band"), display.column_priority(F.col("col")).alias("priority"))
+
+
+@query
+def display_columns_sorted(spark, sf_dir):
+    named = F.concat(F.array("p_type", F.lit("site_url"), F.lit("notes")), F.when(F.col("p_size") % 2 == 0, F.array(F.lit("summary"), F.lit("name"))).otherwise(F.array(F.lit("homepage"))), F.array("p_brand", F.lit("founded")))
+    return _table(spark, sf_dir, "part").select("p_partkey", F.array_join(display.columns_by_priority(named), "|").alias("columns"))
+
+
+@query
+def display_short_urls(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", display.short_url(F.col("url"), 24).alias("shown"))
+
+
+@query
+def display_badges(spark, sf_dir):
+    r = rank.ranked(_scored(spark, sf_dir))
+    return r.select("query_id", "row_pos", F.array_join(display.badges(r), "|").alias("badges"))
+
+
+@query
+def display_requirement_filter(spark, sf_dir):
+    k = F.col("s_suppkey")
+    rows = _table(spark, sf_dir, "supplier").select("s_suppkey", (k % 4).alias("requirements_total"), F.least(k % 3, k % 4).alias("requirements_satisfied"), F.lit(0).alias("requirements_unknown"))
+    parts = [display.requirement_filter(rows, choice).select(F.lit(choice).alias("choice"), "s_suppkey") for choice in ("all", "all-req", "2plus", "1plus")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 # --- whole runs --------------------------------------------------------------------
 
 

@@ -487,3 +487,14 @@ EVALUATED_ACTIONABLE = (
     "website", "homepage", "url", "phone", "phone_number", "email", "address", "location", "rating", "price",
     "price_range", "funding",
 )
+
+# --- fixed values: display ---------------------------------------------------------
+
+#: By priority, from 0 on; other columns go by their endings, then 2.
+COLUMN_PRIORITY = (
+    ("name", "entity_name", "company", "title"),
+    ("website", "address", "headquarters", "location", "focus_area", "website_or_repo", "stage_or_status", "rating", "offering", "type"),
+    ("price_range", "neighborhood", "category", "investors", "phone_number", "phone", "founded", "year_founded", "employees", "email", "ceo", "founder"),
+    ("description", "summary", "overview", "bio", "notable_claim", "notes", "details", "about"),
+)
+CONFIDENCE_BANDS = (("high", 0.8), ("medium", 0.5), ("low", 0.0))

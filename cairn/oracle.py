@@ -452,3 +452,75 @@ SQL["cache_ttl_left_anti"] = """
 SELECT DISTINCT CAST(user_id AS VARCHAR) AS url FROM events WHERE user_id NOT IN (
   SELECT user_id FROM events WHERE event_type = 'purchase' GROUP BY user_id HAVING max(ts) > TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 24 HOURS)
 """
+
+# --- display -----------------------------------------------------------------------
+
+
+def _priority(col: str) -> str:
+    known = " ".join(f"WHEN lower({col}) IN {_list(names)} THEN {i}" for i, names in enumerate(fixed.COLUMN_PRIORITY))
+    return (
+        f"CASE {known} WHEN ends_with(lower({col}), '_url') OR lower({col}) IN ('url', 'homepage', 'link') THEN 1"
+        f" WHEN contains(lower({col}), 'description') OR contains(lower({col}), 'summary') OR contains(lower({col}), 'note') THEN 3 ELSE 2 END"
+    )
+
+
+SQL["display_confidence_bands"] = f"""
+WITH {_CELLS} SELECT query_id, k AS row_pos, col, CASE WHEN confidence >= 0.8 THEN 'high' WHEN confidence >= 0.5 THEN 'medium' ELSE 'low' END AS band, {_priority("col")} AS priority FROM c
+"""
+SQL["display_columns_sorted"] = f"""
+WITH n AS (SELECT p_partkey, list_concat(list_concat([p_type, 'site_url', 'notes'], CASE WHEN p_size % 2 = 0 THEN ['summary', 'name'] ELSE ['homepage'] END), [p_brand, 'founded']) AS cols FROM part),
+u AS (SELECT p_partkey, unnest(cols) AS col, unnest(range(len(cols))) AS i FROM n)
+SELECT p_partkey, array_to_string(list(col ORDER BY {_priority("col")}, i), '|') AS columns FROM u GROUP BY 1
+"""
+SQL["display_short_urls"] = f"""
+SELECT page_id, CASE WHEN length(s) > 24 THEN left(s, 23) || '…' ELSE s END AS shown FROM (SELECT page_id, {_domain("url")} || CASE WHEN {_path("url")} = '' THEN '/' ELSE {_path("url")} END AS s FROM pages)
+"""
+SQL["display_requirement_filter"] = """
+WITH r AS (SELECT s_suppkey, s_suppkey % 4 AS total, least(s_suppkey % 3, s_suppkey % 4) AS met FROM supplier), c AS (SELECT unnest(['all', 'all-req', '2plus', '1plus']) AS choice)
+SELECT choice, s_suppkey FROM r, c WHERE total = 0 OR CASE choice WHEN 'all' THEN TRUE WHEN 'all-req' THEN met = total WHEN '2plus' THEN met >= 2 ELSE met >= 1 END
+"""
+SQL["display_badges"] = f"""
+WITH {_SCORED}, r AS (SELECT s.*, m.mean, row_number() OVER (PARTITION BY s.query_id ORDER BY final DESC, s.k) AS rank_position FROM scored AS s JOIN mixed AS m USING (query_id, k))
+SELECT query_id, k AS row_pos, '#' || rank_position || CASE WHEN final > 0 THEN '|score ' || printf('%.2f', final) ELSE '' END || '|' || sources || ' src|' || CASE WHEN mean >= 0.8 THEN 'high' WHEN mean >= 0.5 THEN 'medium' ELSE 'low' END || ' conf'
+  || CASE WHEN sources <= 1 AND n > 1 THEN '|single-source' ELSE '' END AS badges FROM r
+"""
+
+# --- whole evaluations: the plans, names and pages of the catalog, worked out by hand ----
+
+#: Places of which a part, or a substring, says "us": New York, Austin, Texas, Boise and Australia.
+_US = "(1, 3, 6, 11, 12)"
+SQL["requirement_summary"] = f"""
+WITH {_CELLS}, s AS (
+  SELECT e.query_id, e.k, max(CASE WHEN c.col = 'headquarters' THEN CASE WHEN list_position({_array(_PLACES)}, c.value) IN {_US} THEN 1 ELSE 0 END END) AS place,
+    max(CASE WHEN c.col = 'funding' THEN CASE WHEN CAST(regexp_extract(c.value, '(\\d+)', 1) AS BIGINT) * 1000 > 4000000 THEN 1 ELSE 0 END END) AS money, max(CASE WHEN c.col = 'focus_area' THEN 1 ELSE 0 END) AS topic
+  FROM e LEFT JOIN c USING (query_id, k) GROUP BY 1, 2
+), n AS (SELECT *, coalesce(place, 0) + coalesce(money, 0) AS hard, coalesce(1 - place, 0) + coalesce(1 - money, 0) AS lost FROM s)
+SELECT query_id, k AS row_pos, 4 AS requirements_total, hard + coalesce(topic, 0) AS requirements_satisfied, lost AS requirements_failed, 4 - hard - coalesce(topic, 0) - lost AS requirements_unknown,
+  hard AS hard_satisfied, lost AS hard_failed, (hard + coalesce(topic, 0)) / 4 AS satisfaction_ratio FROM n
+"""
+SQL["eval_label_prf"] = f"""
+WITH {_CELLS}, x AS (SELECT query_id, k, k % 8 = 0 AND k % 13 <> 0 AND k % 11 <> 0 AS found FROM e WHERE k % 4 = 0),
+n AS (SELECT query_id, count(*) FILTER (has_name > 0) AS named FROM facts GROUP BY 1)
+SELECT query_id, count(*) AS expected, count(*) FILTER (found) AS matched, round_even(count(*) FILTER (found) / greatest(max(named), 1), 3) AS entity_precision, round_even(count(*) FILTER (found) / count(*), 3) AS entity_recall
+FROM x JOIN n USING (query_id) GROUP BY 1
+"""
+SQL["verify_reject_reason"] = f"""
+WITH {_SCORED}, w AS (SELECT s.*, EXISTS (SELECT 1 FROM c WHERE c.query_id = s.query_id AND c.k = s.k AND c.col = 'website') AS site FROM scored AS s)
+SELECT query_id, k AS row_pos, CASE WHEN has_name = 0 OR (n = 1 AND sources < 2 AND owned = 0) THEN 'not_viable' WHEN k % 8 IN (0, 2, 5) THEN 'cta_text' WHEN k % 8 = 3 THEN 'article_title'
+  WHEN k % 8 = 6 AND owned = 0 AND acts <= 1 AND (NOT site OR sources < 3) THEN 'pseudo_entity' ELSE 'ok' END AS reason FROM w
+"""
+SQL["final_cap_guarded"] = f"""
+WITH {_SCORED}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, k) AS rank_position, query_id = 'q2' OR {_BAD} AS bad FROM scored),
+g AS (SELECT * FROM r QUALIFY NOT bad OR min(CAST(bad AS INTEGER)) OVER (PARTITION BY query_id) = 1)
+SELECT query_id, k AS row_pos, rank_position FROM g QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank_position) <= CASE WHEN query_id IN ('q1', 'q5') THEN 4 ELSE 6 END
+"""
+SQL["official_site_argmax"] = f"""
+WITH p AS (SELECT page_id, {_homepage("url")} AS home, string_split({_domain("url")}, '.')[-3] AS label, {_NAME_KEY.format("left(regexp_replace(left(html, 400), '<[^>]*>', ' ', 'g'), 200)")} AS head FROM pages),
+n AS (SELECT label, min(page_id) AS row_pos, {_NAME_KEY.format("label")} AS key FROM p GROUP BY 1)
+SELECT row_pos, home AS url, CAST(1.0 AS DOUBLE) AS score FROM n JOIN p ON contains({_NAME_KEY.format("p.label || ' official'")}, key) OR contains(head, key) WHERE length(key) >= 2
+QUALIFY row_number() OVER (PARTITION BY row_pos ORDER BY page_id) = 1
+"""
+SQL["gap_fill_accept"] = f"""
+WITH {_CELLS}, x AS (SELECT query_id, k, list(value ORDER BY pos) AS vals, list(col) AS cols FROM c WHERE k % 13 <> 0 AND k % 11 <> 0 GROUP BY 1, 2)
+SELECT query_id, k AS row_pos, TRUE AS gap_filled, array_to_string(vals, '|') || CASE WHEN list_contains(cols, 'funding') THEN '' ELSE '|funding of official_site' END || '|product_or_service of official_site' AS cell_values FROM x
+"""
