@@ -524,3 +524,44 @@ SQL["gap_fill_accept"] = f"""
 WITH {_CELLS}, x AS (SELECT query_id, k, list(value ORDER BY pos) AS vals, list(col) AS cols FROM c WHERE k % 13 <> 0 AND k % 11 <> 0 GROUP BY 1, 2)
 SELECT query_id, k AS row_pos, TRUE AS gap_filled, array_to_string(vals, '|') || CASE WHEN list_contains(cols, 'funding') THEN '' ELSE '|funding of official_site' END || '|product_or_service of official_site' AS cell_values FROM x
 """
+_KIND = f"""
+{_ASKED}, said AS (
+  SELECT CAST(p_partkey AS VARCHAR) AS query_id, p_partkey % 9 AS k, ['best ', '', 'Top ', 'leading ', 'must visit '][CAST(p_size % 5 + 1 AS INTEGER)] AS head, p_name,
+    CASE WHEN p_size % 5 = 4 THEN 'must visit ' ELSE '' END || p_name || CASE WHEN p_partkey % 9 = 2 THEN ' open source' ELSE '' END AS topic FROM part)
+"""
+SQL["requirements_parse"] = f"""
+WITH {_KIND}, r AS (
+  SELECT query_id, unnest(CASE k
+    WHEN 0 THEN [{{'id': 'loc_0', 'label': 'Location: Brooklyn', 'kind': 'location', 'operator': 'contains', 'target_value': 'brooklyn', 'is_hard': TRUE}}, {{'id': 'topic_0', 'label': 'Topic: ' || topic, 'kind': 'semantic', 'operator': 'matches_topic', 'target_value': topic, 'is_hard': FALSE}}]
+    WHEN 1 THEN [{{'id': 'loc_0', 'label': 'Location: Germany', 'kind': 'location', 'operator': 'contains', 'target_value': 'germany', 'is_hard': TRUE}}, {{'id': 'fund_0', 'label': 'Funding > 5M', 'kind': 'numeric', 'operator': 'greater_than', 'target_value': '5M', 'is_hard': TRUE}},
+      {{'id': 'stage_0', 'label': 'Stage: startup', 'kind': 'categorical', 'operator': 'contains', 'target_value': 'startup', 'is_hard': FALSE}}, {{'id': 'topic_0', 'label': 'Topic: ' || topic, 'kind': 'semantic', 'operator': 'matches_topic', 'target_value': topic, 'is_hard': FALSE}}]
+    WHEN 2 THEN [{{'id': 'lic_0', 'label': 'License: open-source', 'kind': 'categorical', 'operator': 'exists', 'target_value': 'open-source', 'is_hard': FALSE}}, {{'id': 'topic_0', 'label': 'Topic: ' || topic, 'kind': 'semantic', 'operator': 'matches_topic', 'target_value': topic, 'is_hard': FALSE}}]
+    WHEN 3 THEN [{{'id': 'founded_0', 'label': 'Founded after 1999', 'kind': 'numeric', 'operator': 'greater_than', 'target_value': '1999', 'is_hard': FALSE}}]
+    WHEN 7 THEN [{{'id': 'emp_0', 'label': 'Employees > 50', 'kind': 'numeric', 'operator': 'greater_than', 'target_value': '50', 'is_hard': FALSE}}, {{'id': 'topic_0', 'label': 'Topic: ' || topic, 'kind': 'semantic', 'operator': 'matches_topic', 'target_value': topic, 'is_hard': FALSE}}]
+    ELSE [] END) AS r FROM said
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY r.id = 'topic_0', r.id <> 'loc_0', r.id <> 'fund_0') - 1 AS pos, r.id AS id, r.label AS label, r.kind AS kind, r.operator AS operator, r.target_value AS target_value, r.is_hard AS is_hard FROM r
+"""
+SQL["plan_columns_augmented"] = f"""
+WITH {_ASKED}, {_FAMILY} SELECT query_id, family, array_to_string({_TEMPLATE}, '|') || CASE CAST(query_id AS BIGINT) % 9 WHEN 1 THEN '|funding' WHEN 3 THEN '|founded' WHEN 7 THEN '|employees' ELSE '' END AS columns FROM families
+"""
+SQL["query_normalize"] = f"""
+WITH {_KIND} SELECT a.query_id, CASE k WHEN 0 THEN head || p_name || ' restaurants in Brooklyn, NY' WHEN 1 THEN head || p_name || ' startups in Germany with funding 5 M' ELSE a.query END AS normalized FROM asked AS a JOIN said USING (query_id)
+"""
+_SHOWN = ("name", "website", "headquarters", "focus_area", "product_or_service", "stage_or_status", "funding")
+SQL["csv_flatten"] = f"""
+WITH {_SCORED}, r AS (SELECT s.query_id, s.k, s.sources, m.mean, row_number() OVER (PARTITION BY s.query_id ORDER BY final DESC, s.k) AS line_pos FROM scored AS s JOIN mixed AS m USING (query_id, k)),
+f AS (
+  SELECT query_id, k, col, CASE WHEN contains(value, ',') THEN '"' || value || '"' ELSE value END || ',https://s' || site || '.example.org/p,' || CAST(CAST(confidence AS DOUBLE) AS VARCHAR) AS three FROM c
+), w AS (
+  SELECT r.query_id, r.line_pos, 'supplier' || lpad(CAST(r.k AS VARCHAR), 9, '0') || {" || ".join(f"',' || coalesce(max(three) FILTER (col = '{x}'), ',,')" for x in _SHOWN)}
+    || ',' || any_value(sources) || ',' || CAST(CAST(any_value(mean) AS DOUBLE) AS VARCHAR) AS line FROM r LEFT JOIN f USING (query_id, k) GROUP BY 1, 2, r.k
+)
+SELECT 'q' || unnest(range(8)) AS query_id, 0 AS line_pos, 'entity_id,{",".join(f"{x},{x}_source_url,{x}_confidence" for x in _SHOWN)},sources_count,aggregate_confidence' AS line
+UNION ALL SELECT query_id, line_pos, line FROM w
+"""
+SQL["eval_run_summary"] = f"""
+WITH m AS ({SQL["eval_fill_metrics"]})
+SELECT count(*) AS queries, avg(rows_returned) AS avg_rows, {", ".join(f"round_even(avg({x}), 3) AS {x}" for x in ("fill_rate", "actionable_rate", "official_site_rate", "multi_source_rate", "avg_aggregate_confidence"))}, 5.25 AS median_duration
+FROM m WHERE query_id <> 'q8'
+"""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cairn import schemas
 from cairn.functions import cells as c
-from cairn.operators import acquire, align, evaluate, export, extract, gapfill, jobs, merge, official, rank, requirements, verify
+from cairn.operators import acquire, align, display, evaluate, export, extract, gapfill, jobs, merge, official, rank, requirements, verify
 from cairn.sources import tables
 from cairn.streaming import jobs as streams
 
@@ -278,3 +278,14 @@ def test_policy():
     assert p.call([("b", broken), ("a", lambda: "other")]) == "other" and not p.available("b")
     now[0] = 61.0
     assert p.available("b") and p.call([]) is None
+
+
+def test_display(spark):
+    e = entities(spark, ([cell("name", "A", "https://own.com/x"), cell("website", "https://own.com"), cell("x", "y", "https://www.yelp.com/biz")], 2, None), ([cell("name", "B"), cell("x", "y")], 1, None))
+    r = rank.ranked(scored(spark, e)).orderBy("row_pos")
+    found = [x[0] for x in r.select(display.badges(r)).collect()]
+    assert found[0][2:] == ["2 src", "high conf", "official", "directory"] and found[1][-1] == "single-source"
+    wide = spark.createDataFrame([(["notes", "b", "homepage", "name", "a", "site_url"],)], "columns array<string>")
+    assert wide.select(display.columns_by_priority(F.col("columns"))).first()[0] == ["name", "homepage", "site_url", "b", "a", "notes"]
+    rows = spark.createDataFrame([(0, 0, 0), (2, 2, 0), (2, 1, 1)], "requirements_total int, requirements_satisfied int, requirements_unknown int")
+    assert [display.requirement_filter(rows, f).count() for f in ("all", "all-req", "2plus", "1plus")] == [3, 2, 2, 3]
