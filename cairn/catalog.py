@@ -19,6 +19,7 @@ from cairn.operators import acquire, align, display, evaluate, export, extract,
 from cairn.plans import discovery
 from cairn.sources.tables import LexicalSearch, TablePages
 from cairn.storage import written
+from cairn.streaming import jobs as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -606,6 +607,28 @@ def job_recovery(spark, sf_dir):
     return jobs.recovered(jobs.state(_events(spark, sf_dir))).groupBy("status", "error").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _event_stream(spark, sf_dir) -> DataFrame:
+    """The events as a stream; a pattern, as a stream's path has to be a folder or one."""
+    return spark.readStream.schema(_table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet")
+
+
+@query
+def stream_job_states(spark, sf_dir):
+    """Job states and hourly counts from the events as a stream."""
+    events = _event_stream(spark, sf_dir)
+    status = F.when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "signup", "pending").otherwise("running")
+    log = events.select(F.col("user_id").cast("string").alias("job_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), status.alias("status"), F.col("event_type").alias("phase"))
+    return streams.drained(streams.states(log), "states").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query
+def stream_event_windows(spark, sf_dir):
+    events = _event_stream(spark, sf_dir)
+    log = events.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("status"))
+    found = streams.drained(streams.throughput(log, "6 hours"), "windows")
+    return found.withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("end", F.col("end").cast("timestamp_ntz"))
+
+
 @query
 def upsert_latest_per_key(spark, sf_dir):
     e = _table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "ts", "value")

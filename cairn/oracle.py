@@ -447,6 +447,10 @@ SQL["job_latest_state"] = f"WITH {_EVENTS} SELECT * FROM s"
 SQL["job_recovery"] = f"""
 WITH {_EVENTS} SELECT CASE WHEN status IN ('pending', 'running') THEN 'failed' ELSE status END AS status, CASE WHEN status IN ('pending', 'running') THEN 'interrupted' ELSE error END AS error, count(*) AS n FROM s GROUP BY 1, 2
 """
+SQL["stream_job_states"] = f"WITH {_EVENTS} SELECT s.job_id, s.status, s.phase, (SELECT max(ts) FROM e WHERE e.job_id = s.job_id) AS ts FROM s"
+SQL["stream_event_windows"] = """
+SELECT time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01') AS start, time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01') + INTERVAL 6 HOURS AS "end", event_type AS status, count(*) AS n FROM events GROUP BY 1, 2, 3
+"""
 SQL["upsert_latest_per_key"] = "SELECT user_id, event_type, event_id, ts, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1"
 SQL["cache_ttl_left_anti"] = """
 SELECT DISTINCT CAST(user_id AS VARCHAR) AS url FROM events WHERE user_id NOT IN (
