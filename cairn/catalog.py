@@ -397,9 +397,9 @@ def best_cell_ordered_fold(spark, sf_dir):
 
 
 def _drafts(spark, sf_dir) -> DataFrame:
-    e = _evidence(spark, sf_dir).where("entity < 400").join(_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entity"), "p_name"), "entity")
+    e = _evidence(spark, sf_dir).join(_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entity"), "p_name"), "entity")
     cell = F.struct(F.col("col"), "value", "source_url", F.lit(None).cast("string").alias("source_title"), "evidence_snippet", "confidence", F.lit("unknown").alias("source_regime"))
-    key = (F.col("entity") * 100000 + F.col("seq")).cast("long")
+    key = F.col("entity").cast("long") * 100000 + F.col("seq")
     return e.select(
         F.concat(F.lit("q"), (F.col("entity") % 10).cast("string")).alias("query_id"), key.alias("draft_seq"), F.col("p_name").alias("entity_name"), "source_url",
         F.lit(None).cast("string").alias("source_title"), F.array(cell).cast(schemas.CELLS).alias("cells"),
@@ -417,7 +417,8 @@ def entity_cell_merge_exact(spark, sf_dir):
 
 @query
 def fuzzy_merge_entities(spark, sf_dir):
-    drafts = _drafts(spark, sf_dir).where("draft_seq % 3 = 0")
+    """Drafts with similar names as one entity each, by the greedy merge: a query is one task."""
+    drafts = _drafts(spark, sf_dir)
     plans = drafts.select("query_id").distinct().withColumn("columns", F.array(F.lit("R"), F.lit("N")))
     return merge.merged(drafts, plans, merge.clusters(drafts)).select("query_id", "row_pos", "entity_id", "sources_count", "aggregate_confidence")
 
