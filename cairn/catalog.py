@@ -733,10 +733,14 @@ def display_requirement_filter(spark, sf_dir):
 
 @query
 def discovery_pipeline(spark, sf_dir):
-    """Queries of page hosts' names, from hits to ranked entities."""
-    p = _table(spark, sf_dir, "pages").select(url.homepage(F.col("url")).alias("url"), "html").dropDuplicates(["url"])
+    """Queries of all page hosts' names over all pages, from hits to ranked entities.
+
+    Pages keep their own addresses; of pages with one address the first counts.
+    """
+    rows = _table(spark, sf_dir, "pages").groupBy("url").agg(F.min_by("html", "page_id").alias("html"))
+    p = written(rows, "corpus")
     label = F.element_at(F.split(url.domain(F.col("url")), r"\."), -3)
-    asked = p.select(label.alias("label")).distinct().orderBy("label").limit(40)  # so many questions, over all pages
+    asked = p.select(label.alias("label")).distinct()
     q = asked.select(F.col("label").alias("query_id"), F.concat("label", F.lit(" companies in Berlin")).alias("query"))
     search = LexicalSearch(p.select("url", F.lit("").alias("title")))
     rows = discovery.run(q, search, TablePages(p), discovery.Options(as_of_year=2025))

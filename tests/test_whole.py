@@ -5,7 +5,7 @@ from collections import defaultdict
 
 import pytest
 
-from cairn import catalog
+from cairn import catalog, schemas
 from cairn.functions import fuzzy
 
 
@@ -62,3 +62,20 @@ def test_fuzzy_merge_takes_every_draft(spark, parts):
     found = {(r.query_id, r.row_pos): r.sources_count for r in catalog.fuzzy_merge_entities(spark, parts).collect()}
     assert found == {k: len(sites) for k, (sites, _) in merged_by_hand(fuzzy.similar_keys).items()}
     assert ("q1", 41100001) not in found and ("q2", 40200001) in found
+
+
+def test_discovery_asks_every_host_over_every_page(spark, tmp_path, monkeypatch):
+    """Of two pages with one address the first is read; no other page and no host's label goes."""
+    rows = [(i, f"https://host{i % 45}.example.org/en/{i}", f"<p>page {i}</p>") for i in range(100)] + [(100, "https://host3.example.org/en/3", "<p>again</p>")]
+    at = put(spark, tmp_path, pages=("page_id int, url string, html string", rows))
+    given = {}
+
+    def run(queries, search, pages, options):
+        given.update(queries=queries, search=search, pages=pages)
+        return spark.createDataFrame([], f"query_id string, rank_position int, entity_id string, final_score double, sources_count long, canonical_domain string, aggregate_confidence double, cells {schemas.CELLS}")
+
+    monkeypatch.setattr(catalog.discovery, "run", run)
+    catalog.discovery_pipeline(spark, at)
+    assert {r.query_id for r in given["queries"].collect()} == {f"host{i}" for i in range(45)}
+    assert sorted(r.url for r in given["search"].pages.collect()) == sorted(u for _, u, _ in rows[:100])
+    assert sorted((r.url, r.html) for r in given["pages"].table.collect()) == sorted((u, h) for _, u, h in rows[:100])
