@@ -1,12 +1,16 @@
 """Queries over small tables of their own, whose results cover every row."""
 
 import datetime
+import json
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from cairn import catalog, schemas
 from cairn.functions import fuzzy
+from cairn.plans import discovery
+from cairn.sources import tables
 
 
 def put(spark, folder, **tables):
@@ -70,7 +74,7 @@ def test_discovery_asks_every_host_over_every_page(spark, tmp_path, monkeypatch)
     at = put(spark, tmp_path, pages=("page_id int, url string, html string", rows))
     given = {}
 
-    def run(queries, search, pages, options):
+    def run(queries, search, pages, options, answers):
         given.update(queries=queries, search=search, pages=pages)
         return spark.createDataFrame([], f"query_id string, rank_position int, entity_id string, final_score double, sources_count long, canonical_domain string, aggregate_confidence double, cells {schemas.CELLS}")
 
@@ -79,3 +83,38 @@ def test_discovery_asks_every_host_over_every_page(spark, tmp_path, monkeypatch)
     assert {r.query_id for r in given["queries"].collect()} == {f"host{i}" for i in range(45)}
     assert sorted(r.url for r in given["search"].pages.collect()) == sorted(u for _, u, _ in rows[:100])
     assert sorted((r.url, r.html) for r in given["pages"].table.collect()) == sorted((u, h) for _, u, h in rows[:100])
+
+
+class Answers:
+    """Says of every chunk what ``said`` has for its address."""
+
+    def __init__(self, **said):
+        self.said = said
+
+    def answers(self, chunks):
+        word = F.regexp_extract("url", "https://([a-z]+)", 1)
+        answer = F.element_at(F.create_map(*[F.lit(x) for pair in self.said.items() for x in pair]), word)
+        return chunks.select("query_id", "url", "chunk_pos", answer.alias("answer"))
+
+
+def answer(name, **cells):
+    return json.dumps({"entities": [{"entity_name": name, "cells": {k: {"value": v, "evidence_snippet": v, "confidence": 0.9} for k, v in cells.items()}}]})
+
+
+def test_discovery_asks_for_answers_and_fills_gaps(spark):
+    """The first page names an entity, and only the search for its gaps finds the page that says where it is."""
+    body = "".join(f"<p>Some words about companies, number {i}, and what they do in the city.</p>" for i in range(12))
+    at = {"first": "https://first.example.org/en/1/x", "second": "https://second.example.org/en/2/x"}
+    pages = tables.TablePages(spark.createDataFrame([(u, f"<html><title>{k}</title><body>{body}</body></html>") for k, u in at.items()], "url string, html string"))
+
+    class Search:
+        def hits(self, searches):
+            gap = F.col("query").contains("Acme Widgets")
+            url = F.when(gap, F.lit(at["second"])).otherwise(F.lit(at["first"]))
+            return searches.select("query_id", "angle_pos", F.lit(0).alias("hit_pos"), url.alias("url"), F.lit("").alias("title"), F.lit(None).cast("string").alias("snippet"))
+
+    asked = spark.createDataFrame([("q", "robotics companies in Berlin")], "query_id string, query string")
+    said = Answers(first=answer("Acme Widgets", website="https://acme.example.net/"), second=answer("Acme Widgets", headquarters="Berlin, Germany"))
+    rows = discovery.run(asked, Search(), pages, discovery.Options(), said).collect()
+    assert [{x["col"]: x["value"] for x in r["cells"]}.get("headquarters") for r in rows] == ["Berlin, Germany"]
+    assert {x["source_url"] for x in rows[0]["cells"]} >= set(at.values())
