@@ -210,12 +210,12 @@ def chunk_text_windows(spark, sf_dir):
 
 @query
 def lexical_rerank_topk(spark, sf_dir):
-    """The ten best pages of short queries: the first words of benchmark items, over documents as pages.
+    """The ten best pages of queries: the words of benchmark items, over documents as pages.
 
     Candidates share a word with the query, so words meet in a join; a page
     without any has a score of 0 and comes last.
     """
-    asked = _table(spark, sf_dir, "benchmark").select("item_id", text.words(F.substring("text", 1, 60)).alias("wanted"))
+    asked = _table(spark, sf_dir, "benchmark").select("item_id", text.words(F.col("text")).alias("wanted"))
     said = _table(spark, sf_dir, "documents").select("doc_id", F.explode(text.words(F.substring("text", 1, rerank.HEAD))).alias("word"))
     shared = asked.select("item_id", F.size("wanted").alias("n"), F.explode("wanted").alias("word")).join(said, "word").groupBy("item_id", "doc_id", "n").agg(F.count(F.lit(1)).alias("shared"))
     score = shared.withColumn("score", F.col("shared") / F.col("n"))

@@ -118,3 +118,14 @@ def test_discovery_asks_for_answers_and_fills_gaps(spark):
     rows = discovery.run(asked, Search(), pages, discovery.Options(), said).collect()
     assert [{x["col"]: x["value"] for x in r["cells"]}.get("headquarters") for r in rows] == ["Berlin, Germany"]
     assert {x["source_url"] for x in rows[0]["cells"]} >= set(at.values())
+
+
+def test_lexical_rerank_takes_every_word(spark, tmp_path):
+    """What tells the documents apart stands after the item's sixtieth character."""
+    text = "common words that every one of these documents has in its first line and then tangerine umbrella"
+    docs = [(0, "common words that every one"), (1, "tangerine umbrella"), (2, "common tangerine umbrella words")]
+    at = put(spark, tmp_path, benchmark=("item_id int, text string", [(7, text)]), documents=("doc_id int, text string", docs))
+    wanted = set(text.split())
+    scores = sorted((-len(wanted & set(x.split())) / len(wanted), i) for i, x in docs)
+    found = sorted((r.pos, r.doc_id, round(r.score, 9)) for r in catalog.lexical_rerank_topk(spark, at).collect())
+    assert found == [(n, i, round(-s, 9)) for n, (s, i) in enumerate(scores, 1)]
