@@ -129,3 +129,14 @@ def test_lexical_rerank_takes_every_word(spark, tmp_path):
     scores = sorted((-len(wanted & set(x.split())) / len(wanted), i) for i, x in docs)
     found = sorted((r.pos, r.doc_id, round(r.score, 9)) for r in catalog.lexical_rerank_topk(spark, at).collect())
     assert found == [(n, i, round(-s, 9)) for n, (s, i) in enumerate(scores, 1)]
+
+
+def test_gap_fill_keeps_the_unnamed(spark, tmp_path):
+    """Suppliers without a name pass through unfilled, those with a generic one are filled like others."""
+    rows = [(k, f"Supplier {k}", k % 5, 100.0 * k) for k in range(1, 40)]
+    at = put(spark, tmp_path, supplier=("s_suppkey int, s_name string, s_nationkey int, s_acctbal double", rows))
+    found = {r.row_pos: (r.gap_filled, r.cell_values) for r in catalog.gap_fill_accept(spark, at).collect()}
+    assert set(found) == set(range(1, 40))
+    assert {k for k, (filled, _) in found.items() if not filled} == {13, 26, 39}
+    assert found[11][1].startswith("Company|") and found[11][1].endswith("|product_or_service of official_site")
+    assert "of official_site" not in found[13][1]
