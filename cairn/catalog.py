@@ -527,7 +527,7 @@ def cell_alignment_fuzzy(spark, sf_dir):
 def official_site_argmax(spark, sf_dir):
     """Pages whose head names a host's first label, as the official pages of an entity of that name."""
     p = _table(spark, sf_dir, "pages").withColumn("label", F.element_at(F.split(url.domain(F.col("url")), r"\."), -3))
-    body = F.regexp_replace(F.substring("html", 1, 400), "<[^>]*>", " ")
+    body = html.metadata(F.col("html"), F.col("url"))["visible"]
     seen = p.select(F.lit("q").alias("query_id"), F.col("page_id").alias("page_pos"), url.homepage(F.col("url")).alias("url"), F.concat("label", F.lit(" official")).alias("title"), body.alias("cleaned_text"), F.lit("official_site").alias("regime"))
     names = p.groupBy("label").agg(F.min("page_id").alias("row_pos"))
     cell = F.array(_cell("name", F.col("label"), F.lit("https://a.org/"), F.lit(0.5))).cast(schemas.CELLS)

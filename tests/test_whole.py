@@ -140,3 +140,11 @@ def test_gap_fill_keeps_the_unnamed(spark, tmp_path):
     assert {k for k, (filled, _) in found.items() if not filled} == {13, 26, 39}
     assert found[11][1].startswith("Company|") and found[11][1].endswith("|product_or_service of official_site")
     assert "of official_site" not in found[13][1]
+
+
+def test_official_site_reads_the_visible_head(spark, tmp_path):
+    """The name of another host stands behind 400 characters of markup, in the first 200 that are seen."""
+    late = "<html><head><style>" + "p{margin:0} " * 50 + "</style></head><body><p>all about zebrafish here</p></body></html>"
+    pages = [(0, "https://alpha.example.org/", late), (1, "https://zebrafish.example.org/", "<p>nothing</p>")]
+    at = put(spark, tmp_path, pages=("page_id int, url string, html string", pages))
+    assert {r.row_pos: r.url for r in catalog.official_site_argmax(spark, at).collect()} == {0: "https://alpha.example.org/", 1: "https://alpha.example.org/"}
