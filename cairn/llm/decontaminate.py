@@ -7,7 +7,9 @@ row of an item; an item of fewer words is one window.
 
 Defined results: a null or empty text has no words, no hit and is not
 contaminated; an item without words has no window; items with the same text
-are all reported; rows that repeat are judged one by one; without benchmark
+are all reported; items without an id are hit like others and are together one
+item, null and last, which counts in n_items and is not in the digest of ids;
+rows that repeat are judged one by one; without benchmark
 rows nothing is hit.  Other columns of the documents stay as they are, those
 named like a result are replaced.
 """
@@ -143,12 +145,12 @@ class SuffixAutomaton:
         return hit, items
 
 
-def _blocks(benchmark: DataFrame, key: str, text: str, block_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+def _blocks(benchmark: DataFrame, key: str, text: str, block_words: int) -> Iterator[list[tuple[str | None, list[bytes]]]]:
     """The items, read one at a time, in blocks of at most ``block_words`` words (or one item)."""
     block, held = [], 0
     for name, body in benchmark.select(F.col(key).cast("string"), F.col(text).cast("string").cast("binary")).toLocalIterator():
         words = words_of(bytes(body or b""))
-        if not words or name is None:
+        if not words:
             continue
         if block and held + len(words) > block_words:
             yield block
@@ -215,7 +217,7 @@ def _pass(docs: DataFrame, block: list[tuple[str, list[bytes]]], window: int, ke
                 for s in spans_had:
                     hit[s["first"] : s["end"]] = True
                 counts.append(len(words))
-                found.append(sorted({*names_had, *(names[n] for n in which)}))
+                found.append(sorted({*names_had, *(names[n] for n in which)}, key=lambda x: (x is None, x or "")))
                 runs.append([{"first": a, "end": b} for a, b in spans(hit)] if found[-1] else [])
             return [counts, found, runs]
 

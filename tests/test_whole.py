@@ -148,3 +148,23 @@ def test_official_site_reads_the_visible_head(spark, tmp_path):
     pages = [(0, "https://alpha.example.org/", late), (1, "https://zebrafish.example.org/", "<p>nothing</p>")]
     at = put(spark, tmp_path, pages=("page_id int, url string, html string", pages))
     assert {r.row_pos: r.url for r in catalog.official_site_argmax(spark, at).collect()} == {0: "https://alpha.example.org/", 1: "https://alpha.example.org/"}
+
+
+def test_decontamination_hits_items_without_an_id(spark, tmp_path):
+    """As the SQL has it: their words are hit, together they are one item, and the digest is of the others' ids."""
+    import duckdb
+
+    from cairn.llm import catalog as llm
+
+    items = [(None, "one two three"), (None, "four five six"), ("b", "four five six")]
+    docs = [(0, "says one two three here"), (1, "one two three four five six"), (2, "nothing of it")]
+    at = put(spark, tmp_path, benchmark=("item_id string, text string", items), documents=("doc_id int, text string", docs))
+    con = duckdb.connect()
+    for t in ("benchmark", "documents"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{at}/{t}.parquet/*.parquet'")
+    name = "op1_benchmark_decontamination"
+    expected = con.execute(llm.ORACLE[name])
+    names = [x[0] for x in expected.description]
+    found = sorted(tuple(r[n] for n in names) for r in llm.QUERIES[name](spark, at).collect())
+    assert found == sorted(expected.fetchall())
+    assert [dict(zip(names, r, strict=True))["n_items"] for r in found] == [1, 2, 0]
