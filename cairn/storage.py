@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: str | None = None
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -25,22 +25,39 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written as Parquet and read again: plans stay small, and what is lost is read instead of computed."""
+    """``df`` written as Parquet and read again: plans stay small, and what is lost is read instead of computed.
+
+    The table is there until ``release`` or the driver's end.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     if not _written:
         atexit.register(forget)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _written[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cairn_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the JVM has gone: nothing is left to ask
+        return
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables of ``written`` from which nothing will be read any more."""
+    for t in tables:
+        path = getattr(t, "_cairn_path", None) if t is not None else None
+        if path in _written:
+            _delete(_written.pop(path), path)
 
 
 def forget() -> None:
     """Deletes the tables of ``written``; called when the driver ends."""
     while _written:
-        spark, path = _written.pop()
-        try:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the JVM has gone: nothing is left to ask
-            return
+        path, spark = _written.popitem()
+        _delete(spark, path)
