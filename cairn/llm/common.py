@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairn.storage import written
+from cairn.storage import release, written
 
-__all__ = ["ALNUM", "SPACED", "SPACED_CASED", "WORD", "annotate", "bucket_of", "small_batches", "spread", "table", "text_bytes", "written"]
+__all__ = ["ALNUM", "SPACED", "SPACED_CASED", "WORD", "annotate", "aside", "bucket_of", "col", "fold", "free", "least_rows", "parts", "release", "spread", "table", "text_bytes", "written"]
 
 #: ASCII letters become lower case, every byte outside 0-9, a-z and the bytes
 #: of non-ASCII characters becomes a space.
@@ -32,9 +32,57 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Arrow batches of few rows, so that long texts do not add up in memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def col(name: str) -> Column:
+    """The column of exactly that name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def free(columns: list[str], *wanted: str) -> list[str]:
+    """The wanted names, with underscores added until no column has them (Spark ignores case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def aside(df: DataFrame, *names: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``df`` with its columns of these names under free ones, and what gives a result the old names and order back."""
+    theirs = {n.lower() for n in names}
+    clashing = [c for c in df.columns if c.lower() in theirs]
+    hidden = free([*df.columns, *names], *[f"__{c}" for c in clashing])
+    back = dict(zip(hidden, clashing, strict=True))
+    renamed = [next((h for h, c in back.items() if c == x), x) for x in df.columns]
+
+    def restored(result: DataFrame) -> DataFrame:
+        return result.select(*[col(r).alias(c) for r, c in zip(renamed, df.columns, strict=True)])
+
+    return df.select(*[col(c).alias(r) for r, c in zip(renamed, df.columns, strict=True)]), restored
+
+
+def least_rows(rows: DataFrame, columns: list[str], *keys: str, text: str = "text", more: tuple[Column, ...] = ()) -> DataFrame:
+    """``columns`` of one row for each value of ``keys``, which say what the text is: the least by the other columns as JSON.
+
+    An aggregate, so rows that repeat are reduced before they are moved.
+    ``more`` are aggregates of the group that go along.
+    """
+    others = [c for c in columns if c.lower() != text.lower()]
+    order = F.struct(col(text).isNull(), F.to_json(F.struct(*[col(c) for c in others])) if others else F.lit(""))
+    one = rows.groupBy(*keys).agg(F.min_by(F.struct(*[col(c) for c in columns]), order).alias("row"), *more)
+    kept = [c for c in one.columns if c not in (*keys, "row")]
+    return one.select(*[F.col("row").getField(c).alias(c) for c in columns], *kept)
+
+
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Slices of few rows, so that a batch's texts are not Python objects all at once.
+
+    Spark bounds a batch by spark.sql.execution.arrow.maxBytesPerBatch, or by one row that is longer.
+    """
+    for batch in batches:
+        for start in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(start, rows)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -68,11 +116,12 @@ def bucket_of(key: Column) -> Column:
     return F.crc32(key.cast("string").cast("binary"))
 
 
-# --- one Arrow pass over the rows ------------------------------------------------
+def fold(key: Column, folds: int, held: int) -> Column:
+    """Whether the key is in the fold that is held out; a missing key is not."""
+    return F.coalesce(bucket_of(key.cast("long")) % folds == held, F.lit(False))
 
-#: The texts' bytes while they are on their way to Python.
-TEXT = "__cairn_text"
 
+# --- one Arrow pass over the rows ------------------------------------------------
 
 def annotate(
     df: DataFrame,
@@ -86,19 +135,21 @@ def annotate(
     """``df`` with more columns that are computed from each text, in one narrow pass.
 
     ``start`` runs once in each task and returns the function that turns the
-    texts of a batch (null: empty) into one list or array for each field.
+    texts of ``rows`` rows (null: empty) into one list or array for each field.
     ``keep`` names the columns that go along; columns named like a field are
-    replaced.
+    replaced.  A text is a whole value of its batch, so one text and its words
+    have to fit into a worker; batches are bounded by bytes.
     """
-    small_batches(df.sparkSession, rows)
-    names = [c for c in (df.columns if keep is None else keep) if c not in fields]
-    taken = df.select(*[F.col(f"`{c}`") for c in names], F.col(text).cast("string").cast("binary").alias(TEXT))
-    schema = T.StructType([*[f for f in taken.schema.fields if f.name != TEXT], *[T.StructField(n, kind) for n, (kind, _) in fields.items()]])
+    new = {n.lower() for n in fields}
+    names = [c for c in (df.columns if keep is None else keep) if c.lower() not in new]
+    (hidden,) = free([*df.columns, *fields], "__text")
+    taken = df.select(*[col(c) for c in names], col(text).cast("string").cast("binary").alias(hidden))
+    schema = T.StructType([*taken.schema.fields[:-1], *[T.StructField(n, kind) for n, (kind, _) in fields.items()]])
     kinds = [kind for _, kind in fields.values()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = start()
-        for batch in batches:
+        for batch in parts(batches, rows):
             made = compute([t or b"" for t in batch.column(len(names)).to_pylist()], batch)
             made = [x if isinstance(x, pa.Array) else pa.array(x, kind) for x, kind in zip(made, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *made], names=[*names, *fields])

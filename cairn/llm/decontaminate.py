@@ -10,13 +10,15 @@ contaminated; an item without words has no window; items with the same text
 are all reported; items without an id are hit like others and are together one
 item, null and last, which counts in n_items and is not in the digest of ids;
 rows that repeat are judged one by one; without benchmark
-rows nothing is hit.  Other columns of the documents stay as they are, those
-named like a result are replaced.
+rows nothing is hit; an empty table has no row.  A document is judged as a whole, however long it is: its
+words are held by one worker.  ``find`` replaces columns that are named like
+its results; ``decontaminate`` leaves every column as it is.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,14 +27,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairn.llm.common import ALNUM, annotate, table, written
+from cairn.llm.common import ALNUM, annotate, aside, free, release, table, written
 
 WINDOW = 13
 #: One word in so many has to be hit for a document to count as contaminated.
 COVERAGE = 20
-#: Item words in one automaton.  A larger benchmark is dealt over several, one
-#: pass over the documents each, so what a task holds does not grow with it.
-BLOCK_WORDS = 100_000
+#: Item words in one automaton, which has about 100 bytes for each: what is broadcast
+#: and what a worker holds.  A larger benchmark is dealt over several automata, one
+#: pass over the documents each.
+BLOCK_WORDS = 1_000_000
 
 _WORD = re.compile(rb"[^ ]+")
 
@@ -42,13 +45,17 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class SuffixAutomaton:
-    """All word sequences inside the items, with the items that own each window."""
+    """All word sequences inside the items, with the items that own each window.
+
+    Once built, a state's first step is in two arrays and the steps of
+    branching states are in one table.
+    """
 
     def __init__(self, items: list[list[bytes]], window: int = WINDOW):
         self.window = window
         self.vocabulary: dict[bytes, int] = {}
         self.step: list[dict[int, int]] = [{}]
-        self.link, self.longest = [-1], [0]
+        self.link, self.longest = array("i", [-1]), array("i", [0])
         coded = []
         for words in items:
             coded.append([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words])
@@ -73,6 +80,15 @@ class SuffixAutomaton:
         size = len(self.vocabulary)
         pairs = {a * size + b for c in coded for a, b in zip(c, c[1:])}
         self.pairs = np.array(sorted(pairs), dtype=np.int64)
+        self.first, self.to = array("i", [-1]) * len(self.step), array("i", [0]) * len(self.step)
+        self.more: dict[int, int] = {}
+        for state, steps in enumerate(self.step):
+            for k, (c, to) in enumerate(steps.items()):
+                if k:
+                    self.more[state * size + c] = to
+                else:
+                    self.first[state], self.to[state] = c, to
+        del self.step
 
     def _add(self, longest: int, step: dict[int, int], link: int) -> int:
         self.longest.append(longest)
@@ -120,15 +136,16 @@ class SuffixAutomaton:
         hit, items = np.zeros(len(words), dtype=bool), set()
         if not self.least or len(words) < self.least:
             return hit, items
-        get, window = self.vocabulary.get, self.window
+        get, window, size = self.vocabulary.get, self.window, len(self.vocabulary)
+        first, to, more, link, longest = self.first, self.to, self.more, self.link, self.longest
         codes = np.array([get(w, -1) for w in words], dtype=np.int64)
         for start, end in self._stretches(codes):
             state = n = 0
             for i, c in enumerate(codes[start:end].tolist(), start):
-                while state and c not in self.step[state]:
-                    state = self.link[state]
-                    n = self.longest[state]
-                state = self.step[state].get(c, 0)
+                while (after := to[state] if first[state] == c else more.get(state * size + c, -1)) < 0 and state:
+                    state = link[state]
+                    n = longest[state]
+                state = max(after, 0)
                 n = n + 1 if state else 0
                 s = state
                 while s and self.longest[self.link[s]] >= window:
@@ -172,7 +189,6 @@ _FOUND = {
     "items": (T.ArrayType(T.StringType()), pa.list_(pa.string())),
     "hit_spans": (_SPANS, pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))),
 }
-_HAD = {"items": "__had_items", "hit_spans": "__had_spans"}
 
 
 def find(
@@ -189,29 +205,33 @@ def find(
     one narrow pass.  Further blocks are passes of their own, each over a
     written table, so only one automaton is held at a time.
     """
-    out, names = None, docs.columns if keep is None else keep
+    out, before, names = None, None, docs.columns if keep is None else keep
+    had = dict(zip(("items", "hit_spans"), free([*docs.columns, *_FOUND], "__had_items", "__had_spans"), strict=True))
     for block in _blocks(benchmark, "item_id", "text", block_words):
         if out is None:
-            out = _pass(docs, block, window, keep=names)
+            out = _pass(docs, block, window, names, {})
         else:  # the first pass again, now with the texts, for the passes that follow
             if "text" not in out.columns:
                 return find(docs, benchmark, window=window, block_words=block_words, keep=[*names, "text"]).drop("text")
-            had = written(out, "decontaminate").withColumnsRenamed(_HAD)
-            out = _pass(had, block, window, keep=[*names, *_HAD.values()]).drop(*_HAD.values())
+            last, before = before, written(out, "decontaminate")
+            release(last)
+            out = _pass(before.withColumnsRenamed(had), block, window, [*names, *had.values()], had).drop(*had.values())
     hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["first"])
     return out.withColumn("n_hit", hit)
 
 
-def _pass(docs: DataFrame, block: list[tuple[str, list[bytes]]], window: int, keep: list[str]) -> DataFrame:
-    names, items = [n for n, _ in block], [w for _, w in block]
+def _pass(docs: DataFrame, block: list[tuple[str | None, list[bytes]]], window: int, keep: list[str], had: dict[str, str]) -> DataFrame:
+    """One automaton over all texts; ``had`` names the columns with what the passes before have found."""
+    names = [n for n, _ in block]
+    shared = docs.sparkSession.sparkContext.broadcast(SuffixAutomaton([w for _, w in block], window))  # of BLOCK_WORDS words, or one item
 
     def start():
-        automaton = SuffixAutomaton(items, window)
+        automaton = shared.value
 
         def compute(texts: list[bytes], batch: pa.RecordBatch) -> list:
-            had = [batch.column(c).to_pylist() if c in batch.schema.names else [()] * len(texts) for c in _HAD.values()]
+            before = [batch.column(c).to_pylist() for c in had.values()] or [[()] * len(texts)] * 2
             counts, found, runs = [], [], []
-            for text, names_had, spans_had in zip(texts, *had, strict=True):
+            for text, names_had, spans_had in zip(texts, *before, strict=True):
                 words = words_of(text)
                 hit, which = automaton.match(words)
                 for s in spans_had:
@@ -231,16 +251,17 @@ def contaminated(share: int = COVERAGE) -> Column:
     return (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, share: int = COVERAGE, longest: int | None = None) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, share: int = COVERAGE, longest: int | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The documents without those that are contaminated, with the columns they came with.
 
     A document goes when one word in ``share`` or more is hit.  With
     ``longest``, runs of more than that many hit words are also cut out of
     the documents that stay.
     """
-    found = find(docs, benchmark, window=window).where(~contaminated(share))
+    own, restored = aside(docs, *_FOUND, "n_hit")
+    found = find(own, benchmark, window=window, block_words=block_words).where(~contaminated(share))
     if longest is None:
-        return found.select(*docs.columns)
+        return restored(found)
 
     def start():
         def compute(texts: list[bytes], batch: pa.RecordBatch) -> list:
@@ -255,9 +276,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
 
         return compute
 
-    cut = annotate(found, start, {"__clean": (T.StringType(), pa.string())})
-    cleaned = F.when(F.size("hit_spans") > 0, F.col("__clean")).otherwise(F.col("text"))
-    return cut.withColumn("text", cleaned).select(*docs.columns)
+    (clean,) = free(found.columns, "__clean")
+    cut = annotate(found, start, {clean: (T.StringType(), pa.string())})
+    return restored(cut.withColumn("text", F.when(F.size("hit_spans") > 0, F.col(clean)).otherwise(F.col("text"))))
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

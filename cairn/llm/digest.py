@@ -9,8 +9,10 @@ digests is bounded, so a likeness from 0 to 1 follows.
 Defined results: null and empty texts have the digest of no triplet; texts of
 the same bytes have the same digest, whatever their length; a table of one
 document is its own next document; rows that repeat a doc_id follow one
-another in the order of their texts; rows without a doc_id come first; an
-empty table has no row.
+another in the order of their texts' XXH64, so that one doc_id can be many
+tasks'; rows without a doc_id come first; an empty table has no row; other
+columns are not looked at.  Bytes of long texts are counted in pieces of a
+megabyte; the text itself and the next are held by one worker.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import small_batches, spread, table, text_bytes, written
+from cairn.llm.common import parts, spread, table, text_bytes, written
 
 BUCKETS = 128
 #: Places in a window of five bytes whose bytes make a triplet.
@@ -124,7 +126,7 @@ def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     part, before, edge = TaskContext.get().partitionId(), None, (None,) * 6
-    for batch in batches:
+    for batch in parts(batches):
         rows = []
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             text = text or b""
@@ -140,7 +142,7 @@ def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _at_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in parts(batches, 4):
         rows = []
         for key, text, following in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             rows.append((0, None, key, *_compared(text, digest(text), following, digest(following)), None))
@@ -154,18 +156,18 @@ def compared(docs: DataFrame) -> DataFrame:
     it has in a row; what lies across two partitions is one pair for each.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     ranges = spread(spark, text_bytes(docs), RANGE_BYTES)
-    order = F.col("doc_id").asc_nulls_first()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    ordered = texts.repartitionByRange(ranges, order).sortWithinPartitions(order, F.col("text").asc_nulls_first())
+    text = F.col("text").cast("string")
+    order = F.col("doc_id").asc_nulls_first(), F.col("turn")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.cast("binary").alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("turn"))
+    ordered = texts.repartitionByRange(ranges, *order).sortWithinPartitions(*order, F.col("text").asc_nulls_first()).select("doc_id", "text")
     found = written(ordered.mapInArrow(_in_order, _OUT), "digests")
-    parts = sorted(r[0] for r in found.where("first").select("part").collect())  # one number for each partition
+    numbers = sorted(r[0] for r in found.where("first").select("part").collect())  # one number for each partition
     names = found.columns[2:-1]
     inside = found.where("first is null").select(*names)
-    if not parts:
+    if not numbers:
         return inside
-    turns = spark.createDataFrame(list(zip(parts, [*parts[1:], parts[0]], strict=True)), "part long, next_part long")
+    turns = spark.createDataFrame(list(zip(numbers, [*numbers[1:], numbers[0]], strict=True)), "part long, next_part long")
     last = found.where("not first").select("part", "doc_id", "text").join(turns, "part")
     first = found.where("first").select(F.col("part").alias("next_part"), F.col("text").alias("following"))
     edges = last.join(first, "next_part").select("doc_id", "text", "following").mapInArrow(_at_edges, _OUT)

@@ -2,7 +2,8 @@
 
 For each language the log-likelihood of a page's text (byte trigrams) is
 added to those of the declared markup language and of the host.  The text
-model is fitted on a bounded sample of documents of known language.  What a
+model is fitted on a sample of documents of known language, of which each
+language has its part, so none is left out however rare.  What a
 declaration is worth, and which languages a host writes, are sums over all
 pages of the text's posteriors: how often each language is declared as each,
 and counts for each host, smoothed by its parent domain, that by its own, up
@@ -10,9 +11,13 @@ to the address suffix and all pages.  A page's own share is taken out of its
 host's counts.
 
 Defined results: a page without text, declaration and host gets the most
-frequent language; without documents of known language there is no language
-and the result is null; null pages and addresses are empty; rows that repeat
-are judged one by one.
+frequent language, of equals the first by code; of equal posteriors the first
+language by code is given; without documents of known language there is no language
+and the result is null; documents whose ``lang`` is no code of two or three
+letters (with or without a region) are of no known language; null pages and
+addresses are empty; rows that repeat are judged one by one; an empty table
+has no row; only the named columns are looked at, and the result has no others.
+A page is parsed as a whole, with eight bytes for each of its trigrams.
 """
 
 from __future__ import annotations
@@ -27,15 +32,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairn.llm.common import annotate, small_batches, table, written
+from cairn.llm.common import annotate, parts, shuffle_partitions, table, written
 
-#: Documents that the text model is fitted on, about; they are sampled by a hash of doc_id.
-SAMPLE = 20_000
-#: Languages that are told apart: the most frequent of the sample.
-LANGUAGES = 64
-BUCKETS = 1 << 16
-#: Neighbouring trigrams overlap and languages share words: so many count as one, and so many at most.
-OVERLAP, MOST = 4.0, 400
+#: Documents that the text model is fitted on, about, and of each language at least;
+#: they are sampled by a hash of doc_id.
+SAMPLE, LEAST = 20_000, 50
+#: Trigram buckets; fewer where the languages would need more than CELLS of them in all.
+BUCKETS, CELLS = 1 << 16, 1 << 25
+#: Neighbouring trigrams overlap and languages share words, so a text's trigrams count as fewer:
+#: as a quarter of them, from where five times their root is less, as that.
+OVERLAP, ROOT = 4.0, 5.0
 #: Pages that the level above counts as.
 WEIGHT = 4.0
 #: Labels of a host that have a level of their own, from the suffix on.
@@ -83,19 +89,20 @@ _LETTERS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >=
 
 
 def trigrams(text: bytes) -> np.ndarray:
-    """How often each hashed byte trigram of the words, with their edges, occurs."""
+    """The 16-bit hashes of the byte trigrams of the words, with their edges."""
     words = b" " + b" ".join(text.translate(_LETTERS).split()) + b" "
     raw = np.frombuffer(words, dtype=np.uint8).astype(np.uint32)
-    hashed = (raw[:-2] * np.uint32(0x9E3779B1) ^ raw[1:-1] * np.uint32(0x85EBCA77) ^ raw[2:] * np.uint32(0xC2B2AE3D)) >> np.uint32(16)
-    return hashed
+    return (raw[:-2] * np.uint32(0x9E3779B1) ^ raw[1:-1] * np.uint32(0x85EBCA77) ^ raw[2:] * np.uint32(0xC2B2AE3D)) >> np.uint32(16)
 
 
 class TextModel:
     """Log-probabilities of trigrams for each language."""
 
     def __init__(self, names: list[str], counts: np.ndarray, rows: np.ndarray):
+        """``counts`` of the trigrams of the sampled documents, ``rows`` of all documents, by language."""
         self.names = names
         self.share = rows / max(1.0, rows.sum())
+        self.shift = np.uint32((BUCKETS // max(1, counts.shape[1])).bit_length() - 1)
         smoothed = counts + 0.5
         self.log = np.log(smoothed / smoothed.sum(axis=1, keepdims=True)).astype(np.float32)
 
@@ -104,44 +111,71 @@ class TextModel:
         found = trigrams(text)
         if not len(found):
             return np.zeros(len(self.names))
-        sums = self.log[:, found].sum(axis=1, dtype=np.float64)
-        return (sums - sums.max()) / OVERLAP * min(1.0, MOST / len(found))
+        sums = self.log[:, found >> self.shift].sum(axis=1, dtype=np.float64)
+        return (sums - sums.max()) * min(1 / OVERLAP, ROOT / len(found) ** 0.5)
 
 
-def train(docs: DataFrame, *, sample: int = SAMPLE, languages: int = LANGUAGES) -> TextModel:
+def code_of(lang: Column) -> Column:
+    """The two or three letters of a language code in lower case; null for what is none.  So there are at most 18,252."""
+    return F.nullif(F.lower(F.regexp_extract(lang.cast("string"), r"^\s*([A-Za-z]{2,3})(?:[-_][\w-]*)?\s*$", 1)), F.lit(""))
+
+
+_PART = pa.schema([("lang", pa.int32()), ("places", pa.binary()), ("sums", pa.binary())])
+
+
+def train(docs: DataFrame, *, sample: int = SAMPLE, least: int = LEAST) -> TextModel:
     """The text model of documents (doc_id, text, lang)."""
-    labelled = docs.where("lang is not null")
-    tally = labelled.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(languages).collect()
-    total, names = sum(r[1] for r in tally), sorted(r[0] for r in tally)
-    part = labelled.where(F.col("lang").isin(names)) if names else labelled.limit(0)
-    if total > sample:
-        part = part.where(F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(1_000_000)) < int(1_000_000 * sample / total))
-    small_batches(docs.sparkSession)
-    place = {n: i for i, n in enumerate(names)}
-    shape = (len(names), BUCKETS + 1)
+    spark = docs.sparkSession
+    labelled = docs.select("doc_id", F.col("text").cast("string").alias("text"), code_of(F.col("lang")).alias("code")).where("code is not null")
+    tally = sorted(tuple(r) for r in labelled.groupBy("code").count().collect())
+    names, rows = [t[0] for t in tally], np.array([float(t[1]) for t in tally])
+    size = BUCKETS
+    while size > 1 and len(names) * size > CELLS:
+        size //= 2
+    counts = np.zeros((len(names), size))
+    if not names:
+        return TextModel(names, counts, rows)
+    rate = np.minimum(1_000_000, 1_000_000 * np.maximum(sample / rows.sum(), least / rows)).astype(int)
+    rates = spark.createDataFrame([(n, i, int(r)) for i, (n, r) in enumerate(zip(names, rate, strict=True))], "code string, place int, rate int")
+    part = labelled.join(F.broadcast(rates), "code").where(F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(1_000_000)) < F.col("rate"))
+    shift = np.uint32((BUCKETS // size).bit_length() - 1)
+
+    def sparse(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
+        found = [(lang, np.flatnonzero(x)) for lang, x in sums.items()]
+        columns = [lang for lang, _ in found], [at.astype("<u4").tobytes() for _, at in found], [sums[lang][at].tobytes() for lang, at in found]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PART, strict=True)], schema=_PART)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(shape, dtype=np.int64)
-        for batch in batches:
+        sums: dict[int, np.ndarray] = {}
+        for batch in parts(batches):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[place[lang], :BUCKETS] += np.bincount(trigrams(text or b""), minlength=BUCKETS)
-                sums[place[lang], BUCKETS] += 1
-        if sums.any():
-            yield pa.RecordBatch.from_pydict({"part": [0] * len(names), "lang": pa.array(range(len(names)), pa.int32()), "sums": pa.array([x.tobytes() for x in sums], pa.binary())}, schema=pa.schema([("part", pa.int32()), ("lang", pa.int32()), ("sums", pa.binary())]))
+                if lang not in sums:
+                    if len(sums) >= 64:
+                        yield sparse(sums)
+                        sums = {}
+                    sums[lang] = np.zeros(size, dtype=np.int64)
+                sums[lang] += np.bincount(trigrams(text or b"") >> shift, minlength=size)
+        yield sparse(sums)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        """The sums of each language; the rows come in the order of languages."""
+        now, total = None, np.zeros(size, dtype=np.int64)
         for batch in batches:
-            for lang, x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                sums[lang] = sums.get(lang, 0) + np.frombuffer(x, dtype=np.int64)
-        if sums:
-            yield pa.RecordBatch.from_pydict({"lang": pa.array(sums, pa.int32()), "sums": pa.array([x.tobytes() for x in sums.values()], pa.binary())})
-
-    counted = part.select("lang", F.col("text").cast("binary").alias("text")).mapInArrow(count, "part int, lang int, sums binary")
-    total_counts = np.zeros(shape, dtype=np.int64)
-    for lang, x in counted.repartition(8).mapInArrow(add, "lang int, sums binary").collect():
-        total_counts[lang] += np.frombuffer(bytes(x), dtype=np.int64)
-    return TextModel(names, total_counts[:, :BUCKETS].astype(float), total_counts[:, BUCKETS].astype(float))
+            for lang, at, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if lang != now and now is not None:
+                    yield sparse({now: total})
+                    total = np.zeros(size, dtype=np.int64)
+                now = lang
+                total[np.frombuffer(at, dtype="<u4")] += np.frombuffer(x, dtype=np.int64)
+        if now is not None:
+            yield sparse({now: total})
+
+    schema = "lang int, places binary, sums binary"
+    counted = part.select("place", F.col("text").cast("binary").alias("text")).mapInArrow(count, schema)
+    tasks = min(len(names), shuffle_partitions(spark))
+    for lang, at, x in counted.repartition(tasks, "lang").sortWithinPartitions("lang").mapInArrow(add, schema).collect():  # one row a language
+        counts[lang, np.frombuffer(bytes(at), dtype="<u4")] = np.frombuffer(bytes(x), dtype=np.int64)
+    return TextModel(names, counts, rows)
 
 
 def _softmax(logs: Column) -> Column:
@@ -198,7 +232,11 @@ def identify(pages: DataFrame, model: TextModel, *, key: str = "page_id", html:
         empty = F.lit(None).cast("string")
         return pages.select(F.col(key), empty.alias("lang"), F.lit(0.0).alias("confidence"), empty.alias("text_lang"), empty.alias("declared"), empty.alias("host"))
 
+    shared = pages.sparkSession.sparkContext.broadcast(model)  # at most CELLS numbers
+
     def start():
+        model = shared.value
+
         def compute(texts: list[bytes], batch: pa.RecordBatch) -> list:
             hosts = [host_of(u or "") for u in batch.column("__url").to_pylist()]
             return [[declared(t) or "" for t in texts], hosts, [model.likelihoods(visible(t)).tolist() for t in texts]]

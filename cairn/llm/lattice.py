@@ -6,11 +6,14 @@ bytes' pieces.  The forward recursion in log space sums the probability of
 all paths; with the backward one it gives the pieces' expected counts.
 
 Words of one length are worked on together: substrings are rolling hashes,
-looked up in two small tables of the pieces' hashes.
+looked up in two small tables of the pieces' hashes.  Words of more than
+``LONG`` characters are worked on alone, stretch by stretch, so that a word of
+millions of characters takes time and memory in proportion to its length.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +23,8 @@ START = "▁"
 ZIPF = 2.7
 #: Cells of a block of words: words times characters.
 BLOCK = 1 << 19
+#: Characters of a word from which it is worked on alone, and of a stretch of it.
+LONG, STRETCH = 64, 1 << 14
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -121,17 +126,94 @@ class Lattice:
             alpha.append(_logsum([alpha[end - length] + weight for length, (_, weight) in enumerate(here, 1)]))
         return alpha
 
+    def _from(self, codes: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """(piece or n, log-probability or -inf) of the arcs that start at a to b, by length and start."""
+        n, padded = len(codes), np.concatenate((self.log[: self.n], [-np.inf]))
+        pieces = np.full((self.longest, b - a), self.n, dtype=np.int32)
+        weights = np.full((self.longest, b - a), -np.inf)
+        rolling = np.zeros(b - a, dtype=np.uint64)
+        for k in range(self.longest):
+            here = max(0, min(b - a, n - a - k))  # starts from which an arc of k + 1 characters ends in the word
+            if not here:
+                break
+            rolling[:here] = (rolling[:here] + codes[a + k : a + k + here].astype(np.uint64) + np.uint64(1)) * _STEP
+            pieces[k, :here] = self.find(rolling[:here])
+            weights[k, :here] = padded[pieces[k, :here]]
+        if (lost := pieces[0] == self.n).any():
+            weights[0, lost] = self._bytes(codes[a:b][lost])
+        return pieces, weights
+
+    def _steps(self, codes: np.ndarray, backwards: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[list[tuple[int, float]]]]]:
+        """(first start, pieces, weights, arcs as (length, weight) of each start) of a word's stretches."""
+        starts = range(0, len(codes), STRETCH)
+        for a in reversed(starts) if backwards else starts:
+            pieces, weights = self._from(codes, a, min(a + STRETCH, len(codes)))
+            arcs: list[list[tuple[int, float]]] = [[] for _ in range(pieces.shape[1])]
+            at, length = np.nonzero(np.isfinite(weights.T))
+            for s, k, w in zip(at.tolist(), length.tolist(), weights.T[at, length].tolist(), strict=True):
+                arcs[s].append((k + 1, w))
+            yield a, pieces, weights, arcs
+
+    def _ahead(self, codes: np.ndarray) -> np.ndarray:
+        """Natural log of the probability of all ways to each place of one word."""
+        n = len(codes)
+        alpha, log1p, exp = [-math.inf] * (n + self.longest + 1), math.log1p, math.exp
+        alpha[0] = 0.0
+        for a, _, _, arcs in self._steps(codes):
+            for s, here in enumerate(arcs, a):
+                base = alpha[s]
+                for length, w in here:
+                    x, y = base + w, alpha[s + length]
+                    if x < y:
+                        x, y = y, x
+                    alpha[s + length] = x + log1p(exp(y - x))
+        return np.array(alpha[: n + 1])
+
+    def _expect_long(self, codes: np.ndarray, out: np.ndarray) -> None:
+        """Adds one word's expected counts."""
+        n, alpha = len(codes), self._ahead(codes)
+        beta = np.full(n + self.longest + 1, -np.inf)
+        beta[n] = 0.0
+        for a, pieces, weights, arcs in self._steps(codes, backwards=True):
+            size = len(arcs)
+            after = beta[a : a + size + self.longest].tolist()
+            for s in range(size - 1, -1, -1):
+                ways = [w + after[s + length] for length, w in arcs[s]]
+                top = max(ways)
+                after[s] = top + math.log(sum(math.exp(x - top) for x in ways))
+            beta[a : a + size] = after[:size]
+            for k in range(self.longest):
+                share = np.exp(np.minimum(0.0, alpha[a : a + size] + weights[k] + beta[a + k + 1 : a + k + 1 + size] - alpha[n]))
+                found = pieces[k] < self.n
+                out += np.bincount(pieces[k][found], weights=share[found], minlength=len(out))
+                if not k and not found.all():
+                    self._spell(codes[a : a + size][~found], share[~found], out)
+
+    def _spell(self, codes: np.ndarray, share: np.ndarray, out: np.ndarray) -> None:
+        for c, s in zip(codes.tolist(), share.tolist(), strict=True):
+            for b in chr(c).encode("utf-8", "replace"):
+                out[self.n + b] += s
+
     def score(self, words: list[str]) -> np.ndarray:
         """Natural log of the probability of all segmentations of each word."""
         out = np.zeros(len(words))
         for at, codes in blocks(words):
-            out[at] = self._forward(self._arcs(codes), len(at))[-1]
+            if codes.shape[1] > LONG:
+                out[at] = [self._ahead(c)[-1] for c in codes]
+            else:
+                out[at] = self._forward(self._arcs(codes), len(at))[-1]
         return out
 
     def expect(self, words: list[str], counts: np.ndarray) -> np.ndarray:
         """Expected counts of the pieces and bytes, words weighing their counts."""
         out = np.zeros(self.n + 257)
         for at, codes in blocks(words):
+            if codes.shape[1] > LONG:
+                for i, c in zip(at.tolist(), codes, strict=True):
+                    own = np.zeros(len(out))
+                    self._expect_long(c, own)
+                    out += counts[i] * own
+                continue
             arcs, n = self._arcs(codes), codes.shape[1]
             alpha = self._forward(arcs, len(at))
             beta: list[list[np.ndarray]] = [[] for _ in range(n)]
@@ -145,9 +227,7 @@ class Lattice:
                     found = piece < self.n
                     out += np.bincount(piece[found], weights=share[found], minlength=len(out))
                     if length == 1 and not found.all():
-                        for c, s in zip(codes[~found, end - 1].tolist(), share[~found].tolist(), strict=True):
-                            for b in chr(c).encode("utf-8", "replace"):
-                                out[self.n + b] += s
+                        self._spell(codes[~found, end - 1], share[~found], out)
         return out
 
 

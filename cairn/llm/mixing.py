@@ -6,14 +6,22 @@ source's words up to and with it, divided by the source's target.  Documents
 are taken in the order of their finish times until the budget is spent, so at
 any point each source has given words in proportion to its target.
 
-All running sums are made in two levels: within slices of the shuffled order,
-whose number follows the number of documents, and over the slices' totals.
-No slice holds more than a few thousand rows, however large its source.
+All running sums are made in levels: within slices of the shuffled order,
+whose number follows the number of documents, over the slices of a block, and
+over the blocks.  No task holds more than a few thousand rows of a source, its
+totals of ``SLICE_ROWS`` times ``BLOCK_SLICES`` documents apart.
+
+The documents are not sorted by finish time as a whole: the order decides only
+where the budget ends, and that place is found by ranging the finish times into
+bins, which moves counts and not rows.  What is taken is the same.
 
 Defined results: a null text has size 0; sources without words have target 0;
 a null source comes last; a document of size 0 takes its place in the queue
-and adds no word; rows that repeat are separate documents; where all texts
-are empty all targets are 0 and the mix is empty.
+and adds no word, and after the last word that is taken it is not taken; rows
+that repeat are separate documents, but ``mixed`` has the least of rows of one
+doc_id, source and text for all of them; where all texts are empty all targets
+are 0 and the mix is empty; an empty table has no row.  A text is counted by
+the engine's own expressions, however long it is.
 """
 
 from __future__ import annotations
@@ -21,12 +29,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import WORD, table, written
+from cairn.llm.common import WORD, col, free, least_rows, table, written
 
 WEIGHTS = (5, 2, 1)
 BUDGET = (3, 2)  # the share of all words that is mixed, as a fraction
 REPEATS = 2
 SLICE_ROWS = 400
+BLOCK_SLICES = 4096
+#: Copies of a row that are made at once.
+COPIES = 1000
 
 
 def _targets(sources: DataFrame, weights: tuple[int, ...], budget: tuple[int, int]) -> DataFrame:
@@ -66,7 +77,7 @@ def mix(
 
     ``finish`` is the first virtual finish time; the second is later by
     source_size / target.  ``times`` says how often the mix has the document.
-    ``keep`` names columns that go along.
+    ``keep`` names columns that go along, none of them named like a result.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     named = F.concat(F.when(F.col("source").isNull(), "1").otherwise("0"), F.coalesce(F.col("source").cast("string"), F.lit("")))
@@ -89,8 +100,12 @@ def mix(
     targets = written(_targets(sums.groupBy("queue").agg(F.sum("words").alias("source_size")), weights, budget), "targets")
 
     # The words of a source before each slice, and in the slice up to each document.
-    running = Window.partitionBy("queue").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("queue", "slice", F.coalesce(F.sum("words").over(running), F.lit(0)).alias("before"))
+    blocks = sums.groupBy("queue", F.floor(F.col("slice") / BLOCK_SLICES).alias("block")).agg(F.sum("words").alias("words"))
+    by_block = Window.partitionBy("queue").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = blocks.select("queue", "block", F.coalesce(F.sum("words").over(by_block), F.lit(0)).alias("ahead"))
+    by_slice = Window.partitionBy("queue", "block").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    within = sums.withColumn("block", F.floor(F.col("slice") / BLOCK_SLICES)).withColumn("inside", F.coalesce(F.sum("words").over(by_slice), F.lit(0)))
+    offsets = within.join(ahead, ["queue", "block"]).select("queue", "slice", (F.col("inside") + F.col("ahead")).alias("before"))
     inside = Window.partitionBy("queue", "slice").orderBy("turn", F.col("doc_id").asc_nulls_last(), "size")
     upto = F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0))
     queued = sized.withColumn("words", upto).join(written(offsets, "offsets"), ["queue", "slice"])
@@ -115,14 +130,17 @@ def _cut(timed: DataFrame, budget: tuple[int, int], bins: int = 1000, rows: int
 
     The finish times are ranged into ``bins`` of equal width and their words
     summed; the bin in which the budget ends is ranged again until it holds
-    few rows.  Only these are sorted.
+    few rows.  Only these are sorted.  Documents without words don't move the
+    budget's end and are left aside; of the others a source has one at a time
+    at most, so a bin can always be ranged further.
     """
     times = F.explode(F.array("finish", "second"))
     each = timed.select("size", "turn", F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), times.alias("at")).where("at is not null")
+    each, every = each.where("size > 0"), each
     words, low, high, n = each.agg(F.sum("size"), F.min("at"), F.max("at"), F.count(F.lit(1))).first()
     rest = (timed.agg(F.sum("size")).first()[0] or 0) * budget[0] // budget[1]
     if not n or rest >= words:
-        found = each.agg(F.max(F.struct("at", "turn", "doc_id"))).first()[0]
+        found = every.agg(F.max(F.struct("at", "turn", "doc_id"))).first()[0]
         return tuple(found) if found else None
     here = each  # the rows among which the budget ends; ``rest`` is what is left of it there
     while n > rows and high > low:
@@ -151,18 +169,23 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     Rows that are equal in doc_id, source and text are one row with a count
     here, so nothing is joined with each of its copies.
     """
-    keys = ["__id", "__source", "__digest"]
+    keys = free([*docs.columns, "doc_id", "size", "source_size", "target", "finish", "times", "taken"], "__id", "__source", "__digest")
     keyed = docs.withColumns(
         {
-            "__id": F.coalesce(F.col("doc_id").cast("string"), F.lit("null")),
-            "__source": F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("null")),
-            "__digest": F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")),
+            keys[0]: F.coalesce(F.col("doc_id").cast("string"), F.lit("null")),
+            keys[1]: F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("null")),
+            keys[2]: F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")),
         }
     )
-    times = mix(keyed, keep=tuple(keys), **options).groupBy(*keys).agg(F.sum("times").alias("__times")).where("__times > 0")
-    one = F.row_number().over(Window.partitionBy(*keys).orderBy(*keys))
-    joined = keyed.join(written(times, "times"), keys).withColumn("__one", one).where("__one = 1")
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(*docs.columns)
+    (often,) = free(keyed.columns, "__times")
+    times = mix(keyed, keep=tuple(keys), **options).groupBy(*keys).agg(F.sum("times").alias(often)).where(F.col(often) > 0)
+    joined = keyed.join(written(times, "times"), keys)
+    one = least_rows(joined, docs.columns, *keys, more=(F.first(often).alias(often),))
+    (turn,) = free(one.columns, "__turn")
+    n = F.col(often).cast("long")
+    many = one.withColumn(turn, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / COPIES))))
+    here = F.least(F.lit(COPIES).cast("long"), n - F.col(turn) * COPIES)
+    return many.withColumn(turn, F.explode(F.sequence(F.lit(1).cast("long"), here))).select(*[col(c) for c in docs.columns])
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

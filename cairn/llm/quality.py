@@ -9,7 +9,10 @@ counts per score bin.
 
 Defined results: null and empty texts have the statistics of an empty text;
 without labelled rows every score is 0.5; repeated labels of a document count
-as the largest.
+as the largest, and each row of a labelled doc_id is learned from; a row
+without a doc_id is scored and not held out; an empty table has no row; other
+columns are not looked at.  The statistics are of whole texts, one of which a
+worker holds with its words and lines.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairn.llm.common import SPACED_CASED, annotate, small_batches, table, written
+from cairn.llm.common import SPACED_CASED, annotate, parts, release, table, written
 from cairn.llm.toxicity import held_out
 
 COSINES = 256
@@ -144,7 +147,7 @@ def _summed(rows: DataFrame, size: int, add) -> np.ndarray:
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size)
-        for batch in batches:
+        for batch in parts(batches, 2000):
             if len(batch):
                 total += add(batch)
         yield pa.RecordBatch.from_pydict({"sums": pa.array([total.tobytes()], pa.binary())})
@@ -156,14 +159,13 @@ def _summed(rows: DataFrame, size: int, add) -> np.ndarray:
                 total += np.frombuffer(x)
         yield pa.RecordBatch.from_pydict({"sums": pa.array([total.tobytes()], pa.binary())})
 
-    parts = rows.mapInArrow(first, schema).repartition(8).mapInArrow(again, schema).collect()
-    return np.sum([np.frombuffer(bytes(r[0])) for r in parts], axis=0)
+    sums = rows.mapInArrow(first, schema).repartition(8).mapInArrow(again, schema).collect()
+    return np.sum([np.frombuffer(bytes(r[0])) for r in sums], axis=0)
 
 
 def train(rows: DataFrame, *, ridge: float = RIDGE, bins: int = BINS, **options) -> Ridge:
     """A model of ``rows`` (stats, label); all of them count."""
     size = len(STATISTICS)
-    small_batches(rows.sparkSession, 2000)
 
     def moments(batch: pa.RecordBatch) -> np.ndarray:
         x = _matrix(batch.column("stats"))
@@ -202,13 +204,12 @@ def train(rows: DataFrame, *, ridge: float = RIDGE, bins: int = BINS, **options)
 
 def scored(rows: DataFrame, model: Ridge) -> DataFrame:
     """``rows`` (with stats) without them, with ``score``."""
-    small_batches(rows.sparkSession, 2000)
     names = [c for c in rows.columns if c not in ("stats", "score")]
     taken = rows.select(*names, "stats")
     schema = T.StructType([*[f for f in taken.schema.fields if f.name != "stats"], T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, 2000):
             score = model.score(_matrix(batch.column("stats"))) if len(batch) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score, pa.float64())], names=[*names, "score"])
 
@@ -221,5 +222,7 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = written(described(docs, keep=["doc_id"]), "statistics")
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("label"))
     known = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
-    model = train(written(stats.join(known.where(~held_out()), "doc_id"), "labelled"))
+    labelled = written(stats.join(known.where(~held_out()), "doc_id"), "labelled")
+    model = train(labelled)
+    release(labelled)
     return scored(stats, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -2,12 +2,19 @@
 
 A word's lattice has arcs for the pieces of an existing vocabulary.  Their
 scores give the pieces' first probabilities, which expectation maximisation
-over the training rows' distinct words adapts.  A word that the training rows
-have is also one arc as a whole, with its discounted share of uses; what the
-discounts leave is the weight of the pieces.  The shares are those of a class
-of training rows (their language); a text's own class is not looked at: its
-probability is the sum over the classes, of the class's weight times the
-product over its words, and the end, of the sum over all segmentations.
+over the training rows' distinct words adapts.  ``lattice_score`` is the
+marginal of that lattice alone: the log-probability of a text as the product
+over its words, and the end, of the sum over all segmentations into pieces.
+
+``score`` mixes two models.  In it a word that the training rows have is also
+one arc as a whole, with its discounted share of uses; what the discounts
+leave is the weight of the pieces.  The shares are those of a class of
+training rows.  The classes are the training rows' languages: texts of one
+language use one vocabulary, and the column is part of the rows that are
+learned from.  A text's own class is not looked at: its probability is the sum
+over the classes, of the class's weight times the product over its words.  The
+mixture has ``CLASSES`` parts of its own and one for all rarer languages, so
+every training row counts in one; without ``group`` it has one part.
 
 The scan turns texts into chunks: the chunk's distinct words, dealt over
 buckets by a hash of the word, and each document's word numbers, which stay
@@ -18,13 +25,17 @@ moved, and they grow with the corpus.
 
 Defined results: null and empty texts have the end as their only token;
 without training rows N is 0 and the pieces keep their first probabilities;
-training rows of a rare class or none are one class together; rows that
+training rows of a rare class or none are one class together; classes of
+equal size are taken in the order of their names; rows that
 repeat are counted and scored one by one; a row without a doc_id
-is not held out; bytes that are no UTF-8 are scored as U+FFFD.
+is not held out; an empty table has no row; columns that are not named are not
+looked at; bytes that are no UTF-8 are scored as U+FFFD.  A long text is a
+chunk of its own: its words' numbers are held by one worker.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import zlib
 from collections.abc import Iterator
@@ -35,7 +46,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import SPACED, bucket_of, small_batches, spread, table, text_bytes, written
+from cairn.llm.common import SPACED, fold, release, spread, table, text_bytes, written
+from cairn.llm.common import parts as slices
 from cairn.llm.lattice import Lattice, Pieces
 
 #: Bytes of text in a chunk, about, and for each bucket of words.
@@ -61,7 +73,7 @@ def vocabulary() -> str:
 
 def held_out(key: str = "doc_id") -> Column:
     """The fold that is never learned from."""
-    return F.coalesce(bucket_of(F.col(key).cast("long")) % 10 == 0, F.lit(False))
+    return fold(F.col(key), 10, 0)
 
 
 _ROW = "chunk long, kind int, bucket int, n_tokens array<long>, n_docs array<long>, a binary, b binary"
@@ -126,7 +138,7 @@ def _chunks(buckets: int, classes: int, chunk_bytes: int):
         from pyspark import TaskContext
 
         number, chunk = TaskContext.get().partitionId() << 32, _Chunk()
-        for batch in batches:
+        for batch in slices(batches, 200):
             for key, group, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 chunk.add(key, group, text or b"")
                 if chunk.size >= chunk_bytes:
@@ -141,7 +153,7 @@ def _chunks(buckets: int, classes: int, chunk_bytes: int):
 def _by_bucket(batches: Iterator[pa.RecordBatch], classes: int) -> Iterator[tuple[int, list[tuple[int, list[bytes], np.ndarray]]]]:
     """(bucket, [(chunk, words, counts by class)]) of rows in the order of buckets."""
     now, held = None, []
-    for batch in batches:
+    for batch in slices(batches, 200):
         for chunk, bucket, a, b in zip(*(batch.column(c).to_pylist() for c in ("chunk", "bucket", "a", "b")), strict=True):
             if bucket != now and held:
                 yield now, held
@@ -175,15 +187,28 @@ def _count(classes: int):
     return run
 
 
-def _expect(texts: list[str], probabilities: np.ndarray):
+_lattice: dict[bytes, Lattice] = {}
+
+
+def _lattice_of(texts: list[str], probabilities: np.ndarray) -> Lattice:
+    """The worker's lattice of these probabilities; the one before is dropped."""
+    key = hashlib.md5(probabilities.tobytes()).digest()
+    if key not in _lattice:
+        _lattice.clear()
+        _lattice[key] = Lattice(texts, probabilities)
+    return _lattice[key]
+
+
+def _expect(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, total = Lattice(texts, probabilities), np.zeros(len(probabilities))
-        for batch in batches:
+        lattice, total = _lattice_of(*model.value), None
+        for batch in slices(batches, 200):
             for n, a in zip(*(batch.column(c).to_pylist() for c in ("n_tokens", "a")), strict=True):
                 if n[0]:
                     words = [w.decode("utf-8", "replace") for w in _stretch(a).split(b"\n")]
-                    total += lattice.expect(words, np.ones(len(words)))
-        yield pa.RecordBatch.from_pydict({"sums": pa.array([total.tobytes()], pa.binary())})
+                    total = lattice.expect(words, np.ones(len(words))) + (0 if total is None else total)
+        if total is not None:
+            yield pa.RecordBatch.from_pydict({"sums": pa.array([total.tobytes()], pa.binary())})
 
     return run
 
@@ -197,22 +222,29 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"sums": pa.array([total.tobytes()], pa.binary())})
 
 
-def adapt(pieces: Pieces, words: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
-    """Probabilities of the pieces, the bytes and the end, from the distinct training words."""
-    p = pieces.prior
+def adapt(pieces: Pieces, words: DataFrame, rounds: int = ROUNDS, tasks: int = 8) -> np.ndarray:
+    """Probabilities of the pieces, the bytes and the end, from the distinct training words.
+
+    Buckets of words are dealt over ``tasks``; what a task adds up has the
+    vocabulary's size, and so have the few sums that come here.
+    """
+    context, p = words.sparkSession.sparkContext, pieces.prior
+    dealt = words.select("n_tokens", "a", "bucket").repartition(tasks, "bucket")
     for _ in range(rounds):
-        parts = words.mapInArrow(_expect(pieces.texts, p), "sums binary").repartition(8).mapInArrow(_add, "sums binary").collect()
-        expected = np.sum([np.frombuffer(bytes(r[0])) for r in parts], axis=0) if parts else np.zeros(len(p))
+        model = context.broadcast((pieces.texts, p))
+        sums = dealt.mapInArrow(_expect(model), "sums binary").repartition(8).mapInArrow(_add, "sums binary").collect()
+        expected = np.sum([np.frombuffer(bytes(r[0])) for r in sums], axis=0) if sums else np.zeros(len(p))
         p = expected + PRIOR * len(p) * pieces.prior
         p = p / p.sum()
+        model.unpersist()
     return p
 
 
-def _answer(texts: list[str], probabilities: np.ndarray, classes: int):
+def _answer(model, classes: int):
     """Each chunk's words in a bucket with their counts by class and the pieces' log10 probabilities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(texts, probabilities)
+        lattice = _lattice_of(*model.value)
         for bucket, parts in _by_bucket(batches, classes):
             words, places, total = _counted(parts)
             logs = (lattice.score([w.decode("utf-8", "replace") for w in words]) / math.log(10)).astype("<f8")
@@ -225,7 +257,7 @@ def _answer(texts: list[str], probabilities: np.ndarray, classes: int):
     return run
 
 
-_SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+_SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, lattice_score double"
 
 
 def _finish(n_tokens: np.ndarray, n_docs: np.ndarray, n_types: np.ndarray, all_types: int, end_log: float):
@@ -268,12 +300,13 @@ def _finish(n_tokens: np.ndarray, n_docs: np.ndarray, n_types: np.ndarray, all_t
             pa.array(np.full(len(key), int(n_tokens.sum())), pa.int64()),
             pa.array(base + end_base),
             pa.array(top + np.log10((10 ** (ways - top)).sum(axis=0))),
+            pa.array(sums(logs) + end_log),
         ]
         return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _SCORED.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         documents, answers = None, []
-        for batch in batches:
+        for batch in slices(batches, 200):
             for kind, a, b in zip(*(batch.column(c).to_pylist() for c in ("kind", "a", "b")), strict=True):
                 if kind == _DOCS:
                     if documents is not None:
@@ -297,13 +330,12 @@ def score(
     chunk_bytes: int = CHUNK_BYTES,
     bucket_bytes: int = BUCKET_BYTES,
 ) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document.
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and lattice_score of every document.
 
     ``held`` says which rows are not learned from, ``group`` names the column
     with the classes of the rows that are.
     """
     spark = docs.sparkSession
-    small_batches(spark, 200)
     buckets = 2 * spread(spark, text_bytes(docs), bucket_bytes)
     own, names = F.lit(None).cast("string") if group is None else F.col(group).cast("string"), []
     if group is not None:
@@ -316,7 +348,7 @@ def score(
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(held, -1).otherwise(place).alias("group"), F.col("text").cast("string").cast("binary").alias("text"))
     chunks = written(texts.mapInArrow(_chunks(buckets, classes, chunk_bytes), _ROW), "chunks")
     words = chunks.where(F.col("kind") == _WORDS)
-    dealt = words.repartition("bucket").sortWithinPartitions("bucket", "chunk")
+    dealt = words.repartition(buckets, "bucket").sortWithinPartitions("bucket", "chunk")
     known = written(dealt.mapInArrow(_count(classes), _ROW), "words")
 
     def summed(rows: DataFrame, name: str, n: int) -> np.ndarray:
@@ -326,10 +358,11 @@ def score(
     n_tokens, n_docs = summed(documents, "n_tokens", classes), summed(documents, "n_docs", classes)
     n_types, all_types = summed(known, "n_docs", classes), int(summed(known, "n_tokens", 1)[0]) + bool(n_docs.sum())
     pieces = Pieces(path)
-    p = adapt(pieces, known, rounds)
+    p = adapt(pieces, known, rounds, buckets)
+    release(known)
 
-    answers = dealt.mapInArrow(_answer(pieces.texts, p, classes), _ROW)
-    gathered = documents.unionByName(answers).repartition("chunk").sortWithinPartitions("chunk", "kind", "bucket")
+    answers = dealt.mapInArrow(_answer(spark.sparkContext.broadcast((pieces.texts, p)), classes), _ROW)
+    gathered = documents.unionByName(answers).repartition(buckets, "chunk").sortWithinPartitions("chunk", "kind", "bucket")
     return gathered.mapInArrow(_finish(n_tokens, n_docs, n_types, all_types, math.log10(p[-1])), _SCORED)
 
 

@@ -9,11 +9,19 @@ enters its own grid cell and those one step away, in either half, and linked
 fingerprints meet in a cell.  What meets is verified on all 64 bits.
 
 Copies meet once, as one fingerprint.  A cell yields the edges of a spanning
-forest of its links, not all pairs; components come from those edges.
+forest of its links, not all pairs; components come from those edges.  The
+fullest cell has about 17 in 65,536 of all fingerprints.  In a cell of many,
+fingerprints meet again by each fifth of their bits: of five fifths at most
+four differ, so no link is lost and no cell is compared all with all.
 
 Defined results: null and empty texts and those of white space have the
 fingerprint zero and are linked like others; rows without a doc_id have a
-fingerprint and take the class of their fingerprint.
+fingerprint and take the class of their fingerprint; rows that repeat a
+doc_id are in the class of their own text each; an empty table has no row.  A
+long text is hashed as a whole, with eight bytes for each of its shingles.
+``deduplicate`` keeps one row of each class: of the smallest doc_id (none comes
+last), then of the least fingerprint, the least digest of the text, and the
+least other columns as JSON.
 """
 
 from __future__ import annotations
@@ -28,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairn.llm.common import SPACED, annotate, small_batches, table, written
+from cairn.llm.common import SPACED, annotate, free, least_rows, release, spread, table, written
 from cairn.llm.components import components
 
 SHINGLE = 4
@@ -38,6 +46,11 @@ DISTANCE = 4
 HALF, BASE = 16, 3  # segments in a half, bit counts of a segment
 #: Cells with more fingerprints are searched breadth first instead of pair by pair.
 WIDE = 8
+#: Cells with more are dealt by the fifths of their bits before.
+DEAL = 1024
+_FIFTHS = [np.uint64(((1 << high) - 1) ^ ((1 << low) - 1)) for low, high in ((0, 13), (13, 26), (26, 39), (39, 52), (52, 64))]
+#: Bytes of the rows of a fingerprint in all its cells, and of the rows that a task gets.
+_ENTERED, TASK_BYTES = 800, 32 << 20
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -87,36 +100,57 @@ def _bits(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x)
 
 
-def links_in(cells: np.ndarray, fps: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a spanning forest of each cell; ``cells`` is sorted and holds whole cells."""
-    edge = np.flatnonzero(np.diff(cells)) + 1
+def _pairs(keys: np.ndarray, fps: np.ndarray, distance: int) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """(left, right, wide): links of the narrow groups of equal ``keys``, which are sorted, and the wide groups."""
+    edge = np.flatnonzero(np.diff(keys)) + 1
     starts = np.concatenate(([0], edge))
-    sizes = np.diff(np.concatenate((starts, [len(cells)])))
+    sizes = np.diff(np.concatenate((starts, [len(keys)])))
     left, right = [], []
     narrow = np.repeat(sizes <= WIDE, sizes)
     for shift in range(1, WIDE):
-        same = narrow[shift:] & (cells[shift:] == cells[:-shift])
+        same = narrow[shift:] & (keys[shift:] == keys[:-shift])
         at = np.flatnonzero(same)
         if not len(at):
             break
         at = at[_bits(fps[at] ^ fps[at + shift]) <= distance]
         left.append(fps[at])
         right.append(fps[at + shift])
-    for k in np.flatnonzero(sizes > WIDE).tolist():
-        rest = np.unique(fps[starts[k] : starts[k] + sizes[k]])
-        queue = []
-        while len(rest):
-            if queue:
-                now = queue.pop()
-            else:
-                now, rest = rest[0], rest[1:]
-            near = _bits(rest ^ now) <= distance
-            reached = rest[near]
-            if len(reached):
-                rest = rest[~near]
-                left.append(np.full(len(reached), now))
-                right.append(reached)
-                queue.extend(reached)
+    return left, right, [np.unique(fps[starts[k] : starts[k] + sizes[k]]) for k in np.flatnonzero(sizes > WIDE).tolist()]
+
+
+def _forest(rest: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links of a spanning forest of different fingerprints, breadth first."""
+    queue = []
+    while len(rest):
+        if queue:
+            now = queue.pop()
+        else:
+            now, rest = rest[0], rest[1:]
+        near = _bits(rest ^ now) <= distance
+        reached = rest[near]
+        if len(reached):
+            rest = rest[~near]
+            yield np.full(len(reached), now), reached
+            queue.extend(reached)
+
+
+def links_in(cells: np.ndarray, fps: np.ndarray, distance: int = DISTANCE, deal: int = DEAL) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what is linked in each cell; ``cells`` is sorted and holds whole cells."""
+    left, right, wide = _pairs(cells, fps, distance)
+    for points in wide:
+        groups = [points]
+        if len(points) > deal and distance < len(_FIFTHS):
+            groups = []
+            for mask in _FIFTHS:
+                by = points[np.argsort(points & mask, kind="stable")]
+                more_left, more_right, found = _pairs(by & mask, by, distance)
+                left += more_left
+                right += more_right
+                groups += found
+        for group in groups:
+            for a, b in _forest(group, distance):
+                left.append(a)
+                right.append(b)
     if not left:
         return fps[:0], fps[:0]
     a, b = np.concatenate(left), np.concatenate(right)
@@ -154,18 +188,18 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def link(distinct: DataFrame) -> DataFrame:
-    """(a, b): links that connect the fingerprints ``fp``, each of which is there once."""
-    small_batches(distinct.sparkSession, 10_000)
+    """(a, b): links that connect the fingerprints ``fp`` of a written table, each of which is there once."""
+    tasks = spread(distinct.sparkSession, _ENTERED * distinct.count(), TASK_BYTES)
     entered = distinct.select("fp").mapInArrow(_enter, "cell long, fp long")
-    met = entered.repartition("cell").sortWithinPartitions("cell")
+    met = entered.repartition(tasks, "cell").sortWithinPartitions("cell")
     return met.mapInArrow(_verify, "a long, b long").distinct()
 
 
 def near_duplicates(prints: DataFrame) -> DataFrame:
-    """(fp, first, component_id) of every fingerprint of ``prints`` (doc_id, fp).
+    """(fp, root, component_id) of every fingerprint of ``prints`` (doc_id, fp).
 
-    ``first`` is the smallest doc_id with that fingerprint, component_id the
-    smallest that its links reach.
+    ``root`` names the class by one of its fingerprints, component_id is the
+    smallest doc_id in it, null if no row of it has one.
     """
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprints")
     links = written(link(distinct), "links")
@@ -173,23 +207,41 @@ def near_duplicates(prints: DataFrame) -> DataFrame:
     roots = components(links)
     classed = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = written(classed.groupBy("root").agg(F.min("first").alias("component_id")), "least")
-    return written(classed.join(least, "root").select("fp", "first", "component_id"), "classes")
+    out = written(classed.join(least, "root").select("fp", "root", "component_id"), "classes")
+    release(distinct, links, roots, least)
+    return out
+
+
+def _prints(docs: DataFrame) -> DataFrame:
+    """doc_id, fp and the digest of the text of every row, written."""
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.md5(F.coalesce(text, F.lit("")).cast("binary")).alias("digest"))
+    return written(fingerprints(rows, keep=["doc_id", "digest"]), "prints")
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, fp and component_id of every row of ``docs``."""
-    prints = written(fingerprints(docs.withColumn("doc_id", F.col("doc_id").cast("long")), keep=["doc_id"]), "prints")
-    return prints.join(near_duplicates(prints).select("fp", "component_id"), "fp")
+    prints = _prints(docs)
+    return prints.join(near_duplicates(prints).select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The documents of which each is the smallest doc_id of its class, one row each.
+    """One row of each class, with the columns it came with.
 
-    Rows without a doc_id can't be named as another's copy; they stay.
+    Which row is defined (see above) by values of the rows alone.  The least
+    of a class and of equal rows are aggregates that are made before rows are
+    moved, so neither a large class nor a row that repeats is one task's.
     """
-    first = classes(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__stays")).distinct()
-    named = docs.join(first, docs["doc_id"].cast("long") == first["__stays"], "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
+    prints = _prints(docs)
+    classed = prints.join(near_duplicates(prints).select("fp", "root"), "fp")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "fp", "digest")
+    stays = written(classed.groupBy("root").agg(F.min(order).alias("first")).select("first.doc_id", "first.digest"), "stays")
+    release(prints)
+
+    kept, digest = free(docs.columns, "__doc_id", "__digest")
+    keyed = docs.withColumns({kept: F.col("doc_id").cast("long"), digest: F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))})
+    here = keyed.join(stays, keyed[kept].eqNullSafe(stays["doc_id"]) & (keyed[digest] == stays["digest"]), "left_semi")
+    return least_rows(here, docs.columns, kept, digest)
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

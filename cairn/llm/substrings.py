@@ -8,9 +8,11 @@ and equal strings have equal anchors.  Strings in a row with the same anchor
 are a run; there are about sixteen times fewer runs than bytes.
 
 1. The scan gives each run the hash of its seed and of all its bytes.  Within
-   a chunk the runs of equal bytes are one; all but its smallest document's
-   are removed there and then.
-2. Runs meet by the seed's hash.  Of runs of equal bytes, again only the
+   a chunk the runs whose hashes come again are ordered by deep-shallow suffix
+   sorting; of a class of equal bytes all but the smallest document's runs are
+   removed there and then.
+2. Runs of different chunks meet by the seed's hash.  They are equal if all
+   128 bits of both hashes, the lengths and the anchors are; again only the
    smallest document's stays.  Where different runs stay for one seed, their
    strings may still be equal in part: these are asked for.
 3. The texts' owners send the bytes of the runs that are asked for.  They
@@ -19,12 +21,16 @@ are a run; there are about sixteen times fewer runs than bytes.
    class of equal strings all but the smallest document's are removed.
 4. The removed strings come back to their texts.
 
-What meets is bounded by the number of chunks and of different runs, not of
-copies.  Hashes of runs have 96 bits.
+Only step 2 trusts hashes; sending all runs' bytes instead would move the text
+some five times over.  What meets is bounded by the number of chunks and of
+different runs, not of copies: a bucket is reduced as it is read, so however
+many chunks have a run, a task holds it once.
 
 Defined results: null and empty texts have no byte; rows that repeat a doc_id
 are documents of equal rank, none of which is smaller than the other; a row
-without a doc_id is smaller than all others; an empty table has no row.
+without a doc_id is smaller than all others; an empty table has no row; other
+columns are not looked at.  Long texts are hashed in segments of a megabyte,
+but a chunk has whole texts, so one text and its runs are held by a worker.
 """
 
 from __future__ import annotations
@@ -39,20 +45,22 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import small_batches, spread, table, text_bytes, written
+from cairn.llm.common import parts as slices
+from cairn.llm.common import spread, table, text_bytes, written
 from cairn.llm.suffixes import order
 
 LENGTH = 50
 SEED = 20
 REACH = LENGTH - SEED  # places of a string's anchor after the first
 SIDE = REACH // 2  # bytes beside the seed that strings of one half have in common
+_WIDTH = LENGTH + REACH  # bytes of a run at most
+_HALF = LENGTH + SIDE  # bytes of the strings of a run that start near the anchor, or far from it
 #: Bytes that are hashed at once, of texts in a chunk, and for each bucket or shard.
 SEGMENT = 1 << 20
 CHUNK_BYTES = 8 << 20
 SHARE_BYTES = 16 << 20
 
 _ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
-_48 = np.uint64((1 << 48) - 1)
 _FIRST = -(1 << 63)  # the doc_id of rows without one
 
 
@@ -117,7 +125,7 @@ def runs(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     total = np.concatenate(([np.uint64(0)], np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up, dtype=np.uint64)))
     own = _mixed((total[after - 1 + LENGTH] - total[first]) * down[first])
     at = anchor[first]
-    return first, after - first, at - first, h[at] & _48, own & _48
+    return first, after - first, at - first, h[at], own
 
 
 def _text_runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
@@ -205,7 +213,7 @@ _RUNS_AS = (*_ASKED_AS, "<u8")  # and the run's hash
 def _chunked(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
     """(doc_ids, crc32s, texts) of about ``chunk_bytes``."""
     ids, texts, size = [], [], 0
-    for batch in batches:
+    for batch in slices(batches, 200):
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             ids.append(_FIRST if key is None else key)
             texts.append(text or b"")
@@ -217,17 +225,63 @@ def _chunked(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[tu
         yield np.array(ids, dtype="<i8"), np.array([zlib.crc32(t) for t in texts], dtype="<u4"), texts
 
 
-def _classes(ids: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of the classes of rows that agree in ``same``, and the least id of each row's class."""
-    mixed = np.zeros(len(ids), dtype=np.uint64)
-    for a in same:
-        mixed = _mixed((mixed ^ a.astype(np.uint64)) * _ODD[3])
-    _, number = np.unique(mixed, return_inverse=True)
-    least = np.full(int(number.max()) + 1 if len(number) else 0, np.iinfo(np.int64).max)
-    np.minimum.at(least, number, ids)
+def _classes(ids: np.ndarray, first: np.ndarray, *rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the classes of rows that agree in all of ``first`` and ``rest``, and the least id of each row's class."""
+    by = np.argsort(first, kind="stable")
+
+    def opens(columns: tuple[np.ndarray, ...]) -> np.ndarray:
+        new = np.ones(len(by), dtype=bool)
+        if len(by):
+            new[1:] = np.logical_or.reduce([c[by][1:] != c[by][:-1] for c in columns])
+        return new
+
+    new = opens((first, *rest))
+    if np.count_nonzero(new) != np.count_nonzero(opens((first,))):  # rows that agree in the first only
+        by = np.lexsort((*rest, first))
+        new = opens((first, *rest))
+    number = np.empty(len(by), dtype=np.int64)
+    number[by] = np.cumsum(new) - 1
+    least = np.minimum.reduceat(ids[by], np.flatnonzero(new)) if len(by) else ids
     return number, least[number]
 
 
+#: Runs that are sorted at once.
+_SORTED = 100_000
+
+
+def _again(texts: list[bytes], docs: np.ndarray, which: np.ndarray, first: np.ndarray, count: np.ndarray, back: np.ndarray, seed: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Which runs of a chunk go, as a smaller document of it has the same bytes.
+
+    Only runs whose hashes a smaller document has as well can; these and that
+    document's are ordered by suffix sorting, which decides by their bytes.
+    """
+    gone = np.zeros(len(which), dtype=bool)
+    number, least = _classes(docs, own, seed, count, back)
+    mixed = np.bincount(number, weights=docs > least) > 0 if len(number) else gone
+    some = np.flatnonzero(mixed[number])
+    if not len(some):
+        return gone
+    some = some[np.lexsort((docs[some], number[some]))]
+    heads = np.maximum.accumulate(np.where(np.diff(number[some], prepend=-1) != 0, np.arange(len(some)), 0))  # a class's smallest document comes first
+    lengths = np.array([len(t) for t in texts])
+    raw = np.frombuffer(b"".join(texts) + bytes(_WIDTH), dtype=np.uint8)
+    window = np.lib.stride_tricks.sliding_window_view(raw, _WIDTH)
+    starts = (np.cumsum(lengths) - lengths)[which] + first
+    for low in range(0, len(some), _SORTED):
+        part = some[low : low + _SORTED]
+        if heads[low] != low:
+            part = np.concatenate((some[heads[low] : heads[low] + 1], part))
+        grid = np.zeros((len(part), _WIDTH + 2), dtype=np.uint8)
+        grid[:, :_WIDTH] = window[starts[part]]
+        grid[:, :_WIDTH][np.arange(_WIDTH) >= (count[part] + LENGTH - 1)[:, None]] = 0
+        grid[:, _WIDTH], grid[:, _WIDTH + 1] = count[part], back[part]
+        by, group = order(grid.tobytes(), np.arange(len(part)) * (_WIDTH + 2), _WIDTH + 2, 24)
+        part = part[by]
+        smallest = np.minimum.reduceat(docs[part], np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))))
+        gone[part] = docs[part] > smallest[group]
+    return gone
+
+
 def _scan(shares: int, chunk_bytes: int):
     """Step 1: runs for the buckets of their seeds; what goes already, for the texts' shards."""
 
@@ -235,8 +289,7 @@ def _scan(shares: int, chunk_bytes: int):
         for ids, crcs, texts in _chunked(batches, chunk_bytes):
             which, first, count, back, seed, own = _text_runs(texts)
             docs = ids[which]
-            _, least = _classes(docs, seed, own, count, back)
-            gone = docs > least
+            gone = _again(texts, docs, which, first, count, back, seed, own)
             rows = []
             for share, part in _dealt(_shard(docs[gone], shares), docs[gone], crcs[which][gone], first[gone], count[gone]):
                 rows.append((share, _GONE, _packed(*(a.astype(k) for a, k in zip(part, _GONE_AS, strict=True)))))
@@ -285,41 +338,60 @@ class _Gathered:
             yield _batch([(share, kind, parts[0])])
 
 
+#: Runs of a bucket that are read before they are reduced.
+_RUNS_HELD = 1 << 20
+
+
 def _meet(shares: int):
     """Step 2: what goes as a whole, and which runs have to be asked for."""
 
-    def settle(parts: list[bytes]) -> list[tuple[int, int, bytes]]:
-        docs, crcs, first, count, back, seed, own = _joined(parts, _RUNS_AS)
-        number, least = _classes(docs, seed, own, count, back)
-        gone, rows = docs > least, []
-        for share, part in _dealt(_shard(docs[gone], shares), docs[gone], crcs[gone], first[gone], count[gone]):
-            rows.append((share, _GONE, _packed(*(a.astype(k) for a, k in zip(part, _GONE_AS, strict=True)))))
-        # Left are the smallest documents' runs: alone for their seed, or in question.
-        left = np.flatnonzero(~gone)
-        _, group = np.unique(seed[left], return_inverse=True)
-        low, high = np.full(int(group.max()) + 1 if len(group) else 0, np.iinfo(np.int64).max), None
-        high = np.full(len(low), np.iinfo(np.int64).min)
-        np.minimum.at(low, group, docs[left])
-        np.maximum.at(high, group, docs[left])
-        asked = left[(low != high)[group]]
-        for share, part in _dealt(_shard(docs[asked], shares), *(c[asked] for c in (docs, crcs, first, count, back, seed))):
-            rows.append((share, _ASKED, _packed(*(a.astype(k) for a, k in zip(part, _ASKED_AS, strict=True)))))
-        return rows
+    def gone_rows(columns: list[np.ndarray], gone: np.ndarray) -> list[tuple[int, int, bytes]]:
+        docs, crcs, first, count = (c[gone] for c in columns[:4])
+        return [(share, _GONE, _packed(*(a.astype(k) for a, k in zip(part, _GONE_AS, strict=True)))) for share, part in _dealt(_shard(docs, shares), docs, crcs, first, count)]
+
+    def reduced(columns: list[np.ndarray]) -> tuple[list[np.ndarray], list[tuple[int, int, bytes]]]:
+        """The smallest documents' runs, and what goes of the others."""
+        docs, _, _, count, back, seed, own = columns
+        _, least = _classes(docs, own, seed, count, back)
+        gone = docs > least
+        left = [c[~gone] for c in columns]
+        return left, gone_rows(columns, gone)
+
+    def asked_rows(columns: list[np.ndarray]) -> list[tuple[int, int, bytes]]:
+        """Left are the smallest documents' runs: alone for their seed, or in question."""
+        docs, seed = columns[0], columns[5]
+        number, low = _classes(docs, seed)
+        high = np.full(int(number.max()) + 1 if len(number) else 0, np.iinfo(np.int64).min)
+        np.maximum.at(high, number, docs)
+        asked = low != high[number]
+        parts = _dealt(_shard(docs[asked], shares), *(c[asked] for c in columns[:6]))
+        return [(share, _ASKED, _packed(*(a.astype(k) for a, k in zip(part, _ASKED_AS, strict=True)))) for share, part in parts]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, parts, held = None, [], _Gathered()
+        now, bucket, n, bound, held = None, [], 0, _RUNS_HELD, _Gathered()
+
+        def reduce() -> list[np.ndarray]:
+            left, rows = reduced([np.concatenate(c) for c in zip(*bucket, strict=True)])
+            held.add(rows)
+            return left
+
         for share, kind, data in _by_share(batches):
             if kind == _GONE:
                 held.add([(share, kind, data)])
             else:
-                if share != now and parts:
-                    held.add(settle(parts))
-                    parts = []
+                if share != now and bucket:
+                    held.add(asked_rows(reduce()))
+                    bucket, n, bound = [], 0, _RUNS_HELD
                 now = share
-                parts.append(data)
+                bucket.append(_unpacked(data, *_RUNS_AS)[0])
+                n += len(bucket[-1][0])
+                if n > bound:
+                    bucket = [reduce()]
+                    n = len(bucket[0][0])
+                    bound = max(_RUNS_HELD, 2 * n)
             yield from held.full()
-        if parts:
-            held.add(settle(parts))
+        if bucket:
+            held.add(asked_rows(reduce()))
         yield from held.all()
 
     return run
@@ -356,18 +428,43 @@ def _rows_of(parts: list[bytes], dtypes: tuple[str, ...]) -> tuple[dict[tuple[in
     return dict(zip(keys, zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True), strict=True)), columns
 
 
-_WIDTH = LENGTH + REACH  # bytes of a run at most
+def _halves(columns: list[np.ndarray], grid: np.ndarray) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
+    """Runs by their strings that start up to SIDE bytes before the anchor, and by those that start further before it.
+
+    (docs, crcs, string at the first column, first and last column at which a
+    string starts), their bytes, and the hash of the 35 bytes that all strings
+    of that half have in common.
+    """
+    docs, crcs, first, count, back, _ = columns
+    first, count, back = (c.astype(np.int64) for c in (first, count, back))
+    for low, high, common in ((0, SIDE, SIDE), (SIDE + 1, REACH, REACH - SIDE)):
+        t_high, t_low = np.minimum(back, high), np.maximum(back - count + 1, low)
+        some = np.flatnonzero(t_high >= t_low)
+        t_high, t_low = t_high[some], t_low[some]
+        raw = np.zeros((len(some), _HALF + 7), dtype=np.uint8)
+        wide = grid[some, REACH - high : REACH - high + _HALF]
+        raw[:, : wide.shape[1]] = wide
+        shared = np.zeros((len(some), 40), dtype=np.uint8)
+        shared[:, : SEED + SIDE] = raw[:, common : common + SEED + SIDE]
+        key = np.zeros(len(some), dtype=np.uint64)
+        for word in shared.view("<u8").T:
+            key = _mixed((key ^ word) * _ODD[3])
+        # The string at column 0 starts ``high`` bytes before the anchor.
+        yield [docs[some], crcs[some], first[some] + back[some] - high, high - t_high, high - t_low, key], raw[:, :_HALF], key
+
+
+_HALF_AS = (*_ID, "<i8", "<u1", "<u1", "<u8")  # string at the first column, first and last column of strings, key
 
 
 def _send(shares: int):
     """Step 3, at the texts: the bytes of the runs that are asked for, with their anchors in one column."""
 
     def out(held: list[tuple]) -> pa.RecordBatch:
-        docs, crcs, first, count, back, seed = (np.concatenate([h[i] for h in held]) for i in range(6))
-        raw = np.concatenate([h[6] for h in held])
+        columns = [np.concatenate([h[i] for h in held]) for i in range(6)]
         rows = []
-        for share, (d, c, f, n, b, s, r) in _dealt(_bucket(seed, shares), docs, crcs, first, count, back, seed, raw):
-            rows.append((share, _ASKED, _packed(*(a.astype(k) for a, k in zip((d, c, f, n, b, s), _ASKED_AS, strict=True)), text=r.tobytes())))
+        for part, raw, key in _halves(columns, np.concatenate([h[6] for h in held])):
+            for share, (*own, bytes_of) in _dealt(_bucket(key, shares), *part, raw):
+                rows.append((share, _ASKED, _packed(*(a.astype(k) for a, k in zip(own, _HALF_AS, strict=True)), text=bytes_of.tobytes())))
         return _batch(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -406,44 +503,29 @@ def _settle_strings(parts: list[bytes]) -> tuple[np.ndarray, ...]:
     """(doc_id, crc32, string) of strings that a smaller document has as well, for runs of one bucket."""
     grids, columns = [], []
     for p in parts:
-        arrays, text = _unpacked(p, *_ASKED_AS)
+        arrays, text = _unpacked(p, *_HALF_AS)
         columns.append(arrays)
-        grids.append(np.frombuffer(text, dtype=np.uint8).reshape(-1, _WIDTH))
-    docs, crcs, first, count, back, seed = (np.concatenate(c) for c in zip(*columns, strict=True))
+        grids.append(np.frombuffer(text, dtype=np.uint8).reshape(-1, _HALF))
+    docs, crcs, zero, low, high, key = (np.concatenate(c) for c in zip(*columns, strict=True))
     grid = np.concatenate(grids)
-    count, back = count.astype(np.int64), back.astype(np.int64)
-    # A string starts t bytes before the anchor; those with t up to SIDE have the SIDE bytes after
-    # the seed in common, the others those before it.  Runs that are alone with theirs are done.
-    starts, rows = [], []
-    for near in (True, False):
-        low, high = (0, SIDE) if near else (SIDE + 1, REACH)
-        beside = grid[:, REACH + SEED : REACH + SEED + SIDE] if near else grid[:, REACH - SIDE : REACH]
-        t_high = np.minimum(back, high)
-        t_low = np.maximum(back - count + 1, low)
-        some = np.flatnonzero(t_high >= t_low)
-        if not len(some):
-            continue
-        sides = np.zeros((len(some), 16), dtype=np.uint8)
-        sides[:, :SIDE] = beside[some]
-        two = sides.view("<u8")
-        number, least = _classes(docs[some], seed[some], two[:, 0], two[:, 1])
-        most = np.full(int(number.max()) + 1, np.iinfo(np.int64).min)
-        np.maximum.at(most, number, docs[some])
-        some = some[most[number] != least]
-        lengths = t_high[some] - t_low[some] + 1
-        row = np.repeat(some, lengths)
-        t = np.repeat(t_high[some], lengths) - (np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths))
-        rows.append(row)
-        starts.append(row * _WIDTH + REACH - t)
-    if not rows:
-        return docs[:0], crcs[:0], first[:0]
-    row, at = np.concatenate(rows), np.concatenate(starts)
-    by, group = order(grid.tobytes(), at, LENGTH)
-    row, at = row[by], at[by]
+    # Runs that are alone with the bytes that their strings have in common are done.
+    number, least = _classes(docs, key)
+    most = np.full(int(number.max()) + 1, np.iinfo(np.int64).min)
+    np.maximum.at(most, number, docs)
+    some = np.flatnonzero(most[number] != least)
+    if not len(some):
+        return docs[:0], crcs[:0], zero[:0]
+    docs, crcs, zero, grid = docs[some], crcs[some], zero[some], grid[some]
+    low, high = low[some].astype(np.int64), high[some].astype(np.int64)
+    lengths = high - low + 1
+    row = np.repeat(np.arange(len(some)), lengths)
+    column = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths - low, lengths)
+    by, group = order(grid.tobytes(), row * _HALF + column, LENGTH)
+    row, column = row[by], column[by]
     least = np.minimum.reduceat(docs[row], np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))))
     gone = docs[row] > least[group]
-    row, at = row[gone], at[gone]
-    return docs[row], crcs[row], first[row] + (at - row * _WIDTH - REACH + back[row])
+    row, column = row[gone], column[gone]
+    return docs[row], crcs[row], zero[row] + column
 
 
 def _sort(shares: int):
@@ -510,12 +592,11 @@ def _finish(with_text: bool):
 def remove_repeats(docs: DataFrame, *, with_text: bool = False, chunk_bytes: int = CHUNK_BYTES, share_bytes: int = SHARE_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document, and the bytes ``kept`` if asked for."""
     spark = docs.sparkSession
-    small_batches(spark, 200)
     shares = spread(spark, text_bytes(docs), share_bytes)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
 
     def at_shares(df: DataFrame) -> DataFrame:
-        return df.repartition("share").sortWithinPartitions("share", "kind")
+        return df.repartition(shares, "share").sortWithinPartitions("share", "kind")
 
     scanned = rows.mapInArrow(_scan(shares, chunk_bytes), _ROW)
     met = written(at_shares(scanned).mapInArrow(_meet(shares), _ROW), "runs")

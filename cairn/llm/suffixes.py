@@ -1,9 +1,11 @@
 """Deep-shallow suffix sorting.
 
-Suffixes are ordered by multikey quicksort down to a shallow depth: all at
-once, eight bytes at a time, each step only within groups that are equal so
-far.  Groups that still share their prefix are ordered by blind tries, which
-compare a suffix with one leaf instead of with every other suffix.
+Suffixes are dealt by their first two bytes, then ordered by multikey
+quicksort down to a shallow depth: each group is parted by a pivot into less,
+equal and greater, and the equal part goes on eight bytes deeper.  All groups
+take their step at once.  Groups that still share their prefix at the shallow
+depth are ordered by blind tries, which compare a suffix with one leaf instead
+of with every other suffix.
 """
 
 from __future__ import annotations
@@ -88,6 +90,62 @@ def common(a: bytes, b: bytes) -> int:
     return low
 
 
+def _median(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))
+
+
+def quicksort(eight: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """``starts`` in the order of their first ``depth`` bytes by multikey quicksort, and the number of each one's group of equals.
+
+    ``eight`` has at each place the next eight bytes as a number.
+    """
+    n = len(starts)
+    head = (eight[starts] >> np.uint64(48)).astype(np.uint16) if depth >= 2 else np.zeros(n, dtype=np.uint16)
+    by = np.argsort(head, kind="stable")  # radix sort
+    first = np.flatnonzero(np.concatenate(([True], head[by][1:] != head[by][:-1]))) if n else np.zeros(0, dtype=np.int64)
+    opens = np.zeros(n, dtype=bool)  # where a group begins
+    opens[first] = True
+    size = np.diff(np.concatenate((first, [n])))
+    low, size = first[size > 1], size[size > 1]  # the groups that are not done, with the depth that they agree to
+    deep = np.zeros(len(low), dtype=np.int64)
+    key = np.zeros(n, dtype=np.uint64)
+    fresh = np.ones(len(low), dtype=bool)  # groups whose keys are of another depth
+
+    def places(low: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        group = np.repeat(np.arange(len(low)), size)
+        return group, np.arange(len(group)) - np.repeat(np.cumsum(size) - size, size) + low[group]
+
+    while len(low):
+        if fresh.any():
+            group, at = places(low[fresh], size[fresh])
+            d = deep[fresh][group]
+            word = eight[starts[by[at]] + d].astype(np.uint64)
+            beyond = np.maximum(0, 8 - (depth - d)).astype(np.uint64) * np.uint64(8)  # bits behind the depth
+            key[at] = word >> beyond
+        group, at = places(low, size)
+        now = key[at]
+        pivot = _median(key[low], key[low + size // 2], key[low + size - 1])[group]
+        part = (now >= pivot).astype(np.int8) + (now > pivot)
+        edges = np.cumsum(size) - size
+        counts, rank = [], np.empty(len(at), dtype=np.int64)
+        for k in range(3):
+            here = part == k
+            upto = np.concatenate(([0], np.cumsum(here)))
+            counts.append(upto[edges + size] - upto[edges])
+            rank[here] = (upto[:-1] - upto[edges][group])[here]
+        less, equal, more = counts
+        to = low[group] + rank + np.where(part > 0, less[group], 0) + np.where(part > 1, equal[group], 0)
+        by[to], key[to] = by[at], now
+        opens[low + less] = True
+        opens[(low + less + equal)[more > 0]] = True
+        low = np.concatenate((low, low + less, low + less + equal))
+        deep, fresh = np.concatenate((deep, deep + 8, deep)), np.repeat([False, True, False], len(size))
+        size = np.concatenate((less, equal, more))
+        live = (size > 1) & (deep < depth)
+        low, size, deep, fresh = low[live], size[live], deep[live], fresh[live]
+    return by, np.cumsum(opens) - 1
+
+
 def order(data: bytes, starts: np.ndarray, depth: int, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
     """``starts`` in the order of the ``depth`` bytes at each, and which are equal.
 
@@ -98,21 +156,8 @@ def order(data: bytes, starts: np.ndarray, depth: int, shallow: int = SHALLOW) -
     n, size = len(starts), len(data)
     padded = np.frombuffer(data + bytes(depth + 16), dtype=np.uint8)
     eight = words(padded)
-    by = np.arange(n)
-    group = np.zeros(n, dtype=np.int64)  # of by[i]; rises with i
-    alone = np.zeros(n, dtype=bool)
-    for d in range(0, min(shallow, depth), 8):
-        if alone.all():
-            break
-        key = eight[starts[by] + d].astype(np.uint64)
-        if depth - d < 8:
-            key >>= np.uint64(8 * (8 - depth + d))
-        live = np.flatnonzero(~alone)
-        moved = np.lexsort((key[live], group[live]))
-        by[live], key[live] = by[live][moved], key[live][moved]
-        new = np.concatenate(([True], (group[1:] != group[:-1]) | (key[1:] != key[:-1]))) if n else np.zeros(0, dtype=bool)
-        group = np.cumsum(new) - 1
-        alone = np.bincount(group, minlength=n)[group] == 1
+    by, group = quicksort(eight, starts, min(shallow, depth))
+    alone = np.bincount(group, minlength=n)[group] == 1
     # Ends of the data pad with zeros: what runs into them is compared with its length.
     runs_out = starts + depth > size
     if depth <= shallow and not runs_out.any():

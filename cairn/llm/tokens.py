@@ -1,18 +1,28 @@
 """Token ids of whole texts, in ascending doc_id order, in wavelet matrix files.
 
 Texts are ranged by doc_id; each range is encoded in order and cut into
-shards, and a shard's ids are one wavelet matrix.  The files are rows of a Parquet table in the
-shared folder, written by Spark's own committer: a lost executor or a task
+shards, and a shard's ids are one wavelet matrix.  The files are rows of a
+Parquet table, written by Spark's own committer: a lost executor or a task
 that runs twice leaves no half of a file, and any store that Spark writes to
-will do.
+will do.  The table is in the folder that the caller names, where it stays,
+or without one in the shared folder until the driver ends.
 
-A text is encoded by pieces between ASCII white space.  The tokenizer drops white
-space before it splits, so a piece has the same ids alone as in its text, and
-each distinct piece is encoded once while it is in the table of pieces.
+Layout, one row a shard: ``shard`` (the range's number times 2**32 and the
+shard's in it), ``before`` (ids of the range before it), ``n_ids``, ``doc_ids``
+and ``lengths`` of its documents in order, and ``file``, the wavelet matrix of
+its ids.  ``read_shards`` decodes, ``count_ids`` and ``locate_ids`` answer by
+rank and select without decoding.
+
+A text is encoded by pieces between ASCII white space where the tokenizer is
+known to drop white space before it splits, so that a piece has the same ids
+alone as in its text; each distinct piece is encoded once while it is in the
+table of pieces.  Texts of other tokenizers are encoded whole.
 
 Defined results: null and empty texts are the end id alone; rows that repeat
-are written as often as they come; rows without a doc_id come first; an empty
-table has no shard.
+are written as often as they come; rows without a doc_id come first; rows of
+one doc_id come in the order of their texts' XXH64, so that one doc_id can be
+many tasks'; an empty table has no shard; other columns are not looked at.  A
+text's ids are held by one worker, and a text is never cut over two shards.
 """
 
 from __future__ import annotations
@@ -30,7 +40,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import small_batches, spread, table, text_bytes, written
+from cairn.llm.common import parts as slices
+from cairn.llm.common import spread, table, text_bytes, written
 from cairn.llm.wavelet import WaveletMatrix, build
 
 END = 1
@@ -63,8 +74,20 @@ def _normal(text: str) -> bool:
 _FAR = re.compile("[^\\x00-\u024f]")
 
 
+#: The steps of tokenizers that drop white space between pieces and are blind to case (fixed values of the tokenizer's file).
+_NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+
+
+def _apart(steps: dict) -> bool:
+    """Whether pieces between white space have the same ids alone as in their text, in any case of ASCII letters."""
+    first = (steps["pre_tokenizer"] or {}).get("pretokenizers", [None])[0]
+    special = all(x["content"].startswith("<") for x in steps["added_tokens"])  # "<" is never cut off or lower-cased here
+    return (steps["normalizer"] or {}).get("normalizers") == _NORMAL and first == _SPLIT and special and not steps["truncation"] and not steps["post_processor"]
+
+
 class Encoder:
-    """Texts to ids; ``path`` names a tokenizer that lower-cases and drops white space between its pieces.
+    """Texts to ids of the tokenizer in the file ``path``.
 
     The ids of pieces are kept in two tables: when the younger is full it
     becomes the older, so frequent pieces stay and memory is bounded.
@@ -76,9 +99,9 @@ class Encoder:
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), pieces
         steps = json.loads(self.tokenizer.to_str())
-        kinds = [x["type"] for x in (steps["normalizer"] or {}).get("normalizers", [])]
+        self.apart = _apart(steps)
         self.bare = None  # for pieces that the normaliser would leave as they are
-        if kinds == ["NFC", "Replace", "Lowercase"]:
+        if self.apart:
             steps["normalizer"] = None
             bare = Tokenizer.from_str(json.dumps(steps))
             mark = bare.encode(MARK, add_special_tokens=False).ids
@@ -128,6 +151,9 @@ class Encoder:
 
     def encode_batch(self, texts: list[bytes]) -> list[bytes]:
         """The ids of UTF-8 texts, as little-endian unsigned 32-bit numbers."""
+        if not self.apart:
+            found = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+            return [_pack(f"<{len(e.ids)}I", *e.ids) for e in found]
         if len(self.known) > self.limit:
             self.known, self.older = {}, self.known
         # Of texts without combining mark and special token, ASCII letters can be lower before the tokenizer sees them.
@@ -183,7 +209,7 @@ def _shards(path: str, end: int, shard_ids: int):
             row = (number, before, held, keys, lengths, build(np.frombuffer(b"".join(parts), dtype="<u4")))
             return pa.RecordBatch.from_arrays([pa.array([x], kind) for x, (_, kind) in zip(row, _FIELDS, strict=True)], names=[n for n, _ in _FIELDS])
 
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or b"" for t in batch.column(1).to_pylist()]
             for key, ids in zip(batch.column(0).to_pylist(), encode(texts), strict=True):
                 n = len(ids) // 4 + 1
@@ -201,49 +227,121 @@ def _shards(path: str, end: int, shard_ids: int):
     return run
 
 
-def write_shards(docs: DataFrame, path: str, *, end: int = END, shard_ids: int = SHARD_IDS) -> DataFrame:
-    """The table of shards: number, ids before it in its range, ids, documents, lengths, file.
+def write_shards(docs: DataFrame, path: str, *, output: str | None = None, end: int = END, shard_ids: int = SHARD_IDS) -> DataFrame:
+    """The table of shards, written to the new folder ``output``, or without one until the driver ends.
 
-    Shards in the order of their numbers hold the documents in ascending order.
+    ``path`` names the tokenizer's file.  Shards in the order of their numbers
+    hold the documents in ascending order.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     ranges = spread(spark, text_bytes(docs), RANGE_BYTES)
-    first = F.col("doc_id").asc_nulls_first()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    ordered = texts.repartitionByRange(ranges, first).sortWithinPartitions(first, "text")
-    return written(ordered.mapInArrow(_shards(path, end, shard_ids), _SHARD), "tokens")
+    text = F.col("text").cast("string")
+    order = F.col("doc_id").asc_nulls_first(), F.col("turn")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.cast("binary").alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("turn"))
+    ordered = texts.repartitionByRange(ranges, *order).sortWithinPartitions(*order, "text").select("doc_id", "text")
+    shards = ordered.mapInArrow(_shards(path, end, shard_ids), _SHARD)
+    if output is None:
+        return written(shards, "tokens")
+    shards.write.option("compression", "zstd").parquet(output)
+    return spark.read.schema(_SHARD).parquet(output)
 
 
-def read_shards(shards: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 and shard of every document, decoded from the files.
+_PLACED = ("shard", "first", "doc_ids", "lengths", "file")
+
+
+def _placed(shards: DataFrame) -> DataFrame:
+    """Shards with the number of ids before them.
 
     The driver sums the ids of the ranges: one number for ``RANGE_BYTES`` of
     text, so what is broadcast is a ten-millionth of the input.
     """
     spark = shards.sparkSession
-    small_batches(spark, 32)
     range_of = F.floor(F.col("shard") / _RANGE).cast("long")
     starts, before = [], 0
     for number, n in sorted(tuple(r) for r in shards.groupBy(range_of.alias("range")).agg(F.sum("n_ids")).collect()):
         starts.append((number, before))
         before += n
     offsets = F.broadcast(spark.createDataFrame(starts, "range long, first long"))
-    placed = shards.withColumn("range", range_of).join(offsets, "range")
-    return placed.select("shard", F.col("first") + F.col("before"), "doc_ids", "lengths", "file").mapInArrow(
-        _decode, "doc_id long, start long, n_tokens long, ids_crc32 long, shard long"
-    )
+    placed = shards.withColumn("range", range_of).join(offsets, "range").withColumn("first", F.col("first") + F.col("before"))
+    return placed.select(*_PLACED)
+
+
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in slices(batches, 4):
+        yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+
+def read_shards(shards: DataFrame) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 and shard of every document, decoded from the files."""
+    return _placed(shards).mapInArrow(_decode, "doc_id long, start long, n_tokens long, ids_crc32 long, shard long")
 
 
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for shard, before, keys, lengths, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            ids = WaveletMatrix(data).decode().astype("<u4")
-            ends = np.cumsum(lengths)
-            starts = ends - lengths
-            crcs = [zlib.crc32(ids[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-            columns = [pa.array(x, pa.int64()) for x in (keys, starts + before, lengths, crcs, [shard] * len(keys))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32", "shard"])
+    for shard, before, keys, lengths, data in _each(batches):
+        ids = WaveletMatrix(data).decode().astype("<u4")
+        ends = np.cumsum(lengths)
+        starts = ends - lengths
+        crcs = [zlib.crc32(ids[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        columns = [pa.array(x, pa.int64()) for x in (keys, starts + before, lengths, crcs, [shard] * len(keys))]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32", "shard"])
+
+
+def count_ids(shards: DataFrame, ids: list[int]) -> DataFrame:
+    """(id, n): how often each of a few ids occurs, by rank in every file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(ids), dtype=np.int64)
+        for batch in slices(batches, 4):
+            for data in batch.column(0).to_pylist():
+                matrix = WaveletMatrix(data)
+                total += [matrix.count(x) for x in ids]
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total)], names=["id", "n"])
+
+    return shards.select("file").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+
+
+def locate_ids(shards: DataFrame, ids: list[int]) -> DataFrame:
+    """(id, position, doc_id, place) of all occurrences of a few ids: among all ids, and in the document; by select."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, before, keys, lengths, data in _each(batches):
+            matrix, ends = WaveletMatrix(data), np.cumsum(lengths)
+            for x in ids:
+                at = matrix.positions(x)
+                doc = np.searchsorted(ends, at, side="right")
+                place = at - (ends - lengths)[doc]
+                columns = [pa.array(c, pa.int64()) for c in (np.full(len(at), x), at + before, [keys[i] for i in doc.tolist()], place)]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "position", "doc_id", "place"])
+
+    return _placed(shards).mapInArrow(run, "id long, position long, doc_id long, place long")
+
+
+def ids_at(shards: DataFrame, positions: DataFrame) -> DataFrame:
+    """``positions`` (position) with ``id``, the id there, by access: positions are sent to the files that have them."""
+    spark = shards.sparkSession
+    ranges = shards.select("shard", "before", "n_ids")
+    placed = _placed(shards).select("shard", "first", "file")
+    spans = placed.select("shard", "first").join(ranges.select("shard", "n_ids"), "shard")
+    bounds = sorted((r["first"], r["n_ids"], r["shard"]) for r in spans.collect())  # three numbers for half a million ids
+    if not bounds:
+        return spark.createDataFrame([], "position long, id long")
+    firsts, shard_of = np.array([b[0] for b in bounds]), np.array([b[2] for b in bounds])
+    total = bounds[-1][0] + bounds[-1][1]
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(0).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(shard_of[np.searchsorted(firsts, at, side="right") - 1]), pa.array(at)], names=["shard", "position"])
+
+    def access(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 4):
+            for first, data, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                matrix = WaveletMatrix(data)
+                yield pa.RecordBatch.from_arrays([pa.array(wanted, pa.int64()), pa.array([matrix.access(p - first) for p in wanted], pa.int64())], names=["position", "id"])
+
+    inside = positions.select(F.col("position").cast("long")).where((F.col("position") >= 0) & (F.col("position") < total))
+    asked = inside.mapInArrow(send, "shard long, position long").groupBy("shard").agg(F.collect_set("position").alias("wanted"))
+    return placed.join(asked, "shard").select("first", "file", "wanted").mapInArrow(access, "position long, id long")
 
 
 def op7_wavelet_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,10 +7,17 @@ terms, the product of their factor vectors, so terms that are harmless alone
 can count together.  It is trained by AdaGrad on a bounded sample of labelled
 rows; every row is scored, on its whole text.
 
+Terms of the model are all that tell the labels apart by more than chance;
+their number follows the sample.  Words that have no relation to the labels
+there have no weight.
+
 Defined results: null and empty texts have no term and score by the bias;
 without labelled rows, or with labels of one kind only, the model is the
 share of toxic labels (0 without any); repeated labels of a document count
-as the largest.
+as the largest; of rows that repeat a labelled doc_id the one with the least
+MD5 of its text is learned from; a row without a doc_id is scored and not held
+out; an empty table has no row; ``scored`` replaces a column named ``score``.
+A text is cut into words as a whole, which one worker holds.
 """
 
 from __future__ import annotations
@@ -23,14 +30,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairn.llm.common import ALNUM, annotate, bucket_of, table
+from cairn.llm.common import ALNUM, annotate, fold, table
 
 BUCKETS = 1 << 20
 PREFIX = 5
 #: Labelled rows that the model is fitted on, about; more are sampled by a hash of doc_id.
 SAMPLE = 16_000
-#: Terms that the model knows: those that tell the labels apart best in the sample.
-TERMS = 4096
 FACTORS = 4
 THRESHOLD = 0.3
 
@@ -75,8 +80,8 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(self.bias + self.weights[features].sum() + pairs, -30, 30))))
 
 
-def _informative(rows: list[np.ndarray], labels: np.ndarray, most: int) -> np.ndarray:
-    """The buckets whose presence tells the labels apart best, by the likelihood ratio.
+def _informative(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """The buckets whose presence tells the labels apart, by the likelihood ratio.
 
     Of those without any relation to the labels a tenth of one is expected to pass.
     """
@@ -88,18 +93,17 @@ def _informative(rows: list[np.ndarray], labels: np.ndarray, most: int) -> np.nd
         without, rest = n - held, labels.sum() - toxic
         outside = term(rest, without * share) + term(without - rest, without * (1 - share))
     ratio = np.nan_to_num(2 * (inside + outside), nan=0.0, posinf=0.0)
-    best = np.argsort(-ratio, kind="stable")[:most]
-    return np.sort(best[ratio[best] > 2 * np.log(10 * max(1, np.count_nonzero(held)))])
+    return np.flatnonzero(ratio > 2 * np.log(10 * max(1, np.count_nonzero(held))))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, *, terms: int = TERMS, factors: int = FACTORS, rounds: int = 20, rate: float = 0.2, decay: float = 1e-5, toxic_weight: float = 3.0, seed: int = 0) -> Machine:
+def fit(rows: list[np.ndarray], labels: np.ndarray, *, factors: int = FACTORS, rounds: int = 20, rate: float = 0.2, decay: float = 1e-5, toxic_weight: float = 3.0, seed: int = 0) -> Machine:
     """A machine for rows of hashed terms and their labels 0 and 1; a toxic row counts ``toxic_weight`` times."""
     n, toxic = len(labels), int(labels.sum())
     share = min(max(toxic / n if n else 0.0, 1e-6), 1 - 1e-6)
     bias = float(np.log(share / (1 - share)))
     if not n or toxic in (0, n):
         return Machine(np.zeros(0, dtype=np.int32), bias, np.zeros(0), np.zeros((0, factors)))
-    buckets = _informative(rows, labels, terms)
+    buckets = _informative(rows, labels)
     rng = np.random.default_rng(seed)
     model = Machine(buckets, bias, np.zeros(len(buckets)), rng.normal(0, 0.01, (len(buckets), factors)))
     known = [model.features(r) for r in rows]
@@ -135,7 +139,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, *, terms: int = TERMS, facto
 
 def held_out(key: str = "doc_id") -> Column:
     """The fold that labels are never learned from."""
-    return bucket_of(F.col(key).cast("long")) % 4 == 2
+    return fold(F.col(key), 4, 2)
 
 
 def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, **options) -> Machine:
@@ -148,7 +152,9 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, **options
     n = known.count()
     if n > sample:
         known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < int(1_000_000 * sample / n))
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).join(F.broadcast(known), "doc_id")
+    picked = rows.groupBy("doc_id", "label").agg(F.min_by("text", F.md5(F.col("text").cast("binary"))).alias("text"))
 
     def start():
         terms = Terms()

@@ -5,6 +5,12 @@ import random
 import pytest
 from pyspark.sql import types as T
 
+#: Names that operators use for columns of their own, here or in their results.
+CLASHING = (
+    "fp score items n_hit n_words hit_spans ids stats size taken turn shard share words target finish times queue slice row root first component_id digest kind data "
+    "__text __doc_id __digest __id __source __times __turn __had_items __had_spans __clean __score __one __copy __cairn_text code place group chunk bucket shingle label held_out"
+).split()
+
 SCHEMA = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
@@ -12,8 +18,7 @@ SCHEMA = T.StructType(
         T.StructField("lang", T.StringType()),
         T.StructField("source", T.StringType()),
         T.StructField("n_chars", T.LongType()),
-        # names that operators use for their own columns
-        *[T.StructField(n, T.StringType()) for n in ("fp", "score", "items", "n_hit", "ids", "stats", "size", "taken", "turn", "shard", "share", "__text", "words", "target", "finish")],
+        *[T.StructField(n, T.StringType()) for n in CLASHING],
     ]
 )
 
@@ -44,6 +49,21 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+def turn(text: str | None) -> int:
+    """The place of rows of one doc_id: the signed XXH64 of the text."""
+    import xxhash
+
+    h = xxhash.xxh64_intdigest((text or "").encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+@pytest.fixture(scope="session")
+def ordered_rows():
+    """(has a doc_id, doc_id or 0, text) in the order in which documents follow one another."""
+    rows_in = [(r[0] is not None, r[0] or 0, r[1] or "") for r in rows()]
+    return sorted(rows_in, key=lambda x: (x[0], x[1], turn(x[2])))
+
+
 @pytest.fixture(scope="session")
 def plain_rows():
     """(doc_id, text) of all documents."""

@@ -2,45 +2,55 @@
 
 import math
 import random
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from cairn.llm import components, decontaminate, digest, language, lattice, mixing, quality, scoring, simhash, substrings, suffixes, tokens, toxicity, wavelet
 
 
 def test_extra_columns_stay(docs, spark, sf_dir):
+    """Columns that are named like an operator's own are what they were."""
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    for out in (decontaminate.decontaminate(docs, bench), simhash.deduplicate(docs), mixing.mixed(docs)):
-        assert out.columns == docs.columns
-        assert {r[0] for r in out.select("words").collect()} <= {"clash"}
-
-
-def test_pipeline_stages(spark, docs, sf_dir):
-    import corpus_pipeline
-
-    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        kept = stage(spark, table, sf_dir)
-        assert kept.columns == table.columns, name
-        table = spark.createDataFrame(kept.collect(), table.schema)
-    rows = corpus_pipeline.STAGES[-1][1](spark, table, sf_dir).collect()
-    assert Counter(r["doc_id"] for r in rows) == Counter(r[0] for r in table.select("doc_id").collect())
-
-
-def test_pipeline_on_nothing(spark, empty, sf_dir):
-    import corpus_pipeline
-
-    table = empty.select("doc_id", "text", "lang", "source", "n_chars")
-    for name, stage in corpus_pipeline.STAGES:
-        assert stage(spark, table, sf_dir).count() == 0, name
-
-
-def test_one_document_of_each_class_stays(spark, docs):
-    kept = [r["doc_id"] for r in simhash.deduplicate(docs).collect()]
-    classes = {(r["doc_id"], r["component_id"]) for r in simhash.classes(docs).collect()}
-    assert Counter(k for k in kept if k is not None) == Counter({c for _, c in classes if c is not None})
+    for out in (decontaminate.decontaminate(docs, bench), decontaminate.decontaminate(docs, bench, longest=20), decontaminate.decontaminate(docs, bench, block_words=30), simhash.deduplicate(docs), mixing.mixed(docs)):
+        assert out.schema == docs.schema
+        rows = out.collect()
+        assert rows and {x for r in rows for x in r[5:]} == {"clash"}
+
+
+def test_extra_columns_are_no_hindrance(docs, spark, sf_dir):
+    """Operators that give a table of their own take the same rows with and without them."""
+    bench, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("benchmark", "labels"))
+    plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    bag = lambda df: Counter(str(tuple(r)) for r in df.collect())
+    model = toxicity.trained_on(spark, plain, labels)
+    for f in (
+        lambda d: decontaminate.find(d, bench, keep=["doc_id"]).selectExpr("doc_id", "n_words", "n_hit", "items", "hit_spans"),
+        lambda d: substrings.remove_repeats(d),
+        lambda d: toxicity.scored(d, model).select("doc_id", "score"),
+        lambda d: simhash.classes(d),
+        lambda d: quality.described(d).select("doc_id", "stats"),
+        lambda d: digest.compared(d),
+        lambda d: tokens.read_shards(tokens.write_shards(d, tokens.vocabulary())).drop("shard"),
+        lambda d: scoring.score(d, scoring.vocabulary(), scoring.held_out()).selectExpr("doc_id", "n_tokens", "round(score, 6)"),
+        lambda d: mixing.mix(d),
+    ):
+        rows = bag(f(docs))
+        assert rows and rows == bag(f(plain))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").withColumns({n: F.lit("clash") for n in ("lang", "host", "declared", "counts", "above", "belief", "__url", "__html", "__text", "says")})
+    assert language.identify(pages, language.train(docs)).count() == 6
+
+
+def test_one_row_of_each_class_stays(spark):
+    """Repeated doc_ids with different texts, rows without a doc_id, rows that repeat."""
+    a, b, c = "one two three four five six", "seven eight nine ten eleven twelve", "an other text that nobody else has"
+    rows = [(2, a, "z"), (5, a, "y"), (5, b, "x"), (5, b, "w"), (None, a, "v"), (None, c, "u"), (None, c, "t"), (7, None, "s"), (8, "", "r"), (7, "", "q"), (1, c + " again and again in other words", "p")]
+    for turn in range(3):
+        kept = simhash.deduplicate(spark.createDataFrame(rows[turn:] + rows[:turn], "doc_id long, text string, extra string").repartition(2)).collect()
+        assert Counter(tuple(r) for r in kept) == Counter([(2, a, "z"), (5, b, "w"), (None, c, "t"), (7, "", "q"), (1, c + " again and again in other words", "p")])
 
 
 def test_several_automata(spark, docs, sf_dir):
@@ -92,6 +102,19 @@ def test_runs_of_long_texts(spark):
     assert rows[1]["n_removed"] == 0 and rows[2]["n_removed"] == 600 and bytes(rows[2]["kept"]) == b"xy"
 
 
+def connected(pairs):
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for x, y in pairs:
+        root[find(x)] = find(y)
+    return find
+
+
 def test_grid_finds_every_link():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 1 << 63, 150, dtype=np.uint64)
@@ -102,16 +125,23 @@ def test_grid_finds_every_link():
     a, b = simhash.links_in(cells[order], who[order])
     expected = {(int(x), int(y)) for i, x in enumerate(prints) for y in prints[i + 1 :] if (int(x) ^ int(y)).bit_count() <= 4}
     assert {(int(x), int(y)) for x, y in zip(a, b, strict=True)} <= expected
-    root = {int(p): int(p) for p in prints}
+    find = connected(zip(a.tolist(), b.tolist(), strict=True))
+    assert all(find(x) == find(y) for x, y in expected)
 
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
 
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        root[find(x)] = find(y)
-    assert all(find(x) == find(y) for x, y in expected)
+def test_full_cells_lose_no_link():
+    """One cell of many fingerprints, dealt by fifths, has the same components as pair by pair."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 12, 300, dtype=np.uint64) * np.uint64(0x10001000100041)
+    near = [b ^ np.uint64(sum(1 << int(i) for i in rng.choice(64, 4, replace=False))) for b in base for _ in range(3)]
+    prints = np.unique(np.concatenate((base, np.array(near, dtype=np.uint64))))
+    cells = np.zeros(len(prints), dtype=np.int64)
+    every = [(int(x), int(y)) for i, x in enumerate(prints) for y in prints[i + 1 :] if (int(x) ^ int(y)).bit_count() <= 4]
+    for deal in (100, 10_000):
+        a, b = simhash.links_in(cells, prints, deal=deal)
+        assert {(int(x), int(y)) for x, y in zip(a, b, strict=True)} <= set(every)
+        find = connected(zip(a.tolist(), b.tolist(), strict=True))
+        assert all(find(x) == find(y) for x, y in every)
 
 
 def test_components(spark):
@@ -122,14 +152,16 @@ def test_components(spark):
 
 def test_wavelet_matrix():
     rng = np.random.default_rng(0)
-    for n, top in ((0, 1), (1, 1), (1000, 7), (3000, 50_000), (500, 1)):
+    for n, top in ((0, 1), (1, 1), (1000, 7), (3000, 50_000), (500, 1), (wavelet.BLOCK, 3), (2 * wavelet.BLOCK + 77, 70_000)):
         numbers = rng.integers(0, top, n).astype(np.uint32)
         m = wavelet.WaveletMatrix(wavelet.build(numbers))
         assert (m.decode() == numbers).all()
-        for i in range(0, n, 37):
+        assert m.count(top + 1) == 0 and not len(m.positions(top + 1))
+        for i in range(0, n, max(37, n // 50)):
             value = int(numbers[i])
             places = np.flatnonzero(numbers == value)
             assert m.access(i) == value and m.count(value) == len(places) and m.rank(value, i) == int((numbers[:i] == value).sum())
+            assert m.positions(value).tolist() == places.tolist()
             assert [m.select(value, k) for k in (0, len(places) - 1, len(places))] == [int(places[0]), int(places[-1]), -1]
         assert m.count(60_000) == 0
 
@@ -141,6 +173,124 @@ def test_shards_are_cut_and_counted(spark, docs):
     assert {(r["doc_id"], r["start"], r["ids_crc32"]) for r in tokens.read_shards(shards).collect()} == whole
 
 
+def test_token_files_stay_and_are_searched(spark, docs, tmp_path, ordered_rows):
+    """Files in a named folder, opened by a session that did not write them; counts, places and ids without decoding."""
+    from cairn import storage
+
+    at = f"{tmp_path}/tokens"
+    tokens.write_shards(docs, tokens.vocabulary(), output=at, shard_ids=300)
+    storage.forget()  # what the driver's end does
+    shards = spark.newSession().read.parquet(at)
+    assert shards.count() > 5
+    encode, ids, owner = tokens.Encoder(tokens.vocabulary()).encode, [], []
+    for some, key, text in ordered_rows:
+        own = [*encode(text.encode()).tolist(), 1]
+        owner += [(key if some else None, i) for i in range(len(own))]
+        ids += own
+    common = [x for x, _ in Counter(ids).most_common(3)] + [48_000, 1]
+    assert {r["id"]: r["n"] for r in tokens.count_ids(shards, common).collect()} == {x: ids.count(x) for x in common}
+    found = Counter((r["id"], r["position"], r["doc_id"], r["place"]) for r in tokens.locate_ids(shards, common).collect())
+    assert found == Counter((x, i, *owner[i]) for i, x in enumerate(ids) if x in common for _ in range(common.count(x)))
+    asked = list(range(-3, len(ids) + 3, 17))
+    assert {r["position"]: r["id"] for r in tokens.ids_at(shards, spark.createDataFrame([(i,) for i in asked], "position long")).collect()} == {i: ids[i] for i in asked if 0 <= i < len(ids)}
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_texts_have_the_tokenizers_ids(name, plain_rows):
+    """Of a tokenizer that keeps white space and case as well."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    whole, own = Tokenizer.from_file(path), tokens.Encoder(path)
+    texts = [t or "" for _, t in plain_rows] + ["Hello World, two  words", " İstanbul ǅ\u0301 CAFÉ's <|endoftext|>x"]
+    for t, ids in zip(texts, own.encode_batch([t.encode() for t in texts]), strict=True):
+        assert np.frombuffer(ids, dtype="<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, t
+
+
+def test_long_texts(spark, sf_dir):
+    """Texts of megabytes beside short ones go through every operator as whole texts."""
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(5000)]
+    long = " ".join(rng.choice(words) for _ in range(400_000))
+    item = " ".join(words[:15])
+    rows = [(1, long, "en", "a"), (2, long + " " + item, "en", "a"), (3, item, "en", "b"), (4, "x" * 3_000_000, "en", "b"), (5, "short", "en", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    found = {r["doc_id"]: r for r in decontaminate.find(docs, bench, keep=["doc_id"]).collect()}
+    assert [found[k]["n_words"] for k in (1, 2, 3, 4, 5)] == [400_000, 400_015, 15, 1, 1] and [found[k]["n_hit"] for k in (1, 2, 3)] == [0, 15, 15]
+    gone = {r["doc_id"]: r["n_removed"] for r in substrings.remove_repeats(docs).collect()}
+    assert gone[1] == 0 and gone[2] == len(long) and gone[4] == 0
+    classes = {r["doc_id"]: r["component_id"] for r in simhash.classes(docs).collect()}
+    assert classes[2] == 1 and classes[4] == 4
+    for out in (toxicity.scored(docs, toxicity.fit([], np.zeros(0))), quality.described(docs), digest.compared(docs), mixing.mix(docs), scoring.score(docs, scoring.vocabulary(), scoring.held_out())):
+        assert out.count() == 5
+    read = {r["doc_id"]: r["n_tokens"] for r in tokens.read_shards(tokens.write_shards(docs, tokens.vocabulary())).collect()}
+    assert read[2] - read[1] == len(tokens.Encoder(tokens.vocabulary()).encode(item.encode()))
+    pages = docs.selectExpr("doc_id as page_id", "'' as url", "concat('<p>', text) as html")
+    assert language.identify(pages, language.train(docs)).count() == 5
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    """What the operators rely on for long texts: Arrow batches have a bound in bytes, of Spark's own."""
+    bound = int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b"))
+    rows = spark.range(0, 200, 1, 1).select(F.repeat(F.lit("x"), 1_000_000).alias("t"))
+    sizes = rows.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()
+    assert len(sizes) > 1 and max(r["n"] for r in sizes) <= bound + 1_100_000
+
+
+def test_session_is_left_as_it_was(spark, docs, sf_dir):
+    from cairn.llm import catalog
+
+    before = dict(spark.conf.getAll)
+    for name in ("op1_benchmark_decontamination", "op5_quality_classifier", "op7_wavelet_token_shards"):
+        catalog.QUERIES[name](spark, sf_dir)
+    assert dict(spark.conf.getAll) == before
+
+
+def test_machine_scores_by_all_pairs():
+    """The score from the definition: bias, weights, and each pair's product."""
+    rng = np.random.default_rng(3)
+    model = toxicity.Machine(np.arange(10, 40, dtype=np.int32), -0.3, rng.normal(0, 0.5, 30), rng.normal(0, 0.5, (30, 4)))
+    for _ in range(20):
+        terms = np.unique(rng.integers(0, 50, 12)).astype(np.int32)
+        at = [int(t) - 10 for t in terms if 10 <= t < 40]
+        raw = -0.3 + sum(model.weights[i] for i in at) + sum(float(model.factors[i] @ model.factors[j]) for i in at for j in at if i < j)
+        assert math.isclose(model.score(model.features(terms)), 1 / (1 + math.exp(-raw)), rel_tol=1e-9)
+
+
+def test_all_telling_terms_are_learned():
+    """However many there are: no list has an end."""
+    rows, labels = [], []
+    for i in range(12_000):
+        y = i % 2
+        rows.append(np.unique(np.array([100 + 6000 * y + (i // 2 + k) % 6000 for k in range(40)], dtype=np.int32)))
+        labels.append(float(y))
+    assert len(toxicity._informative(rows, np.array(labels))) == 12_000
+
+
+def test_ridge_is_the_least_squares_solution(spark):
+    """Coefficients and scores from sums by partition against one matrix of all rows."""
+    rng = np.random.default_rng(6)
+    stats = rng.normal(0, 1, (300, len(quality.STATISTICS)))
+    y = (stats[:, 0] + 0.3 * rng.normal(0, 1, 300) > 0).astype(float)
+    rows = spark.createDataFrame([(x.tolist(), int(v)) for x, v in zip(stats, y, strict=True)], "stats array<double>, label int").repartition(5)
+    model = quality.train(rows, cosines=32)
+    again = quality.Ridge(stats.mean(axis=0), stats.std(axis=0), 32)
+    z = np.concatenate((np.cos((np.clip((stats - stats.mean(axis=0)) / stats.std(axis=0), -6, 6)) @ again.turn + again.phase) * (2 / 32) ** 0.5, np.ones((300, 1))), axis=1)
+    penalty = quality.RIDGE * 300 / 33
+    beta = np.linalg.solve(z.T @ z + penalty * np.diag([1.0] * 32 + [0.0]), z.T @ y)
+    assert np.allclose(model.beta, beta, atol=1e-6)
+    raw, bins = z @ beta, defaultdict(list)
+    for r, v in zip(raw, y, strict=True):
+        bins[min(999, max(0, int((r + 0.5) / 2 * 1000)))].append((r, v))
+    keys = sorted(bins)
+    share = quality.isotonic(np.array([np.mean([v for _, v in bins[k]]) for k in keys]), np.array([float(len(bins[k])) for k in keys]))
+    share = np.clip(share * 0.998 + 0.002 * np.linspace(0, 1, len(keys)), 0, 1)
+    expected = np.clip(np.interp(raw, [np.mean([r for r, _ in bins[k]]) for k in keys], share), 0, 1)
+    assert np.allclose(model.score(stats), expected, atol=1e-6)
+
+
 def test_factorization_machine_learns_pairs():
     rng = np.random.default_rng(1)
     rows, labels = [], []
