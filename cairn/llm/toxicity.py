@@ -12,8 +12,8 @@ their number follows the sample.  Words that have no relation to the labels
 there have no weight.
 
 Defined results: null and empty texts have no term and score by the bias;
-without labelled rows, or with labels of one kind only, the model is the
-share of toxic labels (0 without any); repeated labels of a document count
+without labelled rows, with labels of one kind only, or where no term tells
+them apart, the score is the share of toxic labels (0 without any); repeated labels of a document count
 as the largest; of rows that repeat a labelled doc_id the one with the least
 MD5 of its text is learned from; a row without a doc_id is scored and not held
 out; an empty table has no row; ``scored`` replaces a column named ``score``.
@@ -104,6 +104,8 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, *, factors: int = FACTORS, r
     if not n or toxic in (0, n):
         return Machine(np.zeros(0, dtype=np.int32), bias, np.zeros(0), np.zeros((0, factors)))
     buckets = _informative(rows, labels)
+    if not len(buckets):
+        return Machine(buckets.astype(np.int32), bias, np.zeros(0), np.zeros((0, factors)))
     rng = np.random.default_rng(seed)
     model = Machine(buckets, bias, np.zeros(len(buckets)), rng.normal(0, 0.01, (len(buckets), factors)))
     known = [model.features(r) for r in rows]

@@ -30,7 +30,7 @@ def sentence(rng: random.Random, n: int) -> str:
 def rows() -> list[tuple]:
     rng = random.Random(7)
     passage = sentence(rng, 40)
-    texts = [sentence(rng, rng.randint(1, 120)) for _ in range(40)]
+    texts = [sentence(rng, rng.randint(1, 120)) + (" vileword" if i % 5 == 0 else "") for i in range(40)]  # as the labels have it
     texts += [None, "", " \t\n ", "word", "two words", "x" * 30, "\x01\x7f  ", "é", "İ ǅ <|endoftext|> a'S", "same text here"]
     texts += ["same text here", texts[0], texts[0], texts[1] + " more", "Start " + texts[2], passage, "before " + passage + " after", passage.upper(), sentence(rng, 3000)]
     texts += [texts[3].replace("a", "o", 1), "ab" * 300, "a" * 200, sentence(rng, 12) + "\n" + passage]
