@@ -25,8 +25,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents whose toxicity score is below the operator's threshold.
 
     Rows that repeat are judged one by one, equal texts alike; an empty text
-    has the score of the bias, which is below the threshold while fewer than
-    three labels in ten are toxic.
+    has the score of the model's bias.
     """
     model = toxicity.trained_on(spark, docs, table(spark, sf_dir, "labels"))
     own, restored = aside(docs, "score")
