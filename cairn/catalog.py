@@ -134,7 +134,7 @@ def html_anchor_counts(spark, sf_dir):
 
 @query
 def html_visible_text(spark, sf_dir):
-    return _read_pages(spark, sf_dir).select("page_id", "m.title", "m.visible", "m.headings")
+    return _read_pages(spark, sf_dir).select("page_id", "m.title", "m.visible", F.array_join("m.headings", "|").alias("headings"))
 
 
 def _judged(spark, sf_dir) -> DataFrame:

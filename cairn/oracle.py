@@ -1,8 +1,8 @@
 """The catalog's queries in DuckDB's SQL.
 
 Written from the operators' definitions, not from their code; patterns are
-RE2's.  Queries that are missing here have no form in SQL: they parse markup,
-cut texts where the cut before ended, compare names nearly, or merge in order.
+RE2's.  Queries that are missing here have no form in SQL: they read structure out of
+markup, compare names nearly, or merge in order.
 """
 
 from __future__ import annotations
@@ -209,6 +209,27 @@ SELECT query_id, page_pos, needs_js, needs_js AND row_number() OVER (PARTITION B
 FROM (SELECT page_id % 9 AS query_id, page_id AS page_pos, page_id % 4 = 0 AS needs_js FROM pages)
 """
 
+
+
+def _visible(html: str) -> str:
+    """The text of a page: without hidden elements, its title, comments and tags; entities that the pages have."""
+    out = html
+    for hidden in (r"(?s)<!--.*?-->", *[rf"(?is)<{t}\b.*?</{t}\s*>" for t in ("title", "script", "style", "nav", "footer", "header", "aside")], "<[^>]*>"):
+        out = f"regexp_replace({out}, '{hidden}', ' ', 'g')"
+    for name, mark in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        out = f"replace({out}, '{name}', '{mark}')"
+    return rf"trim(regexp_replace({out}, '\s+', ' ', 'g'))"
+
+
+def _inner(element: str) -> str:
+    return _visible(f"regexp_replace({element}, '(?is)^<title>|</title>$', '', 'g')")
+
+
+SQL["html_visible_text"] = rf"""
+SELECT page_id, {_inner("regexp_extract(html, '(?is)<title>.*?</title>')")} AS title, {_visible("html")} AS visible,
+  array_to_string(list_filter(list_transform(regexp_extract_all(html, '(?is)<h[123][^>]*>(.*?)</h[123]>', 1), lambda x: {_visible("x")}), lambda x: x <> ''), '|') AS headings FROM pages
+"""
+
 # --- text --------------------------------------------------------------------------
 
 SQL["text_normalize_name"] = f"SELECT doc_id, md5({_NAME_KEY.format('text')}) AS name_key_md5 FROM documents"
@@ -217,8 +238,25 @@ WITH t AS (SELECT doc_id, replace(text, chr(10), ' ') AS t, left(replace(text, c
 SELECT doc_id, CASE WHEN length(t) <= 120 THEN t WHEN strpos(reverse(h), ' ') > 0 AND strpos(reverse(h), ' ') < length(h) THEN left(h, length(h) - strpos(reverse(h), ' ')) || '…' ELSE h || '…' END AS head FROM t
 """
 SQL["token_estimate"] = "SELECT doc_id, length(text) // 4 AS tokens FROM documents"
+# The documents have no compatibility forms, so composing is all that normalising does.
+SQL["clean_text"] = r"""
+SELECT doc_id, trim(regexp_replace(regexp_replace(nfc_normalize(coalesce(text, '')), '\s+', ' ', 'g'), '[^\x20-\x7E\x{A0}-\x{FFFF}]', ' ', 'g')) AS cleaned FROM documents
+"""
+# Windows of 1,200 characters that overlap by 200, each to the end of a sentence that ends in its second half.
+SQL["chunk_text_windows"] = r"""
+WITH RECURSIVE d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE text IS NOT NULL),
+w AS (
+  SELECT doc_id, 0 AS i, 0 AS a, CASE WHEN n // 4 <= 300 THEN n ELSE 0 + s END AS stop FROM (
+    SELECT *, CASE WHEN n > 1200 AND r > 0 AND 1200 - r - 1 > 600 THEN 1200 - r ELSE least(1200, n) END AS s FROM (SELECT *, strpos(reverse(left(text, 1200)), ' .') AS r FROM d))
+  UNION ALL
+  SELECT doc_id, i + 1, a, CASE WHEN n > a + 1200 AND r > 0 AND 1200 - r - 1 > 600 THEN a + 1200 - r ELSE least(a + 1200, n) END FROM (
+    SELECT w.doc_id, w.i, greatest(w.stop - 200, w.a + 1) AS a, d.n, strpos(reverse(substr(d.text, greatest(w.stop - 200, w.a + 1) + 1, 1200)), ' .') AS r
+    FROM w JOIN d USING (doc_id) WHERE w.stop < d.n)
+), c AS (SELECT w.doc_id, w.i, CASE WHEN n // 4 <= 300 THEN text ELSE regexp_replace(substr(text, a + 1, stop - a), '^\s+|\s+$', '', 'g') END AS chunk, n FROM w JOIN d USING (doc_id))
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos, chunk FROM c WHERE chunk <> '' OR n // 4 <= 300
+"""
 SQL["lexical_rerank_topk"] = f"""
-WITH q AS (SELECT item_id, {_WORDS.format("left(text, 60)")} AS wanted FROM benchmark), d AS (SELECT doc_id, {_WORDS.format("left(text, 1200)")} AS said FROM documents),
+WITH q AS (SELECT item_id, {_WORDS.format("text")} AS wanted FROM benchmark), d AS (SELECT doc_id, {_WORDS.format("left(text, 1200)")} AS said FROM documents),
 s AS (SELECT item_id, doc_id, len(list_intersect(wanted, said)) / len(wanted) AS score FROM q, d WHERE list_has_any(wanted, said)),
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS pos FROM s)
 SELECT item_id, doc_id, pos, score FROM r WHERE pos <= 10
@@ -379,7 +417,7 @@ WITH {_EVIDENCE}, b AS (SELECT entity, col, {_FOLD.format(order="seq")} AS b FRO
 """
 _SLUGGED = rf"regexp_replace(regexp_replace({_NAME_KEY.format('p_name')}, '\s+', '-', 'g'), '[^a-z0-9\-]', '', 'g')"
 SQL["entity_cell_merge_exact"] = f"""
-WITH {_EVIDENCE}, d AS (SELECT 'q' || (entity % 10) AS query_id, entity * 100000 + seq AS seq, {_SLUGGED} AS slug, col, value, site, size, confidence FROM evidence JOIN part ON p_partkey = entity WHERE entity < 400),
+WITH {_EVIDENCE}, d AS (SELECT 'q' || (entity % 10) AS query_id, entity * 100000 + seq AS seq, {_SLUGGED} AS slug, col, value, site, size, confidence FROM evidence JOIN part ON p_partkey = entity),
 k AS (SELECT query_id, slug, min(seq) AS row_pos, count(DISTINCT site) AS sources_count FROM d GROUP BY 1, 2),
 b AS (SELECT query_id, slug, col, min(seq) AS first, {_FOLD.format(order="seq")} AS b FROM d GROUP BY 1, 2, 3),
 o AS (SELECT query_id, slug, array_to_string(list(col ORDER BY r, first), '|') AS columns, array_to_string(list(b.value ORDER BY r, first), '|') AS best_values FROM (SELECT *, CASE col WHEN 'R' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS r FROM b) GROUP BY 1, 2)
@@ -519,14 +557,16 @@ g AS (SELECT * FROM r QUALIFY NOT bad OR min(CAST(bad AS INTEGER)) OVER (PARTITI
 SELECT query_id, k AS row_pos, rank_position FROM g QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank_position) <= CASE WHEN query_id IN ('q1', 'q5') THEN 4 ELSE 6 END
 """
 SQL["official_site_argmax"] = f"""
-WITH p AS (SELECT page_id, {_homepage("url")} AS home, string_split({_domain("url")}, '.')[-3] AS label, {_NAME_KEY.format("left(regexp_replace(left(html, 400), '<[^>]*>', ' ', 'g'), 200)")} AS head FROM pages),
+WITH p AS (SELECT page_id, {_homepage("url")} AS home, string_split({_domain("url")}, '.')[-3] AS label, {_NAME_KEY.format("left(" + _visible("html") + ", 200)")} AS head FROM pages),
 n AS (SELECT label, min(page_id) AS row_pos, {_NAME_KEY.format("label")} AS key FROM p GROUP BY 1)
 SELECT row_pos, home AS url, CAST(1.0 AS DOUBLE) AS score FROM n JOIN p ON contains({_NAME_KEY.format("p.label || ' official'")}, key) OR contains(head, key) WHERE length(key) >= 2
 QUALIFY row_number() OVER (PARTITION BY row_pos ORDER BY page_id) = 1
 """
+# An entity without a name is not asked about; one of a general name is like others.
 SQL["gap_fill_accept"] = f"""
-WITH {_CELLS}, x AS (SELECT query_id, k, list(value ORDER BY pos) AS vals, list(col) AS cols FROM c WHERE k % 13 <> 0 AND k % 11 <> 0 GROUP BY 1, 2)
-SELECT query_id, k AS row_pos, TRUE AS gap_filled, array_to_string(vals, '|') || CASE WHEN list_contains(cols, 'funding') THEN '' ELSE '|funding of official_site' END || '|product_or_service of official_site' AS cell_values FROM x
+WITH {_CELLS}, x AS (SELECT e.query_id, e.k, e.k % 13 <> 0 AS named, list(c.value ORDER BY c.pos) FILTER (c.col IS NOT NULL) AS vals, list(c.col) AS cols FROM e LEFT JOIN c USING (query_id, k) GROUP BY 1, 2)
+SELECT query_id, k AS row_pos, named AS gap_filled,
+  array_to_string(list_concat(coalesce(vals, []), CASE WHEN NOT named THEN [] WHEN list_contains(cols, 'funding') THEN ['product_or_service of official_site'] ELSE ['funding of official_site', 'product_or_service of official_site'] END), '|') AS cell_values FROM x
 """
 _KIND = f"""
 {_ASKED}, said AS (
