@@ -17,7 +17,7 @@ from cairn.functions import cells as c
 from cairn.functions import html, pages, queries, text, url, values
 from cairn.operators import acquire, align, display, evaluate, export, extract, gapfill, jobs, merge, official, plan, rank, requirements, rerank, verify
 from cairn.plans import discovery
-from cairn.sources.tables import LexicalSearch, TablePages
+from cairn.sources.tables import LexicalSearch, TablePages, drafts_of
 from cairn.storage import written
 from cairn.streaming import jobs as streams
 
@@ -373,8 +373,9 @@ def requirement_summary(spark, sf_dir):
 
 @query
 def requirement_hard_penalty(spark, sf_dir):
-    failed = (F.col("s_suppkey") % 6).alias("failed")
-    return _table(spark, sf_dir, "supplier").select("s_suppkey", failed, F.bround(F.least(F.col("s_suppkey") % 6 * 0.1, F.lit(0.3)), 4).alias("penalty"))
+    rows = _no_requirements(_planned(_entities(spark, sf_dir))).withColumn("hard_failed", F.col("row_pos") % 6)
+    s = rank.scored(rows, spark.createDataFrame([(f"q{i}",) for i in range(8)], "query_id string"), as_of_year=2024)
+    return s.select(F.col("row_pos").alias("s_suppkey"), F.col("hard_failed").alias("failed"), "penalty")
 
 
 def _evidence(spark, sf_dir) -> DataFrame:
@@ -466,6 +467,25 @@ def ranking_weighted_score(spark, sf_dir):
     return _scored(spark, sf_dir).select("query_id", "row_pos", "base_score", "penalty", "final_score")
 
 
+@query
+def ranking_with_requirements(spark, sf_dir):
+    """Entities that meet, miss and leave open some of four requirements."""
+    k = F.col("row_pos")
+    rows = _planned(_entities(spark, sf_dir)).withColumns({"requirements_total": F.lit(4), "requirements_satisfied": k % 3, "requirements_unknown": k % 2, "hard_failed": k % 6})
+    s = rank.scored(rows, spark.createDataFrame([(f"q{i}",) for i in range(8)], "query_id string"), as_of_year=2024)
+    met = F.element_at(F.filter("components", lambda x: x["key"] == "requirement_satisfaction"), 1)["value"]
+    return s.select("query_id", "row_pos", met.alias("met"), "base_score", "penalty", "final_score")
+
+
+@query
+def source_profiles(spark, sf_dir):
+    """How many sources of each kind and regime an entity has."""
+    e = _entities(spark, sf_dir)
+    kinds = e.select("query_id", "row_pos", F.lit("kind").alias("by"), F.explode(rank.source_kinds(F.col("cells"))).alias("name"))
+    regimes = e.select("query_id", "row_pos", F.lit("regime").alias("by"), F.explode(rank.source_kinds(F.col("cells"), regime=True)).alias("name"))
+    return acquire.counters(kinds.unionByName(regimes), "query_id", "row_pos", "by", "name")
+
+
 @query
 def rank_topn(spark, sf_dir):
     r = rank.ranked(_scored(spark, sf_dir))
@@ -587,6 +607,48 @@ def extract_drafts(spark, sf_dir):
     return extract.deterministic(read, plans).select("query_id", "draft_seq", "entity_name", F.array_join(c.columns(F.col("cells")), "|").alias("columns"))
 
 
+@query
+def page_drafts_sufficient(spark, sf_dir):
+    """Whether pages of all regimes with up to three drafts of up to six cells need a model's answer."""
+    k = F.col("page_id")
+    rows = _table(spark, sf_dir, "pages").select(F.lit("q").alias("query_id"), k.cast("string").alias("url"), F.element_at(F.array(*map(F.lit, fixed.REGIMES)), (k % len(fixed.REGIMES) + 1).cast("int")).alias("regime"), "page_id")
+    names = ("name", "website", "phone", "license", "location", "funding")
+    cells = F.slice(F.array(*[_cell(n, F.lit(n), F.lit("https://a.org/"), F.lit(0.5)) for n in names]), F.lit(1), (k % 6).cast("int")).cast(schemas.CELLS)
+    drafts = rows.select("query_id", F.col("url").alias("source_url"), cells.alias("cells"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("i"), "page_id").where(F.col("i") < k % 4)
+    plans = spark.createDataFrame([("q", ["name", "website", "license", "location", "funding"])], "query_id string, columns array<string>")
+    parts = [extract.sufficient(drafts, rows, plans, discover=d).select("url", F.lit(d).alias("discover"), "sufficient") for d in (True, False)]
+    return parts[0].unionByName(parts[1])
+
+
+@query
+def drafts_within_pages(spark, sf_dir):
+    """Three drafts of each page, two of them of one name."""
+    k, at = F.col("page_id"), F.col("url")
+    sure = lambda x: x.cast("double")
+    draft = lambda i, name, *cells: F.struct(F.lit(i).alias("i"), F.lit(name).alias("entity_name"), F.array(*cells).cast(schemas.CELLS).alias("cells"))
+    drafts = F.array(
+        draft(0, "Zebra Quartz", _cell("funding", F.lit("f0"), at, F.lit(0.5)), _cell("website", F.lit("w0"), at, F.lit(0.7))),
+        draft(1, "Mellow Harp", _cell("funding", F.lit("f1"), at, F.lit(0.9))),
+        draft(2, "Zebra Quartz!", _cell("license", F.lit("l2"), at, F.lit(0.4)), _cell("funding", F.lit("f2"), at, sure(k % 10) / 10)),
+    )
+    rows = _table(spark, sf_dir, "pages").withColumn("url", k.cast("string")).select("page_id", "url", F.inline(drafts))
+    own = rows.select(F.lit("q").alias("query_id"), (k.cast("long") * 10 + F.col("i")).alias("draft_seq"), "entity_name", F.col("url").alias("source_url"), F.lit(None).cast("string").alias("source_title"), "cells")
+    return merge.within_pages(own).select("query_id", "draft_seq", "entity_name", F.array_join(F.transform("cells", lambda x: F.concat(x["col"], F.lit("="), x["value"])), "|").alias("cells"))
+
+
+@query
+def answers_to_drafts(spark, sf_dir):
+    """Raw answers of a model about pages: plain, fenced and broken, with cells that are valid, invalid and without evidence."""
+    k = F.col("page_id").cast("string")
+    entry = lambda v, s, c_: F.struct(F.lit(v).alias("value"), F.lit(s).alias("evidence_snippet"), F.lit(c_).alias("confidence"))
+    cells = F.create_map(F.lit("funding"), entry("$5M", "raised 5M", 1.5), F.lit("phone"), entry("12", "call 12", 0.9), F.lit("license"), entry("MIT", " ", 0.9))
+    whole = F.to_json(F.struct(F.array(F.struct(F.concat(F.lit(" Firm "), k).alias("entity_name"), cells.alias("cells"))).alias("entities")))
+    answer = F.when(F.col("page_id") % 3 == 0, whole).when(F.col("page_id") % 3 == 1, F.concat(F.lit("Here it is: ```json\n"), whole, F.lit("\n``` as asked"))).otherwise(F.substring(whole, 1, 40))
+    rows = _table(spark, sf_dir, "pages").select(F.lit("q").alias("query_id"), (F.col("page_id").cast("long") * 1000).alias("draft_base"), F.concat(F.lit("https://a.org/"), k).alias("url"), F.lit("t").alias("title"), answer.alias("answer"))
+    said = F.transform("cells", lambda x: F.concat_ws("=", x["col"], x["value"], x["confidence"].cast("string")))
+    return drafts_of(rows).select("query_id", "draft_seq", "entity_name", F.array_join(said, "|").alias("cells"))
+
+
 # --- storage and jobs --------------------------------------------------------------
 
 
@@ -644,6 +706,16 @@ def cache_ttl_left_anti(spark, sf_dir):
     return acquire.from_cache(wanted, cache, F.to_timestamp(F.lit("2024-01-20 00:00:00")))[1]
 
 
+@query
+def cache_lookup(spark, sf_dir):
+    """Users as addresses on a day in the middle: those stored in the day before with their time, and the others."""
+    now = "2024-01-15 12:00:00"
+    e = _table(spark, sf_dir, "events")
+    cache = e.where((F.col("event_type") == "purchase") & (F.col("ts") <= F.lit(now).cast("timestamp_ntz"))).select(F.col("user_id").cast("string").alias("url"), F.col("ts").alias("scraped_at"))
+    found, missing = acquire.from_cache(e.select(F.col("user_id").cast("string").alias("url")).distinct(), cache, F.to_timestamp(F.lit(now)), hours=48)
+    return found.withColumn("found", F.lit(True)).unionByName(missing.withColumn("found", F.lit(False)), allowMissingColumns=True)
+
+
 # --- sinks and evaluation ----------------------------------------------------------
 
 

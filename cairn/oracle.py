@@ -380,6 +380,15 @@ _SCORED = f"""
 ), scored AS (SELECT *, round(score, 4) AS final FROM signals)
 """
 SQL["ranking_weighted_score"] = f"WITH {_SCORED} SELECT query_id, k AS row_pos, final AS base_score, 0.0 AS penalty, final AS final_score FROM scored"
+SQL["ranking_with_requirements"] = f"""
+WITH {_SCORED}, r AS (SELECT *, round_even((k % 3 + 0.5 * (k % 2)) / 4, 3) AS met, least((k % 6) * 0.1, 0.3) AS penalty FROM scored),
+b AS (SELECT *, round(score - 0.15 + round_even(0.15 * met, 4), 4) AS base FROM r)
+SELECT query_id, k AS row_pos, CAST(met AS DOUBLE) AS met, CAST(base AS DOUBLE) AS base_score, CAST(penalty AS DOUBLE) AS penalty, CAST(round(base - penalty, 4) AS DOUBLE) AS final_score FROM b
+"""
+SQL["source_profiles"] = f"""
+WITH {_CELLS}, n AS (SELECT query_id, k, count(DISTINCT site) AS n FROM c GROUP BY 1, 2)
+SELECT query_id, k AS row_pos, unnest(['kind', 'regime']) AS "by", 'unknown' AS name, n FROM n
+"""
 SQL["rank_topn"] = f"""
 WITH {_SCORED}, r AS (SELECT query_id, k AS row_pos, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, k) AS rank_position, final AS final_score FROM scored) SELECT * FROM r WHERE rank_position <= 5
 """
@@ -460,6 +469,18 @@ _PRIORITY = " ".join(f"WHEN '{f}' THEN {list(w)}[CAST(p_size % 7 + 1 AS INTEGER)
 SQL["gap_page_priority"] = f"""
 SELECT p_partkey, family, {_array(fixed.REGIMES)}[CAST(p_size % 7 + 1 AS INTEGER)] AS regime, CASE family {_PRIORITY} END AS priority FROM (SELECT *, {_array(fixed.FAMILY_TEMPLATES)}[CAST(p_partkey % 6 + 1 AS INTEGER)] AS family FROM part)
 """
+SQL["page_drafts_sufficient"] = f"""
+WITH p AS (SELECT page_id, {_array(fixed.REGIMES)}[CAST(page_id % {len(fixed.REGIMES)} + 1 AS INTEGER)] AS regime, page_id % 4 AS n, page_id % 6 AS m, unnest([TRUE, FALSE]) AS discover FROM pages)
+SELECT CAST(page_id AS VARCHAR) AS url, discover, n > 0 AND CASE WHEN discover THEN (regime IN ('directory_listing', 'local_business_listing') AND n >= 2) OR m >= 3
+  WHEN regime = 'software_repo_or_docs' THEN (m - 1) / 4 >= 0.4 OR m >= 4 WHEN regime IN ('official_site', 'local_business_listing') THEN (m - 1) / 4 >= 0.4 OR m >= 2 ELSE (m - 1) / 4 >= 0.5 END AS sufficient FROM p
+"""
+SQL["drafts_within_pages"] = """
+SELECT 'q' AS query_id, page_id * 10 AS draft_seq, 'Zebra Quartz' AS entity_name, 'funding=' || CASE WHEN page_id % 10 > 5 THEN 'f2' ELSE 'f0' END || '|website=w0|license=l2' AS cells FROM pages
+UNION ALL SELECT 'q', page_id * 10 + 1, 'Mellow Harp', 'funding=f1' FROM pages
+"""
+SQL["answers_to_drafts"] = """
+SELECT 'q' AS query_id, page_id * 1000 AS draft_seq, 'Firm ' || page_id AS entity_name, 'name=Firm ' || page_id || '=0.75|funding=$5M=1.0' AS cells FROM pages WHERE page_id % 3 < 2
+"""
 SQL["directory_candidates_top12"] = rf"""
 WITH a AS (SELECT page_id, unnest(t) AS text, unnest(range(len(t))) AS i FROM (SELECT page_id, regexp_extract_all(html, '<a href="(/[^"]*)">([^<]*)</a>', 2) AS t FROM pages)),
 f AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS nth FROM a WHERE length(text) BETWEEN 3 AND 80 AND {_useful("'https://x.org/' || text")}),
@@ -495,6 +516,11 @@ SELECT DISTINCT CAST(user_id AS VARCHAR) AS url FROM events WHERE user_id NOT IN
   SELECT user_id FROM events WHERE event_type = 'purchase' GROUP BY user_id HAVING max(ts) > TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 24 HOURS)
 """
 
+SQL["cache_lookup"] = """
+WITH c AS (SELECT user_id, max(ts) AS m FROM events WHERE event_type = 'purchase' AND ts <= TIMESTAMP '2024-01-15 12:00:00' GROUP BY 1)
+SELECT CAST(u.user_id AS VARCHAR) AS url, CASE WHEN m > TIMESTAMP '2024-01-13 12:00:00' THEN m END AS scraped_at, coalesce(m > TIMESTAMP '2024-01-13 12:00:00', FALSE) AS found FROM (SELECT DISTINCT user_id FROM events) AS u LEFT JOIN c USING (user_id)
+"""
+
 # --- display -----------------------------------------------------------------------
 
 
