@@ -235,13 +235,15 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     prints = _prints(docs)
     classed = prints.join(near_duplicates(prints).select("fp", "root"), "fp")
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "fp", "digest")
-    stays = written(classed.groupBy("root").agg(F.min(order).alias("first")).select("first.doc_id", "first.digest"), "stays")
+    first = classed.groupBy("root").agg(F.min(order).alias("first"))
+    kept, digest = free(docs.columns, "__doc_id", "__digest")
+    # One key for the join and the aggregate, so texts are moved once.
+    named = lambda key: F.coalesce(key.cast("long").cast("string"), F.lit("none"))
+    stays = written(first.select(named(F.col("first.doc_id")).alias(kept), F.col("first.digest").alias(digest)), "stays")
     release(prints)
 
-    kept, digest = free(docs.columns, "__doc_id", "__digest")
-    keyed = docs.withColumns({kept: F.col("doc_id").cast("long"), digest: F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))})
-    here = keyed.join(stays, keyed[kept].eqNullSafe(stays["doc_id"]) & (keyed[digest] == stays["digest"]), "left_semi")
-    return least_rows(here, docs.columns, kept, digest)
+    keyed = docs.withColumns({kept: named(F.col("doc_id")), digest: F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))})
+    return least_rows(keyed.join(stays, [kept, digest], "left_semi"), docs.columns, kept, digest)
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
