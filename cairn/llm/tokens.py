@@ -49,8 +49,8 @@ END = 1
 SHARD_IDS = 1 << 19
 #: Bytes of text in a range, about.
 RANGE_BYTES = 128 << 20
-#: Distinct pieces whose ids are kept.
-PIECES = 700_000
+#: Distinct pieces in a table of pieces, of which a worker has two: some 50 MB each.
+PIECES = 250_000
 #: ASCII marks that split off a word's end, without the apostrophe and the brackets of special tokens.
 MARKS = b".,;:!?%$#&*|()\"-"
 #: A character that is not printable, so in no piece that is encoded beside others.
