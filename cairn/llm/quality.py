@@ -8,7 +8,8 @@ ridge scores are calibrated to shares of label 1 by isotonic regression on
 counts per score bin.
 
 Defined results: null and empty texts have the statistics of an empty text;
-without labelled rows every score is 0.5; repeated labels of a document count
+without labelled rows every score is 0.5; equal texts of a
+run score alike; repeated labels of a document count
 as the largest, and each row of a labelled doc_id is learned from; a row
 without a doc_id is scored and not held out; an empty table has no row; other
 columns are not looked at.  The statistics are of whole texts, one of which a
@@ -111,13 +112,17 @@ class Ridge:
         self.beta = np.zeros(cosines + 1)
         self.at, self.share = np.array([0.0]), np.array([0.5])
 
+    def _standard(self, stats: np.ndarray) -> np.ndarray:
+        return np.clip((stats - self.mean) / self.scale, -6, 6)
+
     def features(self, stats: np.ndarray) -> np.ndarray:
-        x = np.clip((stats - self.mean) / self.scale, -6, 6)
-        z = np.cos(x @ self.turn + self.phase) * (2 / len(self.phase)) ** 0.5
+        z = np.cos(self._standard(stats) @ self.turn + self.phase) * (2 / len(self.phase)) ** 0.5
         return np.concatenate((z, np.ones((len(z), 1))), axis=1)
 
     def raw(self, stats: np.ndarray) -> np.ndarray:
-        return self.features(stats) @ self.beta
+        """The scores, row by row: a product of matrices rounds a row by its place among others, and equal texts score alike."""
+        weights, base = self.beta[:-1] * (2 / len(self.phase)) ** 0.5, self.beta[-1]
+        return np.array([np.cos(x @ self.turn + self.phase) @ weights + base for x in self._standard(stats)])
 
     def score(self, stats: np.ndarray) -> np.ndarray:
         """The calibrated score; it rises with the raw score, also within a step."""

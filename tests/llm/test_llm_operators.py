@@ -373,3 +373,17 @@ def test_language_evidence():
     assert language.declared(page) == "de" and language.visible(page).split() == [b"Wort", b"Satz", b"mehr"]
     assert language.visible(b"a <script> never closed") .split() == [b"a"]
     assert language.host_of("https://www.Example.COM:80/x") == "www.example.com" and language.host_of("http://[") == ""
+
+
+def test_quality_score_of_a_row_is_the_same_in_any_batch():
+    from cairn.llm.quality import STATISTICS, Ridge
+
+    rng = np.random.default_rng(1)
+    model = Ridge(np.zeros(len(STATISTICS)), np.ones(len(STATISTICS)))
+    model.beta = rng.normal(size=len(model.beta))
+    row, found = rng.normal(size=len(STATISTICS)), set()
+    for n in (1, 2, 3, 4, 7, 8, 16, 33):
+        rows = rng.normal(size=(n, len(STATISTICS)))
+        for i in range(n):
+            found.add(float(model.raw(np.vstack((rows[:i], row, rows[i + 1 :])))[i]))
+    assert len(found) == 1
