@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cairn.functions.binding import let
 from cairn.llm.common import annotate, parts, shuffle_partitions, table, written
 
 #: Documents that the text model is fitted on, about, and of each language at least;
@@ -179,9 +180,15 @@ def train(docs: DataFrame, *, sample: int = SAMPLE, least: int = LEAST) -> TextM
 
 
 def _softmax(logs: Column) -> Column:
-    top = F.array_max(logs)
-    parts = F.transform(logs, lambda x: F.exp(x - top))
-    return F.transform(parts, lambda x: x / F.aggregate(parts, F.lit(0.0), lambda a, b: a + b))
+    above = lambda s: F.transform(s["logs"], lambda x: F.exp(x - s["top"]))
+    shares = lambda s: F.transform(s["parts"], lambda x: x / s["total"])
+    topped = lambda s: let({"logs": s["logs"], "top": F.array_max(s["logs"])}, above)
+    summed = lambda s: let({"parts": s["parts"], "total": _total(s["parts"])}, shares)
+    return let({"parts": let({"logs": logs}, topped)}, summed)
+
+
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, b: a + b)
 
 
 def _sums(n: int, name: str) -> Column:
@@ -191,8 +198,8 @@ def _sums(n: int, name: str) -> Column:
 
 def _smoothed(own: Column, above: Column) -> Column:
     """Shares of counts, with the level above as ``WEIGHT`` more pages."""
-    total = F.aggregate(own, F.lit(0.0), lambda a, b: a + b) + WEIGHT
-    return F.zip_with(own, above, lambda n, p: (n + p * WEIGHT) / total)
+    shares = lambda s: F.zip_with(s["own"], s["above"], lambda n, p: (n + p * WEIGHT) / s["total"])
+    return let({"own": own, "above": above}, lambda s: let({"own": s["own"], "above": s["above"], "total": _total(s["own"]) + WEIGHT}, shares))
 
 
 def host_priors(evidence: DataFrame, n: int) -> DataFrame:
