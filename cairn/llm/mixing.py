@@ -9,7 +9,9 @@ any point each source has given words in proportion to its target.
 All running sums are made in levels: within slices of the shuffled order,
 whose number follows the number of documents, over the slices of a block, and
 over the blocks.  No task holds more than a few thousand rows of a source, its
-totals of ``SLICE_ROWS`` times ``BLOCK_SLICES`` documents apart.
+totals of ``SLICE_ROWS`` times ``BLOCK_SLICES`` documents apart, where doc_ids
+differ: rows of one doc_id, or without one, have one place in the order and so
+are in one slice, which a task sorts.
 
 The documents are not sorted by finish time as a whole: the order decides only
 where the budget ends, and that place is found by ranging the finish times into
