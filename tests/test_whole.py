@@ -150,6 +150,22 @@ def test_official_site_reads_the_visible_head(spark, tmp_path):
     assert {r.row_pos: r.url for r in catalog.official_site_argmax(spark, at).collect()} == {0: "https://alpha.example.org/", 1: "https://alpha.example.org/"}
 
 
+def test_visible_text_is_that_of_its_sql(spark, tmp_path):
+    """References that are cut off, as in titles that end after so many characters, stay as they are written."""
+    import duckdb
+
+    from cairn import oracle
+
+    bodies = ["cats &amp;&amp;&amp", "cats &amp;amp; dogs &am", "a &lt;b&gt; &quot;c&quot; &copy; &copy2024 &lt", "x && y &amp z &unknown; &notit; &"]
+    pages = [(i, f"https://a.org/{i}", f"<html><head><title>{x}</title><script>if (a &amp b) &lt</script></head><body><h1>{x}</h1><a href='/q?a=1&amp;b=2'>to</a> <p>{x}</p> end</body></html>") for i, x in enumerate(bodies)]
+    at = put(spark, tmp_path, pages=("page_id int, url string, html string", pages))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{at}/pages.parquet/*.parquet'")
+    found = sorted(tuple(r) for r in catalog.html_visible_text(spark, at).select("page_id", "title", "visible", "headings").collect())
+    assert found == sorted(con.execute(oracle.SQL["html_visible_text"]).fetchall())
+    assert found[0][1] == "cats &&&amp"
+
+
 def test_decontamination_hits_items_without_an_id(spark, tmp_path):
     """As the SQL has it: their words are hit, together they are one item, and the digest is of the others' ids."""
     import duckdb
