@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,38 +29,54 @@ def clusters(drafts: DataFrame) -> DataFrame:
 
     A draft joins the first cluster that has its domain or a similar name;
     the cluster's name and address are then those of its merged cells.  As
-    each step depends on all before it, a query is one group of rows; use
-    ``exact_clusters`` for groups that are too large for one task.
+    each step depends on all before it, a query's drafts are one task's: Spark
+    sorts them, and Python holds a batch of them and the clusters of a block of
+    queries.  Use ``exact_clusters`` where that takes too long.
     """
-    site = c.own_website(F.col("cells"), ADDRESSED)
+    telling = F.filter("cells", lambda x: x["col"].isin("name", *ADDRESSED))  # no other cell changes a cluster's name or address
+    marks = F.transform(telling, lambda x: F.struct(x["col"].alias("col"), x["confidence"].alias("confidence"), F.coalesce(F.length(x["evidence_snippet"]), F.lit(0)).alias("size"), url.domain(x["value"]).alias("site")))
+    says = F.struct(text.name_key(c.value(F.col("cells"), "name")).alias("name"), url.domain(c.own_website(F.col("cells"), ADDRESSED)).alias("domain"), marks.alias("marks"))
     reduced = drafts.select(
-        "query_id", "draft_seq", text.name_key(F.col("entity_name")).alias("key"), text.name_key(c.value(F.col("cells"), "name")).alias("name_key"),
-        url.domain(site).alias("domain"),
-        F.transform("cells", lambda x: F.struct(x["col"].alias("col"), x["confidence"].alias("confidence"), F.length(x["evidence_snippet"]).alias("size"))).alias("marks"),
-        F.map_from_entries(F.transform(F.filter("cells", lambda x: x["col"].isin(*ADDRESSED)), lambda x: F.struct(x["col"], url.domain(x["value"])))).alias("sites"),
+        "query_id", F.col("draft_seq").cast("long").alias("draft_seq"), F.coalesce(text.name_key(F.col("entity_name")), F.lit("")).alias("key"),
+        F.when(F.size(telling) > 0, F.to_json(says, {"ignoreNullFields": "false"})).otherwise("").alias("says"), F.pmod(F.xxhash64("query_id"), F.lit(2048)).alias("block"),
     )
-
-    def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("draft_seq", kind="stable")
-        found, out = [], []
-        for r in rows.itertuples():
-            place = next((i for i, f in enumerate(found) if (r.domain and r.domain == f["domain"]) or fuzzy.similar_keys(r.key, f["name"])), None)
-            sites = dict(r.sites) if r.sites is not None else {}
-            if place is None:
-                place = len(found)
-                found.append({"first": r.draft_seq, "cells": {}, "key": r.key})
-            state = found[place]
-            for m in r.marks:
-                col, now = m["col"], (m["confidence"], m["size"] or 0, sites.get(m["col"], ""), r.name_key if m["col"] == "name" else None)
-                had = state["cells"].get(col)
-                if had is None or now[0] > had[0] + 0.05 or (now[0] >= had[0] - 0.05 and now[1] > had[1]):
-                    state["cells"][col] = now
-            state["domain"] = next((state["cells"][k][2] for k in ADDRESSED if k in state["cells"]), "")
-            state["name"] = state["cells"]["name"][3] if "name" in state["cells"] else state["key"]
-            out.append((r.query_id, r.draft_seq, state["first"]))
-        return pd.DataFrame(out, columns=["query_id", "draft_seq", "cluster"])
-
-    return reduced.groupBy("query_id").applyInPandas(merge, "query_id string, draft_seq long, cluster long")
+    # What a draft says goes as text: for nested columns Spark's Arrow writer counts the batch's bytes anew at each row.  Rows are sorted by the bits of one number.
+    place = F.shiftleft("block", 52) + F.shiftright("draft_seq", 12)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        states, last = {}, None
+        for batch in batches:
+            out = []
+            for i, (block, query, key, says) in enumerate(zip(*(batch.column(x).to_pylist() for x in ("block", "query_id", "key", "says")), strict=True)):
+                if (block, query) != last:
+                    if last is None or block != last[0]:
+                        states = {}
+                    found, places = states.setdefault(query, ([], {}))
+                    last = (block, query)
+                said = json.loads(says) if says else None
+                place = None if said else places.get(key)
+                if place is None:
+                    domain = said and said["domain"]
+                    place = next((n for n, f in enumerate(found) if (domain and domain == f["domain"]) or fuzzy.similar_keys(key, f["name"] or "")), len(found))
+                if place == len(found):
+                    found.append({"first": batch.column("draft_seq")[i].as_py(), "cells": {}, "domain": "", "name": key})
+                state = found[place]
+                if said is None:
+                    places[key] = place  # until a cluster gets another name
+                else:
+                    named = state["name"]
+                    for m in said["marks"]:
+                        had = state["cells"].get(m["col"])
+                        if had is None or m["confidence"] > had["confidence"] + 0.05 or (m["confidence"] >= had["confidence"] - 0.05 and m["size"] > had["size"]):
+                            state["cells"][m["col"]] = m | {"name": said["name"]}
+                    state["domain"] = next((state["cells"][k]["site"] for k in ADDRESSED if k in state["cells"]), "")
+                    state["name"] = state["cells"]["name"]["name"] if "name" in state["cells"] else named
+                    if state["name"] != named:
+                        places.clear()
+                out.append(state["first"])
+            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("draft_seq"), pa.array(out, pa.int64())], ["query_id", "draft_seq", "cluster"])
+
+    return reduced.withColumn("place", place).repartition("query_id").sortWithinPartitions("place", "draft_seq").drop("place").mapInArrow(merge, "query_id string, draft_seq long, cluster long")
 
 
 def exact_clusters(drafts: DataFrame) -> DataFrame:

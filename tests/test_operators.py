@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cairn import schemas
 from cairn.functions import cells as c
+from cairn.functions import fuzzy
 from cairn.operators import acquire, align, display, evaluate, export, extract, gapfill, jobs, merge, official, rank, requirements, verify
 from cairn.sources import tables
 from cairn.streaming import jobs as streams
@@ -73,6 +74,44 @@ def test_merge(spark):
     assert exact.count() == 4
 
 
+def greedy(rows):
+    """{(query, draft): first draft} of (query, draft, name key, {column: (key or domain, confidence, size)}), each compared with all clusters before it."""
+    found, out = {}, {}
+    for q, n, key, marks in sorted(rows, key=lambda x: x[1]):
+        clusters = found.setdefault(q, [])
+        domain = marks.get("website", ("",))[0]
+        own = next((f for f in clusters if (domain and domain == f["cells"].get("website", ("",))[0]) or fuzzy.similar_keys(key, f["cells"].get("name", (f["key"],))[0])), None)
+        if own is None:
+            clusters.append(own := {"first": n, "key": key, "cells": {}})
+        for col, now in marks.items():
+            own["cells"][col] = better(own["cells"][col], now) if col in own["cells"] else now
+        out[q, n] = own["first"]
+    return out
+
+
+def test_merge_holds_no_query_whole(spark):
+    """Drafts with and without a name or a site, and without any, in batches of seven and no group."""
+    rng, rows, expected = random.Random(9), [], []
+    words = ["red", "bolt", "hot", "ring", "gear", "cold"]
+    for n in range(900):
+        name = None if n % 90 == 5 else " ".join(rng.sample(words, rng.randint(1, 3)))
+        marks = {k: (v, rng.randint(0, 10) / 10, rng.randint(0, 4)) for k, v, p in (("name", " ".join(rng.sample(words, 2)), 0.2), ("website", f"{rng.choice('abcdefgh')}.org", 0.1), ("other", "x", 0.9)) if rng.random() < p}
+        q = f"q{rng.randint(0, 3)}"
+        rows.append((q, n * 5000, name, "u", None, [(k, f"https://{v}/" if k == "website" else v, "u", None, "s" * size, sure, None) for k, (v, sure, size) in marks.items()]))
+        expected.append((q, n * 5000, name or "", marks))
+    rng.shuffle(rows)
+    d = spark.createDataFrame(rows, schemas.DRAFTS)
+    had = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        members = merge.clusters(d)
+        found = {(r["query_id"], r["draft_seq"]): r["cluster"] for r in members.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", had)
+    assert found == greedy(expected) and len(set(found.values())) > 30
+    assert "FlatMapGroups" not in members._jdf.queryExecution().toString()
+
+
 def test_page_merge_keeps_the_surer_cell(spark):
     d = drafts(spark, ("A Corp", [cell("name", "A Corp"), cell("x", "low", confidence=0.3)]), ("A Corp", [cell("name", "A Corp"), cell("x", "high", confidence=0.4), cell("y", "new")]), ("Zeta", [cell("name", "Zeta")]))
     rows = merge.within_pages(d).orderBy("draft_seq").collect()
