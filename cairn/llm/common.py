@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,7 +14,7 @@ from pyspark.sql import types as T
 
 from cairn.storage import release, written
 
-__all__ = ["ALNUM", "SPACED", "SPACED_CASED", "WORD", "annotate", "aside", "bucket_of", "col", "fold", "free", "least_rows", "parts", "release", "spread", "table", "text_bytes", "written"]
+__all__ = ["ALNUM", "SPACED", "SPACED_CASED", "WORD", "annotate", "aside", "bucket_of", "col", "fold", "forget_kept", "free", "kept", "least_rows", "parts", "release", "spread", "table", "text_bytes", "written"]
 
 #: ASCII letters become lower case, every byte outside 0-9, a-z and the bytes
 #: of non-ASCII characters becomes a space.
@@ -121,6 +124,29 @@ def fold(key: Column, folds: int, held: int) -> Column:
     return F.coalesce(bucket_of(key.cast("long")) % folds == held, F.lit(False))
 
 
+# --- what a Python worker keeps from task to task ---------------------------------
+
+_kept: dict[object, object] = {}
+
+
+def kept(key: object, make: Callable[[], object]) -> object:
+    """What ``make`` gives, made once in a worker, until a task of another operator begins there."""
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
+def forget_kept() -> None:
+    """Gives the memory of what this worker has kept back to the machine: later stages run in the same workers."""
+    if not _kept:
+        return
+    _kept.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc holds on to freed memory and has a way to say so
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 # --- one Arrow pass over the rows ------------------------------------------------
 
 def annotate(
@@ -138,19 +164,29 @@ def annotate(
     texts of ``rows`` rows (null: empty) into one list or array for each field.
     ``keep`` names the columns that go along; columns named like a field are
     replaced.  A text is a whole value of its batch, so one text and its words
-    have to fit into a worker; batches are bounded by bytes.
+    have to fit into a worker; batches are bounded by bytes.  A text that goes
+    along is sent once: a batch is in memory several times over, in the
+    executor and in the worker.
     """
     new = {n.lower() for n in fields}
     names = [c for c in (df.columns if keep is None else keep) if c.lower() not in new]
-    (hidden,) = free([*df.columns, *fields], "__text")
-    taken = df.select(*[col(c) for c in names], col(text).cast("string").cast("binary").alias(hidden))
-    schema = T.StructType([*taken.schema.fields[:-1], *[T.StructField(n, kind) for n, (kind, _) in fields.items()]])
+    taken = df.select(*[col(c) for c in names])
+    along = text in names and isinstance(taken.schema.fields[names.index(text)].dataType, T.StringType)
+    schema = T.StructType([*taken.schema.fields, *[T.StructField(n, kind) for n, (kind, _) in fields.items()]])
     kinds = [kind for _, kind in fields.values()]
+    at = names.index(text) if along else len(names)
+    if not along:
+        (hidden,) = free([*df.columns, *fields], "__text")
+        taken = df.select(*[col(c) for c in names], col(text).cast("string").cast("binary").alias(hidden))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_kept()
         compute = start()
         for batch in parts(batches, rows):
-            made = compute([t or b"" for t in batch.column(len(names)).to_pylist()], batch)
+            texts = batch.column(at)
+            if along:
+                texts = texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary())  # no copy
+            made = compute([t or b"" for t in texts.to_pylist()], batch)
             made = [x if isinstance(x, pa.Array) else pa.array(x, kind) for x, kind in zip(made, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *made], names=[*names, *fields])
 

@@ -40,8 +40,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.llm.common import kept, spread, table, text_bytes, written
 from cairn.llm.common import parts as slices
-from cairn.llm.common import spread, table, text_bytes, written
 from cairn.llm.wavelet import WaveletMatrix, build
 
 END = 1
@@ -174,14 +174,9 @@ class Encoder:
         return np.frombuffer(self.encode_batch([text])[0], dtype="<u4")
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """The worker's encoder, with the pieces that its earlier tasks have met."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return kept(("encoder", path), lambda: Encoder(path))
 
 
 _FIELDS = [

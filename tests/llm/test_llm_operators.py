@@ -2,14 +2,16 @@
 
 import math
 import random
+import weakref
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cairn.llm import components, decontaminate, digest, language, lattice, mixing, quality, scoring, simhash, substrings, suffixes, tokens, toxicity, wavelet
+from cairn.llm import common, components, decontaminate, digest, language, lattice, mixing, quality, scoring, simhash, substrings, suffixes, tokens, toxicity, wavelet
 
 
 def test_extra_columns_stay(docs, spark, sf_dir):
@@ -239,6 +241,34 @@ def test_batches_are_bounded_by_bytes(spark):
     assert len(sizes) > 1 and max(r["n"] for r in sizes) <= bound + 1_100_000
 
 
+def test_a_text_that_goes_along_is_sent_once(spark, docs):
+    """A worker's batches have the columns that are kept and no second copy of the text."""
+    seen = lambda: lambda texts, batch: [[batch.num_columns] * len(texts), texts]
+    fields = {"columns": (T.LongType(), pa.int64()), "bytes": (T.BinaryType(), pa.binary())}
+    for keep, n in ((None, len(docs.columns)), (["text"], 1), (["doc_id"], 2), ([], 1)):
+        out = common.annotate(docs, seen, fields, keep=keep)
+        assert out.columns == [*(docs.columns if keep is None else keep), *fields]
+        rows = out.collect()
+        assert {r["columns"] for r in rows} == {n}
+        assert Counter(bytes(r["bytes"]) for r in rows) == Counter((r["text"] or "").encode() for r in docs.collect())
+        if "text" in out.columns:
+            assert all((r["text"] or "").encode() == r["bytes"] for r in rows) and any(r["text"] is None for r in rows)
+    raw = docs.select(F.col("text").cast("binary").alias("text"))
+    assert {r["columns"] for r in common.annotate(raw, seen, fields).collect()} == {2}
+
+
+def test_a_worker_gives_back_what_another_operator_kept(docs, monkeypatch):
+    """Workers outlive a stage: the tables of pieces would stay beside all that later stages hold."""
+    passes, encoder = [], tokens.encoder(tokens.vocabulary())
+    assert tokens.encoder(tokens.vocabulary()) is encoder
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: passes.append(run))
+    common.annotate(docs, lambda: lambda texts, _: [[len(t) for t in texts]], {"n": (T.LongType(), pa.int64())}, keep=["doc_id"])
+    here, encoder = weakref.ref(encoder), None
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "__text": ["é".encode(), None]})
+    assert [b.to_pydict() for b in passes[0](iter([batch]))] == [{"doc_id": [1, 2], "n": [2, 0]}]
+    assert here() is None
+
+
 def test_session_is_left_as_it_was(spark, docs, sf_dir):
     from cairn.llm import catalog
 
