@@ -15,8 +15,9 @@ rank and select without decoding.
 
 A text is encoded by pieces between ASCII white space where the tokenizer is
 known to drop white space before it splits, so that a piece has the same ids
-alone as in its text; each distinct piece is encoded once while it is in the
-table of pieces.  Texts of other tokenizers are encoded whole.
+alone as in its text; each distinct piece of a block of texts is looked at once
+and encoded once while it is in the table of pieces.  Texts of other tokenizers
+are encoded whole.
 
 Defined results: null and empty texts are the end id alone; rows that repeat
 are written as often as they come; rows without a doc_id come first; rows of
@@ -33,10 +34,12 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 from struct import pack as _pack
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,8 +52,12 @@ END = 1
 SHARD_IDS = 1 << 19
 #: Bytes of text in a range, about.
 RANGE_BYTES = 128 << 20
-#: Distinct pieces in a table of pieces, of which a worker has two: some 50 MB each.
-PIECES = 250_000
+#: Distinct pieces in a worker's table of pieces, beside those of the last block, and bytes of one with its ids, of which most have fewer.
+PIECES, PIECE_BYTES = 500_000, 80
+#: Bytes of texts that are encoded together, up to twice that or one text.
+BLOCK_BYTES = 8 << 20
+#: Pieces that the tokenizer gets at once.
+PASS = 10_000
 #: ASCII marks that split off a word's end, without the apostrophe and the brackets of special tokens.
 MARKS = b".,;:!?%$#&*|()\"-"
 #: A character that is not printable, so in no piece that is encoded beside others.
@@ -86,11 +93,52 @@ def _apart(steps: dict) -> bool:
     return (steps["normalizer"] or {}).get("normalizers") == _NORMAL and first == _SPLIT and special and not steps["truncation"] and not steps["post_processor"]
 
 
+def _ends(model: dict) -> np.ndarray | None:
+    """For each id whether it is the last of a word, where the vocabulary says so and has an id for every byte there."""
+    suffix, vocabulary = model.get("end_of_word_suffix"), model["vocab"]
+    alone = {k[: -len(suffix)] for k in vocabulary if k.endswith(suffix)} if suffix else set()
+    if sum(len(x) == 1 for x in alone) < 256 or model.get("unk_token") is not None:
+        return None
+    ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+    ends[[i for k, i in vocabulary.items() if k.endswith(suffix)]] = True
+    return ends
+
+
+#: The ids of a piece.
+_IDS = pa.list_(pa.uint32())
+#: Whether a byte is an ASCII letter or digit.
+_ALNUM = np.array([bytes([b]).isalnum() for b in range(256)])
+
+
+def _packed(ids: list[int]) -> bytes:
+    return _pack(f"<{len(ids)}I", *ids)
+
+
+def _lists(ids: list[bytes]) -> pa.Array:
+    """Ids as a column of lists."""
+    offsets = np.cumsum([0, *map(len, ids)]) // 4
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(ids), dtype="<u4")), type=_IDS)
+
+
+def _runs(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows, from and to, of at most that size or one row."""
+    start, held = 0, 0
+    for i, n in enumerate(sizes):
+        if i > start and held + n > most:
+            yield start, i
+            start, held = i, 0
+        held += n
+    if sizes:
+        yield start, len(sizes)
+
+
 class Encoder:
     """Texts to ids of the tokenizer in the file ``path``.
 
-    The ids of pieces are kept in two tables: when the younger is full it
-    becomes the older, so frequent pieces stay and memory is bounded.
+    The distinct pieces of a block of texts are looked up together, each as a
+    word and the marks behind it, and only those that are not in the table go
+    to the tokenizer.  When the table is full, the half that was asked for more
+    often stays, so memory is bounded.
     """
 
     def __init__(self, path: str, pieces: int = PIECES):
@@ -100,74 +148,98 @@ class Encoder:
         self.tokenizer, self.limit = Tokenizer.from_file(path), pieces
         steps = json.loads(self.tokenizer.to_str())
         self.apart = _apart(steps)
-        self.bare = None  # for pieces that the normaliser would leave as they are
+        self.bare = self.ends = None  # for pieces that the normaliser would leave as they are
         if self.apart:
+            self.ends = _ends(steps["model"])
             steps["normalizer"] = None
             bare = Tokenizer.from_str(json.dumps(steps))
             mark = bare.encode(MARK, add_special_tokens=False).ids
             if len(mark) == 1:
                 self.bare, self.mark = bare, mark[0]
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-
-    def _plain(self, pieces: list[bytes]) -> None:
-        """The ids of pieces that are not known, from the tokenizer.
-
-        Normal pieces go in one text, with a character between them that none of them has.
-        """
-        normal, joined = pieces if self.bare is not None and pieces else [], b" ".join(pieces).decode("utf-8", "replace")
-        if normal and not _normal(joined):
-            normal = [p for p in pieces if _normal(p.decode("utf-8", "replace")) and b"\xef\xbf\xbd" not in p]
-            joined = b" ".join(normal).decode("utf-8", "replace")
-        if normal:
-            joined = joined.lower().replace(" ", f" {MARK} ")
-            ids = np.array(self.bare.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = 4 * np.flatnonzero(ids == self.mark)
-            raw, cuts = ids.tobytes(), zip([0, *(ends + 4).tolist()], [*ends.tolist(), 4 * len(ids)], strict=True)
-            self.known.update(zip(normal, [raw[a:b] for a, b in cuts], strict=True))
-            if len(normal) == len(pieces):
-                return
-            pieces = [p for p in pieces if p not in self.known]
-        found = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in pieces], add_special_tokens=False)
-        for p, e in zip(pieces, found, strict=True):
-            self.known[p] = _pack(f"<{len(e.ids)}I", *e.ids)
-
-    def _learn(self, pieces: set[bytes]) -> None:
-        known, older = self.known, self.older
-        new, joined = set(), []
-        for p in pieces:
-            if (ids := older.get(p)) is not None:
-                known[p] = ids
-            elif (word := p.rstrip(MARKS)) != p and word[-1:].isalnum():
-                # Marks after a letter or digit are a piece of their own for the tokenizer.
-                joined.append((p, word))
-                new.add(word)
-                new.add(p[len(word) :])
-            else:
-                new.add(p)
-        self._plain(list(new.difference(known)))
-        for p, word in joined:
-            known[p] = known[word] + known[p[len(word) :]]
+        self.known = pa.array([], pa.binary())
+        self.ids = pa.array([], _IDS)
+        self.asked = np.zeros(0, dtype=np.int64)
+
+    def _bare(self, pieces: list[str], between: str) -> np.ndarray:
+        """The ids of normal pieces in a row."""
+        return np.array(self.bare.encode_batch_fast([between.join(pieces).lower()], add_special_tokens=False)[0].ids, dtype="<u4")
+
+    def _words(self, words: list[str]) -> list[bytes] | None:
+        """The ids of normal words of letters alone: a word ends where an id that ends a word is, if there are as many as words."""
+        ids = self._bare(words, " ")
+        ends = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+        if len(ends) != len(words) or ends[-1] != 4 * len(ids):
+            return None
+        raw, ends = ids.tobytes(), ends.tolist()
+        return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def _marked(self, pieces: list[str]) -> list[bytes]:
+        """The ids of normal pieces, in one text with a character between them that none of them has."""
+        ids = self._bare(pieces, f" {MARK} ")
+        ends = 4 * np.flatnonzero(ids == self.mark)
+        raw, cuts = ids.tobytes(), zip([0, *(ends + 4).tolist()], [*ends.tolist(), 4 * len(ids)], strict=True)
+        return [raw[a:b] for a, b in cuts]
+
+    def _plain(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of pieces, from the tokenizer."""
+        texts, found = [p.decode("utf-8", "replace") for p in pieces], {}
+        if self.bare is not None:
+            normal = texts if _normal(" ".join(texts)) else [t for t in texts if _normal(t) and "\ufffd" not in t]
+            words = [t for t in normal if t.lower().isalpha()] if self.ends is not None else []
+            if words and (ids := self._words(words)) is not None:
+                found.update(zip(words, ids, strict=True))
+            if rest := [t for t in normal if t not in found]:
+                found.update(zip(rest, self._marked(rest), strict=True))
+        if rest := [t for t in dict.fromkeys(texts) if t not in found]:
+            found.update((t, _packed(e.ids)) for t, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True))
+        return [found[t] for t in texts]
+
+    def _lookup(self, pieces: pa.Array) -> pa.Array:
+        """The ids of distinct pieces, in order; those that are new are in the table afterwards."""
+        if len(self.known) > self.limit or self.known.nbytes + self.ids.nbytes > PIECE_BYTES * self.limit:
+            often = np.sort(np.argsort(self.asked, kind="stable")[-(min(self.limit, len(self.known)) // 2) :])
+            self.known, self.ids, self.asked = self.known.take(often), self.ids.take(often), self.asked[often] // 2
+        at = pc.index_in(pieces, value_set=self.known)
+        new = pieces.filter(at.is_null())
+        if len(new):
+            made = [_lists(self._plain(new.slice(i, PASS).to_pylist())) for i in range(0, len(new), PASS)]
+            first = len(self.known)
+            self.known, self.ids = pa.concat_arrays([self.known, new]), pa.concat_arrays([self.ids, *made])
+            self.asked = np.concatenate((self.asked, np.zeros(len(new), dtype=np.int64)))
+            at = pc.replace_with_mask(at, at.is_null(), pa.array(np.arange(first, len(self.known), dtype=np.int32)))
+        self.asked[at.to_numpy()] += 1
+        return self.ids.take(at)
+
+    def _block(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of texts, by their distinct pieces."""
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.binary()).view(pa.string()))
+        found = split.values.dictionary_encode()
+        pieces = found.dictionary
+        # Of pieces without combining mark and special token, ASCII letters can be lower before the tokenizer sees them.
+        cased = pc.or_(pc.match_substring(pieces, b"\xcc"), pc.match_substring(pieces, "<"))
+        pieces = pc.if_else(cased, pieces, pc.ascii_lower(pieces))
+        # Marks after a letter or digit are a piece of their own for the tokenizer.
+        offsets, data = np.frombuffer(pieces.buffers()[1], dtype=np.int32)[: len(pieces) + 1], pieces.buffers()[2] or pa.py_buffer(b"")
+        ends = offsets[:-1] + pc.binary_length(pc.ascii_rtrim(pieces, characters=MARKS.decode())).to_numpy()
+        apart = ends > offsets[:-1]
+        apart[apart] = _ALNUM[np.frombuffer(data, dtype=np.uint8)[ends[apart] - 1]]
+        cuts = np.empty(2 * len(pieces) + 1, dtype=np.int32)
+        cuts[::2], cuts[1::2] = offsets, np.where(apart, ends, offsets[1:])
+        parts = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), data]).dictionary_encode()
+        twice = self._lookup(parts.dictionary).take(parts.indices)
+        ids = pa.ListArray.from_arrays(pa.array(twice.offsets.to_numpy()[::2]), twice.values).take(found.indices)
+        raw, places = ids.values.to_numpy().tobytes(), 4 * ids.offsets.to_numpy()[split.offsets.to_numpy()].astype(np.int64)
+        return [raw[a:b] for a, b in pairwise(places.tolist())]
 
     def encode_batch(self, texts: list[bytes]) -> list[bytes]:
         """The ids of UTF-8 texts, as little-endian unsigned 32-bit numbers."""
         if not self.apart:
             found = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
-            return [_pack(f"<{len(e.ids)}I", *e.ids) for e in found]
-        if len(self.known) > self.limit:
-            self.known, self.older = {}, self.known
-        # Of texts without combining mark and special token, ASCII letters can be lower before the tokenizer sees them.
-        split = [(t if b"\xcc" in t or b"<" in t else t.lower()).split() for t in texts]
-        found = [list(map(self.known.get, pieces)) for pieces in split]
-        open_places = [[i for i, x in enumerate(ids) if x is None] if None in ids else () for ids in found]
-        new = {pieces[i] for pieces, places in zip(split, open_places, strict=True) for i in places}
-        if new:
-            self._learn(new)
-            known = self.known
-            for pieces, ids, places in zip(split, found, open_places, strict=True):
-                for i in places:
-                    ids[i] = known[pieces[i]]
-        return [b"".join(ids) for ids in found]
+            return [_packed(e.ids) for e in found]
+        out: list[bytes] = []
+        for a, b in _runs([len(t) for t in texts], 2 * BLOCK_BYTES):
+            out += self._block(texts[a:b])
+        return out
 
     def encode(self, text: bytes) -> np.ndarray:
         """The ids of one text."""
@@ -192,6 +264,19 @@ _SHARD = "shard long, before long, n_ids long, doc_ids array<long>, lengths arra
 _RANGE = 1 << 32
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
+    """doc_ids and texts (null: empty) in order, for a block of texts at a time."""
+    keys, texts, held = [], [], 0
+    for batch in slices(batches, 100):
+        keys += batch.column(0).to_pylist()
+        texts += [t or b"" for t in batch.column(1).to_pylist()]
+        held += sum(map(len, texts[len(texts) - batch.num_rows :]))
+        if held >= BLOCK_BYTES:
+            yield keys, texts
+            keys, texts, held = [], [], 0
+    yield keys, texts
+
+
 def _shards(path: str, end: int, shard_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -204,9 +289,8 @@ def _shards(path: str, end: int, shard_ids: int):
             row = (number, before, held, keys, lengths, build(np.frombuffer(b"".join(parts), dtype="<u4")))
             return pa.RecordBatch.from_arrays([pa.array([x], kind) for x, (_, kind) in zip(row, _FIELDS, strict=True)], names=[n for n, _ in _FIELDS])
 
-        for batch in slices(batches):
-            texts = [t or b"" for t in batch.column(1).to_pylist()]
-            for key, ids in zip(batch.column(0).to_pylist(), encode(texts), strict=True):
+        for own, texts in _blocks(batches):
+            for key, ids in zip(own, encode(texts), strict=True):
                 n = len(ids) // 4 + 1
                 if parts and held + n > shard_ids:
                     yield out()

@@ -210,6 +210,41 @@ def test_texts_have_the_tokenizers_ids(name, plain_rows):
         assert np.frombuffer(ids, dtype="<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, t
 
 
+def test_distinct_words_go_to_the_tokenizer_once():
+    """A word of many texts, cases and marks is sent once, with nothing but a space between words."""
+    own, sent = tokens.Encoder(tokens.vocabulary()), []
+    bare = own.bare
+
+    class Counted:
+        def encode_batch_fast(self, texts, **how):
+            sent.extend(texts)
+            return bare.encode_batch_fast(texts, **how)
+
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghéß") for _ in range(rng.randint(3, 9))) + "s" for _ in range(3000)]
+    distinct = {w.lower() for w in words}
+    texts = [" ".join(rng.choice((w, w.capitalize() if w.isascii() else w, w + ",", w + ".")) for w in words) for _ in range(5)]
+    own.bare = Counted()
+    found = own.encode_batch([t.encode() for t in texts])
+    assert sum(map(len, sent)) < sum(len(w) + 1 for w in distinct) + 50
+    for t, ids in zip(texts, found, strict=True):
+        assert np.frombuffer(ids, dtype="<u4").tolist() == own.tokenizer.encode(t, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("pieces", [2, 40, 10_000])
+def test_any_table_of_pieces_gives_the_tokenizers_ids(pieces, monkeypatch):
+    """Odd characters in any place, small tables and blocks of few texts."""
+    monkeypatch.setattr(tokens, "BLOCK_BYTES", 300)
+    monkeypatch.setattr(tokens, "PASS", 7)
+    rng, own = random.Random(pieces), tokens.Encoder(tokens.vocabulary(), pieces)
+    odd = [*map(chr, range(0x250)), *"\u0300\u0301\u0307\u0340\u0345\u0378\u1e9e\u2028\u200b\u3000\ufeff\ufffdΣςσАд中文٣Ⅷ²\U0001f600", "'s", "'LL", "<|endoftext|>", "<|startoftext|>,", "word", "Word.", "two", "THE,", "the"]
+    texts = ["", " ", "  a "] + ["".join(rng.choice(odd) + rng.choice(("", "", " ", "\n", ".", "a")) for _ in range(rng.randint(0, 60))) for _ in range(400)]
+    for start in range(0, len(texts), 50):
+        some = texts[start : start + 50]
+        for t, ids in zip(some, own.encode_batch([t.encode() for t in some]), strict=True):
+            assert np.frombuffer(ids, dtype="<u4").tolist() == own.tokenizer.encode(t, add_special_tokens=False).ids, t
+
+
 def test_long_texts(spark, sf_dir):
     """Texts of megabytes beside short ones go through every operator as whole texts."""
     rng = random.Random(9)
